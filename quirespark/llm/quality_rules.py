@@ -182,7 +182,7 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.mapInArrow(run, STATS_SCHEMA + ", anomaly double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame | None, cost_of_good: float = 20.0) -> float:
+def threshold(scored: DataFrame, labels: DataFrame | None, cost_of_good: float = 40.0) -> float:
     """The cut that loses least over all labelled rows: a rejected good row costs cost_of_good kept bad ones.
 
     Only a histogram of BINS bins leaves the executors.
