@@ -300,3 +300,14 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     rows = features.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
     out = rows.join(of_class, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of the document of smallest id of each component.
+
+    Of equal rows one stays; a document with a null id stays unless it is linked with one that has an id.
+    """
+    kept = jaccard_components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept.kept_id), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])

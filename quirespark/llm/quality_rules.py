@@ -211,3 +211,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame
     cut = threshold(scored, labels)
     kept = ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) < cut * BINS)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "anomaly")
+
+
+def keep_rows(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The rows, with all their columns, that quality_rules() keeps.
+
+    The forest and its cut come from all rows' statistics; each row is then judged where it lies, so texts never move.
+    """
+    stats = stored(rule_statistics(docs), "rule-statistics")
+    forest = fit_forest(stats, labels)
+    cut = threshold(stored(score(stats, forest), "rule-scores"), labels)
+    sent, at = docs.sparkSession.sparkContext.broadcast(forest), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics(x.as_py() or "") for x in batch.column(at)]
+            failed = np.array([r[5] for r in rows], bool)
+            x = np.array([r[6:] for r in rows], np.float32).reshape(len(rows), len(STATS))
+            ordinary = np.floor(sent.value.scores(x) * BINS) < cut * BINS
+            yield batch.filter(pa.array(~failed & ordinary))
+
+    return docs.mapInArrow(run, docs.schema)
