@@ -27,7 +27,8 @@ from .components import components
 from .wordhash import hashed_words, mix
 
 WORDS, PERCENT = 5, 80
-BITS = 512
+#: Bits of the signatures in tiles, and of those that a group's arrays are compared by before exact intersection.
+BITS, LONG_BITS = 512, 8192
 #: One document in SAMPLE_PART gives the order of shingles; at most HOT of them are put last.
 SAMPLE_PART, HOT = 20, 200_000
 #: Representatives up to this many are sent to the scan that fetches their texts (8 bytes each); more are joined.
@@ -66,9 +67,9 @@ def set_key(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b ^ np.uint64(len(s))).to_bytes(8, "big")
 
 
-def signature(s: np.ndarray) -> bytes:
+def signature(s: np.ndarray, bits: int = BITS) -> bytes:
     """Parity of the hashes at each bit."""
-    return np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def enough(n: int, percent: int) -> int:
@@ -174,7 +175,7 @@ class Forest:
                 self.root = up
 
 
-def connect(group: np.ndarray, n: np.ndarray, signatures: np.ndarray, percent: int, exact=None) -> Forest:
+def connect(group: np.ndarray, n: np.ndarray, signatures: list[np.ndarray], percent: int, exact=None) -> Forest:
     """Joins rows of a group (rows sorted by group and n) that the signatures, and `exact` if given, find similar.
 
     Each pass compares rows a fixed distance apart; pairs that are connected already, or too different in size, drop
@@ -189,9 +190,10 @@ def connect(group: np.ndarray, n: np.ndarray, signatures: np.ndarray, percent: i
         apart = rows[made.root[rows] != made.root[rows + d]]
         for k in range(0, len(apart), 1 << 18):
             a = apart[k : k + (1 << 18)]
-            differ = np.bitwise_count(signatures[a] ^ signatures[a + d]).sum(1, dtype=np.int64)
-            # similar sets of sizes x and y differ in at most (x + y) (100 - p) / (100 + p) shingles
-            a = a[differ * (100 + percent) <= (n[a] + n[a + d]) * (100 - percent)]
+            for bits in signatures:  # from short ones to long ones
+                differ = np.bitwise_count(bits[a] ^ bits[a + d]).sum(1, dtype=np.int64)
+                # similar sets of sizes x and y differ in at most (x + y) (100 - p) / (100 + p) shingles
+                a = a[differ * (100 + percent) <= (n[a] + n[a + d]) * (100 - percent)]
             if exact is not None:
                 for r in a.tolist():
                     if made.root[r] != made.root[r + d] and exact(r, r + d):
@@ -212,7 +214,7 @@ def _tiles(percent: int):
         order = np.lexsort((node, n, token))
         token, node, n = token[order], node[order], n[order].astype(np.int64)
         signatures = np.frombuffer(b"".join(raw[order].tolist()), np.uint64).reshape(len(order), -1)
-        root = connect(token, n, signatures, percent).root
+        root = connect(token, n, [signatures], percent).root
         least = node.copy()
         np.minimum.at(least, root, node)
         a, b = node, least[root]
@@ -243,7 +245,7 @@ def _exact(percent: int):
         order = np.lexsort((key, n, block))
         block, key, n, raw = block[order], key[order], n[order], raw[order]
         sets = [np.frombuffer(x, np.uint64) for x in raw]
-        signatures = np.frombuffer(b"".join(map(signature, sets)), np.uint64).reshape(len(sets), -1)
+        signatures = [np.frombuffer(b"".join(signature(x, b) for x in sets), np.uint64).reshape(len(sets), -1) for b in (BITS, LONG_BITS)]
 
         def similar(a: int, b: int) -> bool:
             both = np.concatenate((sets[a], sets[b]))
