@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one Python step holds at once; bounds a worker's memory whatever the batch size.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -35,6 +35,8 @@ SAMPLE_PART, HOT = 20, 200_000
 SENT_IDS = 1_000_000
 #: Classes of a group that one task compares; a larger group is dealt out as pairs of blocks of this size.
 BLOCK = 8192
+#: Bytes of signatures that one comparison gathers at once.
+GATHERED = 1 << 24
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -183,13 +185,14 @@ def connect(group: np.ndarray, n: np.ndarray, signatures: list[np.ndarray], perc
     """
     made = Forest(len(group))
     rows, d = np.arange(len(group)), 1
+    chunk = max(1, GATHERED // max(bits.shape[1] * bits.itemsize for bits in signatures))
     last = np.searchsorted(group, group, "right") - 1
     while len(rows):
         rows = rows[rows + d <= last[rows]]
         rows = rows[100 * n[rows] >= percent * n[rows + d]]
         apart = rows[made.root[rows] != made.root[rows + d]]
-        for k in range(0, len(apart), 1 << 18):
-            a = apart[k : k + (1 << 18)]
+        for k in range(0, len(apart), chunk):
+            a = apart[k : k + chunk]
             for bits in signatures:  # from short ones to long ones
                 differ = np.bitwise_count(bits[a] ^ bits[a + d]).sum(1, dtype=np.int64)
                 # similar sets of sizes x and y differ in at most (x + y) (100 - p) / (100 + p) shingles
