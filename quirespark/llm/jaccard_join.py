@@ -3,11 +3,14 @@ r"""N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, exact
 Texts with equal shingle sets form one class, and only classes are compared. Two sets can be similar enough only if
 they share one of the first n - ceil(t n) + 1 shingles of any common order; the order here puts shingles that a
 sample finds in many documents last, which keeps tiles small and cannot lose a link. A tile holds the classes with
-one such shingle, sorted by size: only those within the size band of the threshold meet. A signature has the parity
+one such shingle, sorted by size: only those within the size band of the threshold meet; a large tile is cut into
+parts in order of size, and parts within the band meet. A signature has the parity
 of the shingles hashed to each bit; the bits in which two signatures differ bound the symmetric difference from below
-and so the overlap from above. What passes is joined into groups, and inside a group the sorted arrays are
-intersected exactly. Classes that are connected already need no comparison, so large groups of copies cost about a
-comparison per copy.
+and so the overlap from above. What passes is joined into groups. Tiles have short signatures, in which long sets no
+longer differ enough, so groups are sifted once more by signatures as long as the sets; inside what is left the sorted
+arrays are intersected exactly. Classes that are connected already need no comparison, so large groups of copies cost about a
+comparison per copy. A group beyond one block is connected within blocks, then between the blocks' representatives;
+pairs of blocks meet only where that leaves a group in pieces.
 
 Edge cases: null and empty text, and text without words, have an empty set and link with nothing; fewer words than a
 shingle form one shingle; a null doc_id counts for links but never names a component; repeated rows stay.
@@ -33,8 +36,12 @@ BITS, LONG_BITS = 512, 8192
 SAMPLE_PART, HOT = 20, 200_000
 #: Representatives up to this many are sent to the scan that fetches their texts (8 bytes each); more are joined.
 SENT_IDS = 1_000_000
-#: Classes of a group that one task compares; a larger group is dealt out as pairs of blocks of this size.
-BLOCK = 8192
+#: Classes of a group, and their shingles, that a block holds; larger groups are connected block by block.
+BLOCK, BLOCK_SHINGLES = 8192, 1 << 23
+#: Classes of a group, and bytes of their sized signatures, that a block of the sift holds.
+SIFTED, SIFTED_BYTES = 1 << 15, 1 << 26
+#: Classes that one part of a tile holds; a larger tile is dealt out as pairs of parts, in order of size.
+TILE = 1 << 15
 #: Bytes of signatures that one comparison gathers at once.
 GATHERED = 1 << 24
 
@@ -74,6 +81,19 @@ def signature(s: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def level_of(n: int) -> int:
+    """Log 2 of the bits of a set's sized signature: a bit a shingle at least."""
+    return max(BITS.bit_length(), (n - 1).bit_length() + 1) - 1
+
+
+def folded(raw: bytes, bits: int) -> np.ndarray:
+    """A signature as bytes of `bits` bits: halves of a longer one add up to the parities of fewer bits."""
+    out = np.frombuffer(raw, np.uint8)
+    while 8 * len(out) > bits:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def enough(n: int, percent: int) -> int:
     """Fewest common shingles of a set of n with a similar one."""
     return -(-percent * n // 100)
@@ -100,7 +120,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _features(k: int, percent: int, hot_sent):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("prefix", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("prefix", pa.binary()), ("level", pa.int32()), ("sized", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_sent.value
@@ -117,7 +137,7 @@ def _features(k: int, percent: int, hot_sent):
                     place = np.where(ranked[at] == s, len(ranked) - order[at], 0)
                     if place.any():
                         prefix = s[np.argsort(place, kind="stable")]
-                rows.append((i, len(s), set_key(s), signature(s), prefix[:length].tobytes()))
+                rows.append((i, len(s), set_key(s), signature(s), prefix[:length].tobytes(), level_of(len(s)), signature(s, 1 << level_of(len(s)))))
             yield _batch(rows, schema)
 
     return run
@@ -151,7 +171,20 @@ def _shared(percent: int):
         token, node, n = token[order], node[order], n[order].astype(np.int64)
         near = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
         keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], ["token", "node"])
+        token, node, n = token[keep], node[keep], n[keep]
+        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        large = np.diff(edge) > TILE
+        plain = ~np.repeat(large, np.diff(edge))
+        yield pa.RecordBatch.from_arrays([pa.array(token[plain]), pa.array(node[plain])], ["token", "node"])
+        for a, b in zip(edge[:-1][large].tolist(), edge[1:][large].tolist(), strict=True):
+            parts = [slice(x, min(x + TILE, b)) for x in range(a, b, TILE)]
+            for i, one in enumerate(parts):
+                for j in range(i, len(parts)):
+                    if 100 * n[one.stop - 1] < percent * n[parts[j].start]:
+                        break
+                    both = node[one] if i == j else np.concatenate((node[one], node[parts[j]]))
+                    tile = mix(mix(token[a : a + 1].view(np.uint64) + np.uint64(i + 1)) + np.uint64(j + 1)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, len(both))), pa.array(both)], ["token", "node"])
 
     return run
 
@@ -177,13 +210,13 @@ class Forest:
                 self.root = up
 
 
-def connect(group: np.ndarray, n: np.ndarray, signatures: list[np.ndarray], percent: int, exact=None) -> Forest:
+def connect(group: np.ndarray, n: np.ndarray, signatures: list[np.ndarray], percent: int, exact=None, made: Forest | None = None) -> Forest:
     """Joins rows of a group (rows sorted by group and n) that the signatures, and `exact` if given, find similar.
 
     Each pass compares rows a fixed distance apart; pairs that are connected already, or too different in size, drop
-    out, and a pass without partners within the size band ends the loop.
+    out, and a pass without partners within the size band ends the loop. `made` may have rows joined before.
     """
-    made = Forest(len(group))
+    made = made or Forest(len(group))
     rows, d = np.arange(len(group)), 1
     chunk = max(1, GATHERED // max(bits.shape[1] * bits.itemsize for bits in signatures))
     last = np.searchsorted(group, group, "right") - 1
@@ -227,13 +260,42 @@ def _tiles(percent: int):
     return run
 
 
+def _sift(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges like those of tiles, by sized signatures; the rows of a block share one level."""
+        got = _columns(batches, ("block", "at", "node", "n", "sized"))
+        if got is None:
+            return
+        order = np.lexsort((got[2], got[3], got[0], got[1]))
+        block, at, node, n, raw = (x[order] for x in got)
+        n, ends = n.astype(np.int64), np.flatnonzero(np.diff(at)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(at)], strict=True):
+            bits = np.stack([folded(x, 1 << int(at[a])) for x in raw[a:b]]).view(np.uint64)
+            root = connect(block[a:b], n[a:b], [bits], percent).root
+            rows = np.flatnonzero(root != np.arange(b - a))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a:b][rows]), pa.array(node[a:b][root[rows]])], ["a", "b"])
+
+    return run
+
+
+def sifted(members: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the parts that sized signatures leave connected in each component of members."""
+    below = F.expr(f"level > {level_of(1)} and {percent} * n <= 100 * shiftleft(1L, level - 1)")
+    at = F.explode(F.when(below, F.array("level", F.col("level") - 1)).otherwise(F.array("level"))).alias("at")
+    each = members.select("component", "node", "n", "sized", at)
+    sizes = each.groupBy("component", "at").agg(F.ceil(F.greatest(F.count("*") / SIFTED, F.sum(F.length("sized")) / SIFTED_BYTES)).cast("int").alias("blocks"))
+    dealt = each.join(sizes, ["component", "at"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    block = F.expr("xxhash64(component, at, least(own, other), greatest(own, other))").alias("block")
+    return components(dealt.select(block, "at", "node", "n", "sized").repartition("block").mapInArrow(_sift(percent), "a long, b long"))
+
+
 def _arrays(k: int):
-    schema = pa.schema([("key", pa.binary()), ("node", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("key", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in steps(batches):
-            keys = [(set_key(s), s) for s in shingle_sets(texts, k)]
-            yield _batch([(key, int.from_bytes(key[:8], "big", signed=True), len(s), s.tobytes()) for key, s in keys], schema)
+            yield _batch([(set_key(s), s.tobytes()) for s in shingle_sets(texts, k)], schema)
 
     return run
 
@@ -241,12 +303,11 @@ def _arrays(k: int):
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges between keys of a block whose arrays are similar, one to the first of what is connected."""
-        got = _columns(batches, ("block", "key", "n", "hashes"))
+        got = _columns(batches, ("block", "key", "n", "hashes", "piece"))
         if got is None:
             return
-        block, key, n, raw = got
-        order = np.lexsort((key, n, block))
-        block, key, n, raw = block[order], key[order], n[order], raw[order]
+        order = np.lexsort((got[1], got[2], got[0]))
+        block, key, n, raw, piece = (x[order] for x in got)
         sets = [np.frombuffer(x, np.uint64) for x in raw]
         signatures = [np.frombuffer(b"".join(signature(x, b) for x in sets), np.uint64).reshape(len(sets), -1) for b in (BITS, LONG_BITS)]
 
@@ -256,7 +317,12 @@ def _exact(percent: int):
             common = int((both[1:] == both[:-1]).sum())
             return 100 * common >= percent * (len(both) - common)
 
-        root = connect(block, n, signatures, percent, similar).root
+        made = Forest(len(sets))
+        of = np.unique(piece, return_inverse=True)[1]
+        near = np.lexsort((of, block))
+        same = (of[near[1:]] == of[near[:-1]]) & (block[near[1:]] == block[near[:-1]])
+        made.join(near[1:][same], near[:-1][same])
+        root = connect(block, n, signatures, percent, similar, made).root
         least = key[root]
         rows = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(key[rows].tolist(), pa.binary()), pa.array(least[rows].tolist(), pa.binary())], ["a", "b"])
@@ -264,15 +330,54 @@ def _exact(percent: int):
     return run
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """The rows with the number of blocks of their component, and their own block."""
+    sizes = rows.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return rows.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("key", "component"), F.col("blocks")).cast("int"))
+
+
+def exact_links(members: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of keys whose transitive closure is that of all similar pairs within each component.
+
+    `members` has key, n and component, `arrays` key and hashes; arrays move by key and by block, all else is decided
+    on members. Blocks come first; what spans more than one block goes on with one representative a piece, and only
+    components that are then still in pieces are dealt out as pairs of blocks.
+    """
+
+    def meet(rows: DataFrame, block) -> DataFrame:
+        met = arrays.join(rows.select("key", "n", "piece", block.alias("block")), "key")
+        return met.repartition("block").mapInArrow(_exact(percent), "a binary, b binary")
+
+    rows = stored(_sized(members.withColumn("piece", F.col("key"))), "jaccard-members")
+    own = F.xxhash64("component", "own")
+    links = stored(meet(rows, own), "links")
+    wide = rows.where("blocks > 1").select("key", "n", "component")
+    if wide.isEmpty():
+        return links
+    arrays = stored(arrays.join(wide.select("key"), "key", "left_semi"), "jaccard-arrays")
+
+    def pieces(links: DataFrame) -> DataFrame:
+        named = components(links).select(F.col("node").alias("key"), F.col("component").alias("piece"))
+        return wide.join(named, "key", "left").withColumn("piece", F.coalesce("piece", "key"))
+
+    links = stored(links.union(meet(_sized(pieces(links).where("key = piece")), own)), "links")
+    now = pieces(links)
+    open_ = now.groupBy("component").agg(F.min("piece").alias("x"), F.max("piece").alias("y")).where("x <> y").select("component")
+    left = _sized(now.join(open_, "component", "left_semi"))
+    dealt = left.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    pair = F.expr("xxhash64(component, least(own, other), greatest(own, other))")
+    return links.union(meet(dealt, pair))
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links of similarity >= percent reach)."""
     spark = docs.sparkSession
     source = ids_and_texts(docs)
     hot = spark.sparkContext.broadcast(frequent(docs, k))  # at most HOT values
-    features = source.mapInArrow(_features(k, percent, hot), "doc_id long, n long, key binary, signature binary, prefix binary")
+    features = source.mapInArrow(_features(k, percent, hot), "doc_id long, n long, key binary, signature binary, prefix binary, level int, sized binary")
     features = stored(features, "jaccard-features")
     some = features.where("n > 0")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
+    classes = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix"), F.first("level").alias("level"), F.first("sized").alias("sized"))
     classes = stored(classes, "jaccard-classes")
     node = F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")
 
@@ -284,18 +389,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     groups = stored(components(edges), "jaccard-groups")
 
     # exact: only representatives of classes in groups are read again
-    wanted = classes.select(node.alias("node"), "doc_id").join(groups, "node")
+    groups = sifted(classes.select(node.alias("node"), "n", "level", "sized").join(groups, "node"), percent)
+    wanted = stored(classes.select(node.alias("node"), "key", "n", "doc_id").join(groups, "node"), "jaccard-wanted")
     ids = wanted.select("doc_id").distinct()
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
-    arrays = source.join(ids, source.doc_id.eqNullSafe(ids.doc_id), "left_semi").mapInArrow(_arrays(k), "key binary, node long, n long, hashes binary")
-    arrays = arrays.join(groups, "node").dropDuplicates(["key"])
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pair = F.expr("transform(sequence(0, blocks - 1), x -> xxhash64(component, least(x, own), greatest(x, own)))")
-    dealt = arrays.join(sizes, "component").withColumn("own", own).select(F.explode(pair).alias("block"), "key", "n", "hashes")
-    links = dealt.repartition("block").mapInArrow(_exact(percent), "a binary, b binary")
-    linked = components(links)
+    arrays = source.join(ids, source.doc_id.eqNullSafe(ids.doc_id), "left_semi").mapInArrow(_arrays(k), "key binary, hashes binary").dropDuplicates(["key"])
+    linked = components(exact_links(wanted.select("key", "n", "component"), arrays, percent))
 
     # the smallest id of each component, handed to its classes and then to all copies
     named = classes.select("key", "doc_id").join(linked.withColumnRenamed("node", "key"), "key")

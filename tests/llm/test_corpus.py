@@ -129,7 +129,11 @@ def test_jaccard(docs, rows, k, percent):
     assert Counter(tuple(r) for r in jaccard_join.jaccard_components(docs, k, percent).collect()) == want
 
 
-def test_jaccard_large_group(spark):
+@pytest.mark.parametrize(("block", "tile"), [(8192, 1 << 15), (50, 20), (9, 7)])
+def test_jaccard_large_group(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SIFTED", tile)
     rng = random.Random(1)
     base = [f"w{j}" for j in range(200)]
     out = []
