@@ -183,6 +183,34 @@ def table_rows(items: DataFrame, least_gap: float = 12.0) -> DataFrame:
     return gaps.where("n_items >= 3 and n_gaps >= 2")
 
 
+def row_gaps(items: DataFrame, least_gap: float = 12.0) -> DataFrame:
+    """Centres of the wide gaps between neighbouring runs of a row."""
+    w = Window.partitionBy(*PAGE, "column_index", "baseline_y").orderBy("x", "line_ord", "word_ord")
+    gaps = items.withColumn("end", F.lag(F.col("x") + F.col("w")).over(w)).where(F.col("x") - F.col("end") >= least_gap)
+    return gaps.select(*PAGE, "column_index", "baseline_y", ((F.col("end") + F.col("x")) / 2).alias("centre"))
+
+
+def shared_boundaries(gaps: DataFrame, keys: list[str], tolerance: float = 16.0, ratio: float = 0.6) -> DataFrame:
+    """Per group of rows: the longest chain of gap centres with steps up to the tolerance, and whether it carries a table.
+
+    Chains count centres, so a row with two near centres counts twice.
+    """
+    w = Window.partitionBy(*keys).orderBy("centre", "baseline_y")
+    cut = F.coalesce((F.col("centre") - F.lag("centre").over(w) > tolerance).cast("int"), F.lit(0))
+    chain = F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    best = gaps.withColumn("cut", cut).withColumn("chain", chain).groupBy(*keys, "chain").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("best"))
+    rows = gaps.groupBy(*keys).agg(F.countDistinct("baseline_y").alias("n_rows"))
+    needed = F.greatest(F.lit(2), F.ceil(F.col("n_rows") * ratio))
+    return best.join(rows, keys).select(*keys, "n_rows", "best", (F.col("best") >= needed).alias("shared"))
+
+
+def geometry_trust(pages: DataFrame, paths: DataFrame, least: float = 0.5) -> DataFrame:
+    """Per page: the share of path boxes with ink under them (1 where there are none), and whether it is enough."""
+    share = paths.groupBy(*PAGE).agg(F.avg(F.coalesce(F.col("ink"), F.lit(False)).cast("int")).alias("share"))
+    out = pages.select(*PAGE).distinct().join(share, PAGE, "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
+    return out.select(*PAGE, "share", (F.col("share") >= least).alias("trusted"))
+
+
 def self_check(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per page: counts, runs by column, and whether blocks go down in every column."""
     w = Window.partitionBy(*PAGE, "column_index").orderBy("read_order")

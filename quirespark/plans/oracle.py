@@ -109,6 +109,16 @@ ORACLE_SQL = {
         lambda a, x: {'s': case when a.s then x.n = 0 else x.s end, 'n': a.n + case when a.s and x.n = 0 then 1 else 0 end::bigint}).n as n from g) where n > 0""",
     "q_table_rows": _with(_UP) + """, e as (select *, lag(x + w) over (partition by doc_id, page_index, column_index, baseline_y order by x, line_ord, word_ord) as e from cols)
       select doc_id, page_index, column_index, baseline_y, count(*) as n_items, sum(case when x - e >= 5 then 1 else 0 end)::bigint as n_gaps from e group by 1, 2, 3, 4 having n_items >= 3 and n_gaps >= 2""",
+    "q_shared_boundaries": _with(_UP) + """, e as (select *, lag(x + w) over (partition by doc_id, page_index, column_index, baseline_y order by x, line_ord, word_ord) as e from cols),
+      g as (select doc_id, page_index, column_index, baseline_y, (e + x) / 2 as centre from e where x - e >= 5),
+      c as (select *, coalesce((centre - lag(centre) over (partition by doc_id, page_index, column_index order by centre, baseline_y) > 16)::int, 0) as cut from g),
+      i as (select *, sum(cut) over (partition by doc_id, page_index, column_index order by centre, baseline_y rows unbounded preceding) as chain from c),
+      n as (select doc_id, page_index, column_index, chain, count(*) as n from i group by all),
+      b as (select doc_id, page_index, column_index, max(n) as best from n group by all),
+      r as (select doc_id, page_index, column_index, count(distinct baseline_y) as n_rows from g group by all)
+      select doc_id, page_index, column_index, n_rows, best, best >= greatest(2, ceil(n_rows * 0.6::double)) as shared from b join r using (doc_id, page_index, column_index)""",
+    "q_geometry_trust": _with(_GRAPHICS) + """, s as (select doc_id, page_index, avg(((ord + page_index) % 2 = 0)::int) as share from graphics where ord < 5 group by all)
+      select doc_id, page_index, coalesce(share, 1.0::double) as share, coalesce(share, 1.0::double) >= 0.5 as trusted from pages_ left join s using (doc_id, page_index)""",
     "q_self_check": _with(_BLOCKS) + """, f as (select doc_id, page_index, y < lag(y) over (partition by doc_id, page_index, column_index order by read_order) as bad from blocks),
       b as (select doc_id, page_index, count(*) as n_blocks, not coalesce(bool_or(bad), false) as monotonic from f group by all),
       c as (select doc_id, page_index, count(*) as n_items, sum(case when column_index = 0 then 1 else 0 end)::bigint as n_left from cols group by all)

@@ -145,6 +145,18 @@ def q_table_rows(s: SparkSession, d: str) -> DataFrame:
     return layout.table_rows(_columned(s, d), 5.0)
 
 
+@_query
+def q_shared_boundaries(s: SparkSession, d: str) -> DataFrame:
+    return layout.shared_boundaries(layout.row_gaps(_columned(s, d), 5.0), ["doc_id", "page_index", "column_index"])
+
+
+@_query
+def q_geometry_trust(s: SparkSession, d: str) -> DataFrame:
+    # ink under every box whose number, added to the page's, is even; lone rules do not count as paths
+    paths = _graphics(s, d).where("ord < 5").withColumn("ink", (F.col("ord") + F.col("page_index")) % 2 == 0)
+    return layout.geometry_trust(_items(s, d), paths)
+
+
 @_query
 def q_self_check(s: SparkSession, d: str) -> DataFrame:
     return layout.self_check(_columned(s, d), _blocks(s, d))

@@ -13,7 +13,7 @@ from quirespark.sources import drawing
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["q_lines", "q_paragraphs", "q_gutters", "q_formula_features", "q_scope_counts", "q_upsert_latest", "q_continuation"])
+@pytest.mark.parametrize("name", ["q_lines", "q_paragraphs", "q_gutters", "q_formula_features", "q_scope_counts", "q_upsert_latest", "q_continuation", "q_shared_boundaries", "q_geometry_trust"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations", "events"):
@@ -26,6 +26,19 @@ def test_query_equals_sql(spark, name):
     assert rows(got.collect(), {c: c for c in cols}) == rows(want.fetchall(), {c: want.columns.index(c) for c in cols})
 
 
+def test_shared_boundaries(spark):
+    gaps = [(1, 0, float(r), c) for r in range(5) for c in (100.0 + r * 16, 400.0 + r * 17)] + [(2, 0, 1.0, 5.0), (3, 0, 1.0, 5.0), (3, 0, 1.0, 21.0)]
+    got = layout.shared_boundaries(spark.createDataFrame(gaps, "doc_id long, page_index int, baseline_y double, centre double"), ["doc_id", "page_index"]).collect()
+    assert {(r.doc_id, r.n_rows, r.best, r.shared) for r in got} == {(1, 5, 5, True), (2, 1, 1, False), (3, 1, 2, True)}
+
+
+def test_geometry_trust(spark):
+    pages = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id long, page_index int")
+    paths = spark.createDataFrame([(1, 0, True), (1, 0, None), (2, 0, False)], "doc_id long, page_index int, ink boolean")
+    got = {(r.doc_id, r.share, r.trusted) for r in layout.geometry_trust(pages, paths).collect()}
+    assert got == {(1, 0.5, True), (2, 0.0, False), (3, 1.0, True)}
+
+
 def test_hash(spark):
     got = spark.createDataFrame([("hello",), ("plain networks",), ("",)], "s string").select(X.fnv1a(F.col("s")).alias("h")).collect()
     assert [r.h for r in got] == ["a430d84680aabd0b", "33de935862b82122", "cbf29ce484222325"]
