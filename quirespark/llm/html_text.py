@@ -1,12 +1,12 @@
 r"""HTML extraction by tag-path ratios.
 
-The nodes of a page are its texts with their root-to-leaf tag paths (tags with class and id names). For each path the
-text length, the punctuation and the length inside links are summed; length per node and punctuation per node, less
-the share in links, give two ratios. Both are smoothed over the page's sequence of nodes, fused as a geometric mean
-and compared with a threshold from the page itself. Paths above it vote, with their text, for the element that holds
-the content: an article or main element where there is one, else the smallest element with most of the votes. Every
-text below that element is kept unless its path leads through a boilerplate element, so short paragraphs of the
-content survive whatever their ratio.
+The nodes of a page are its texts outside boilerplate elements, with their root-to-leaf tag paths (tags with class and
+id names). For each path the text length, the punctuation and the length inside links are summed; length per node and
+punctuation per node, less the share in links, give two ratios. Both are smoothed over the page's sequence of nodes,
+fused as a geometric mean and compared with a threshold from the page itself. Paths above it vote, with their text, for
+the element that holds the content: an article or main element where there is one, else the smallest element with most
+of the votes. Every text below that element is kept unless its path leads through a boilerplate element, so short
+paragraphs of the content survive whatever their ratio.
 
 Edge cases: null and empty html, and pages without content, give ""; unclosed and stray tags are repaired as browsers
 do for paragraphs and list items; a page of bare text is kept as it is; repeated rows stay.
@@ -113,15 +113,16 @@ def smooth(values: list[float]) -> list[float]:
 def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
     """The element that holds the content, by the fused ratios of the tag paths."""
     paths: dict[str, list[float]] = {}
+    texts = []
     for e, text, _ in nodes:
         size = len(text.strip())
-        if size:
+        if size and not e.dropped:
             own = paths.setdefault(e.path, [0.0, 0.0, 0.0, 0.0])
             own[0] += 1
             own[1] += size
             own[2] += len(PUNCTUATION.findall(text))
             own[3] += size * e.linked
-    texts = [(e, len(t.strip())) for e, t, _ in nodes if t.strip()]
+            texts.append((e, size))
     if not texts:
         return None
     free = lambda p: 1 - paths[p][3] / paths[p][1]
@@ -135,7 +136,7 @@ def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
     cut = 0.5 * min(mean, math.sqrt(sum((x - mean) ** 2 for x in best.values()) / len(best)) or mean)
     total, holders = 0.0, []
     for e, size in texts:
-        if not e.dropped and best[e.path] >= cut:
+        if best[e.path] >= cut:  # the cut is half the mean at most, so the best path passes
             total += size
             x: Element | None = e
             while x:
@@ -143,8 +144,6 @@ def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
                     holders.append(x)
                 x.votes += size
                 x = x.up
-    if not total:
-        return None
     marked = [x for x in holders if x.content]
     if marked:
         most = max(x.votes for x in marked)

@@ -173,6 +173,14 @@ def test_html():
     assert html_text.extract("") == "" and html_text.extract("<script>var a='<p>x</p>'</script>") == ""
 
 
+def test_html_short_article_beside_long_boilerplate():
+    footer = "<footer>" + ("<p>" + ("x" * 19 + ".") * 20 + "</p>") * 3 + "</footer>"
+    nav = "<nav><a>Prev</a><a>Next</a></nav>"
+    for holder in ("article", "div"):
+        assert html_text.extract(f"<{holder}><h1>Title</h1><p>Short text.</p></{holder}>{nav}{footer}") == "Title\nShort text."
+    assert html_text.extract(nav + footer) == ""
+
+
 def test_classifier(spark, rows):
     texts = [(k, ("Good words, plainly said. " if k % 2 else "bad*** words### && ") * (k % 7 + 1)) for k in range(300)]
     docs = spark.createDataFrame([*texts, (None, None), (301, "")], "doc_id long, text string")
