@@ -57,19 +57,19 @@ def anchor(page: Column, text: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """64-bit FNV-1a over UTF-16 code units, as 16 hex digits; decimals stand in for unsigned longs."""
-    digits = F.hex(F.encode(c, "UTF-16BE"))
-    units = F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 3, F.lit(1)), F.lit(4)), lambda i: F.conv(F.substring(digits, i, F.lit(4)), 16, 10).cast("int")))
-    two64, prime = F.lit("18446744073709551616").cast("decimal(20,0)"), F.lit("1099511628211").cast("decimal(14,0)")
-    start = F.lit("14695981039346656037").cast("decimal(20,0)")
+    """64-bit FNV-1a over UTF-16 code units, as 16 hex digits; longs are worked in halves, so that none overflows."""
+    # one pass over the digits: a substring per unit would walk the text from its start each time
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit(".{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    half, start = F.lit(0xFFFFFFFF).cast("long"), F.lit(0xCBF29CE484222325 - 2**64).cast("long")
 
     def fold(h: Column, u: Column) -> Column:
-        low = (h % F.lit(65536)).cast("int")
-        mixed = (h - low + low.bitwiseXOR(u)).cast("decimal(20,0)")
-        return ((mixed * prime) % two64).cast("decimal(20,0)")
+        # the prime is 2^40 + 435
+        low = h.bitwiseAND(half).bitwiseXOR(u)
+        up = F.shiftrightunsigned(h, 32) * 435 + F.shiftrightunsigned(low * 435, 32) + F.shiftleft(low, 8)
+        return F.shiftleft(up, 32).bitwiseOR((low * 435).bitwiseAND(half))
 
-    hashed = F.aggregate(F.coalesce(units, F.array().cast("array<int>")), start, fold)
-    return F.lpad(F.lower(F.conv(hashed.cast("string"), 10, 16)), 16, "0")
+    hashed = F.aggregate(F.coalesce(units, F.array().cast("array<bigint>")), start, fold)
+    return F.lpad(F.lower(F.hex(hashed)), 16, "0")
 
 
 def cache_key(provider: str, model: str, language: str, prompt: int, text: Column) -> Column:

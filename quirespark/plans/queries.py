@@ -245,7 +245,7 @@ def q_mock_translate(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_cache_hits(s: SparkSession, d: str) -> DataFrame:
-    docs = _read(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("source"))
+    docs = _read(s, d, "documents").select("doc_id", F.col("text").alias("source"))
     key = {"provider": "mock", "model": "m", "language": "zh", "prompt": 1}
     cache = docs.where("doc_id % 2 = 0").select(X.cache_key(text=F.col("source"), **key).alias("key")).distinct().withColumn("text", F.lit("x"))
     out = enrich.split_by_cache(docs, cache, **key)

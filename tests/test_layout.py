@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,39 @@ def test_hash(spark):
     assert [r.h for r in got] == ["a430d84680aabd0b", "33de935862b82122", "cbf29ce484222325"]
 
 
+def fnv(text):
+    h = 0xCBF29CE484222325
+    units = text.encode("utf-16-be")
+    for k in range(0, len(units), 2):
+        h = (h ^ int.from_bytes(units[k : k + 2], "big")) * 0x100000001B3 % 2**64
+    return f"{h:016x}"
+
+
+def test_hash_of_long_texts(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab é中\n😀\uffff", k=n)) for n in (1, 5, 300, 130_000)]
+    got = spark.createDataFrame([(x,) for x in texts], "s string").select("s", X.fnv1a(F.col("s")).alias("h")).collect()
+    assert [r.h for r in got] == [fnv(r.s) for r in got]
+    assert spark.range(1).select(X.fnv1a(F.lit(None).cast("string")).alias("h")).first().h == fnv("")
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Documents that begin alike and differ beyond 1,000 characters."""
+    at, head = str(tmp_path_factory.mktemp("alike")), "the same words " * 80
+    texts = [head + "one", head + "two", head + "one", head, head + "two!", "", None, " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return at, texts
+
+
+def test_cache_hits_by_whole_text(spark, alike):
+    at, texts = alike
+    held = {fnv(x or "") for x in texts[::2]}
+    got = {r.doc_id: r.hit for r in QUERIES["q_cache_hits"](spark, at).collect()}
+    assert got == {k: fnv(x or "") in held for k, x in enumerate(texts)}
+    assert [got[k] for k in (1, 3)] == [False, False]
+
+
 @pytest.mark.parametrize(("text", "lines", "want"), [("y = F(x, {Wi}) + x. (1)", 1, True), ("x = y + z − w", 1, True), ("a = b + c", 1, True), ("x = y z = w", 2, True), ("Eq. (1)", 1, False), ("F(x) = 0 holds for every x in the dataset", 1, False)])
 def test_formula(spark, text, lines, want):
     s = X.signals(F.col("t"))
