@@ -209,8 +209,7 @@ def q_drawing_boxes(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_fnv_cache_key(s: SparkSession, d: str) -> DataFrame:
-    first = F.substring(F.col("text"), 1, 60)
-    return _read(s, d, "conversations").select("conv_id", "turn", X.cache_key("mock", "m", "zh", 1, first).alias("key"))
+    return _read(s, d, "documents").select("doc_id", X.cache_key("mock", "m", "zh", 1, F.col("text")).alias("key"))
 
 
 @_query
@@ -231,16 +230,17 @@ def q_merge_masked(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_quality(s: SparkSession, d: str) -> DataFrame:
-    c = _read(s, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 300).alias("source"))
-    target = F.when(F.col("turn") % 4 == 0, "").when(F.col("turn") % 4 == 1, F.col("source")).when(F.col("turn") % 4 == 2, "短").otherwise(F.repeat(F.lit("长"), 900))
-    return c.select("conv_id", "turn", X.quality_warning(F.col("source"), target).alias("warning"))
+    docs = _read(s, d, "documents").select("doc_id", F.col("text").alias("source"))
+    k = F.col("doc_id") % 4
+    target = F.when(k == 0, "").when(k == 1, F.col("source")).when(k == 2, "短").otherwise(F.repeat(F.lit("长"), 900))
+    return docs.select("doc_id", X.quality_warning(F.col("source"), target).alias("warning"))
 
 
 @_query
 def q_mock_translate(s: SparkSession, d: str) -> DataFrame:
-    source = F.substring("text", 1, 200)
-    out = enrich.mock_translation(source)
-    return _read(s, d, "conversations").select("conv_id", "turn", F.length(out).alias("n"), X.quality_warning(source, out).alias("warning"))
+    docs = _read(s, d, "documents").select("doc_id", F.col("text").alias("source"))
+    out = docs.withColumn("target", enrich.mock_translation(F.col("source")))
+    return out.select("doc_id", F.length("target").alias("n"), X.quality_warning(F.col("source"), F.col("target")).alias("warning"))
 
 
 @_query

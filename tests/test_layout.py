@@ -79,6 +79,16 @@ def test_cache_hits_by_whole_text(spark, alike):
     assert [got[k] for k in (1, 3)] == [False, False]
 
 
+def test_key_quality_and_translation_of_whole_texts(spark, alike):
+    at, texts = alike
+    keys = {r.doc_id: r.key for r in QUERIES["q_fnv_cache_key"](spark, at).collect()}
+    assert keys == {k: "v1|mock|m|zh|p1|" + fnv(x or "") for k, x in enumerate(texts)}
+    # 900 characters are within 2.5 times the whole text of document 3, not of its first 300 characters
+    assert {r.doc_id: r.warning for r in QUERIES["q_quality"](spark, at).collect()}[3] is None
+    # the first 200 characters would give half as many at most
+    assert {r.doc_id: r.n for r in QUERIES["q_mock_translate"](spark, at).collect()}[3] > 150
+
+
 @pytest.mark.parametrize(("text", "lines", "want"), [("y = F(x, {Wi}) + x. (1)", 1, True), ("x = y + z − w", 1, True), ("a = b + c", 1, True), ("x = y z = w", 2, True), ("Eq. (1)", 1, False), ("F(x) = 0 holds for every x in the dataset", 1, False)])
 def test_formula(spark, text, lines, want):
     s = X.signals(F.col("t"))
