@@ -4,9 +4,9 @@ The nodes of a page are its texts outside boilerplate elements, with their root-
 id names). For each path the text length, the punctuation and the length inside links are summed; length per node and
 punctuation per node, less the share in links, give two ratios. Both are smoothed over the page's sequence of nodes,
 fused as a geometric mean and compared with a threshold from the page itself. Paths above it vote, with their text, for
-the element that holds the content: an article or main element where there is one, else the smallest element with most
-of the votes. Every text below that element is kept unless its path leads through a boilerplate element, so short
-paragraphs of the content survive whatever their ratio.
+the smallest element with most of the votes; texts in article and main elements count twice. If that element lies in an
+article or main, the content is the smallest element around all of those that have votes. Every text below is kept
+unless its path leads through a boilerplate element, so short paragraphs of the content survive whatever their ratio.
 
 Edge cases: null and empty html, and pages without content, give ""; unclosed and stray tags are repaired as browsers
 do for paragraphs and list items; a page of bare text is kept as it is; repeated rows stay.
@@ -42,7 +42,8 @@ LABELS = re.compile(
     r"complementary|contentinfo|search|copyright|legal|disclaimer|skip)(?:$|[-_\s\d])",
     re.I,
 )
-CONTENT = {"article", "main"}
+#: Content elements, and how much more the texts in them count as votes.
+CONTENT, WEIGHT = {"article", "main"}, 2
 
 
 class Element:
@@ -110,6 +111,14 @@ def smooth(values: list[float]) -> list[float]:
     return [sum(w * padded[k + j] for j, w in enumerate(weights)) for k in range(len(values))]
 
 
+def above(e: Element) -> list[Element]:
+    """The element and those it lies in, the innermost first."""
+    out = [e]
+    while e.up:
+        out.append(e := e.up)
+    return out
+
+
 def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
     """The element that holds the content, by the fused ratios of the tag paths."""
     paths: dict[str, list[float]] = {}
@@ -137,6 +146,7 @@ def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
     total, holders = 0.0, []
     for e, size in texts:
         if best[e.path] >= cut:  # the cut is half the mean at most, so the best path passes
+            size *= WEIGHT if any(x.content for x in above(e)) else 1
             total += size
             x: Element | None = e
             while x:
@@ -144,13 +154,13 @@ def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
                     holders.append(x)
                 x.votes += size
                 x = x.up
-    marked = [x for x in holders if x.content]
-    if marked:
-        most = max(x.votes for x in marked)
-        own = [x for x in marked if x.votes >= 0.5 * most]
-        return max(own, key=lambda x: (x.tag == "article", x.votes))
-    depth = lambda x: x.path.count("/")
-    return max((x for x in holders if x.votes >= 0.8 * total and x.tag not in INLINE and x.tag != "p"), key=depth, default=holders[-1])
+    # elements with so large a share of the votes lie within each other; the root is one of them
+    chosen = max((x for x in holders if x.votes >= 0.8 * total and x.tag not in INLINE and x.tag != "p"), key=lambda x: len(above(x)))
+    if not any(x.content for x in above(chosen)):
+        return chosen
+    # names only widen what the votes chose: to all content elements with votes
+    outer = [above(x) for x in holders if x.content and not any(y.content for y in above(x)[1:])]
+    return next(x for x in outer[0] if all(any(x is y for y in other) for other in outer))
 
 
 def extract(page: str) -> str:

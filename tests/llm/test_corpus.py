@@ -181,6 +181,20 @@ def test_html_short_article_beside_long_boilerplate():
     assert html_text.extract(nav + footer) == ""
 
 
+def test_html_votes_choose_among_all_elements():
+    text = lambda k, n=6: "".join(f"<p>Text {k} {j}, in words of its own, and then some more.</p>" for j in range(n))
+    lines = lambda k, n=6: [f"Text {k} {j}, in words of its own, and then some more." for j in range(n)]
+    # a teaser in an article does not take the place of the text in a div
+    assert html_text.extract(f"<body><div id=x><h1>Title</h1>{text(1, 12)}</div><article>{text(2, 1)}</article></body>").split("\n") == ["Title", *lines(1, 12)]
+    # several content elements, within a main and without one, of like and of unlike sizes
+    for tag in ("main", "div"):
+        for n in (6, 60):
+            page = f"<body><nav><a>Home</a></nav><{tag}><h1>Title</h1><article>{text(1, n)}</article><article>{text(2)}</article></{tag}></body>"
+            assert html_text.extract(page).split("\n") == ["Title", *lines(1, n), *lines(2)]
+    # a part of an article with nearly all votes leaves the rest of it in place
+    assert html_text.extract(f"<body><article><h1>Title</h1><section>{text(1, 12)}</section><p>End.</p></article><div>Junk</div></body>").split("\n") == ["Title", *lines(1, 12), "End."]
+
+
 def test_classifier(spark, rows):
     texts = [(k, ("Good words, plainly said. " if k % 2 else "bad*** words### && ") * (k % 7 + 1)) for k in range(300)]
     docs = spark.createDataFrame([*texts, (None, None), (301, "")], "doc_id long, text string")
