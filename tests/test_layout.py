@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import geometry as G
 from quirespark.functions import text as X
-from quirespark.operators import layout, library
+from quirespark.operators import enrich, layout, library
 from quirespark.operators.regions import merged_boxes
 from quirespark.plans.queries import QUERIES
 from quirespark.plans.oracle import ORACLE_SQL
@@ -89,6 +89,29 @@ def test_key_quality_and_translation_of_whole_texts(spark, alike):
     assert {r.doc_id: r.n for r in QUERIES["q_mock_translate"](spark, at).collect()}[3] > 150
 
 
+def test_mock_translation(spark):
+    def want(source):
+        own = source.strip(" \t\n\r\x0b\x0c\xa0\u2003\u3000\ufeff")
+        if not own:
+            return ""
+        size, start, out = max(18, (len(own.encode("utf-16-be")) // 2 + 1) // 2), int(fnv(own)[-8:], 16) % 12, ""
+        for i in range(12):
+            following = enrich.SENTENCES[(start + i) % 12]
+            if out and len(out) + len(following) > size * 1.15:
+                break
+            out += following
+            if len(out) >= size:
+                break
+        return out
+
+    rng = random.Random(3)
+    texts = ["", " \n\u3000\ufeff", "a", " a ", "\xa0\u2003x y\n", "😀" * 50, *("".join(rng.choices("abc é中😀", k=n)) for n in range(20, 900, 11))]
+    got = spark.createDataFrame([(x,) for x in texts], "s string").select("s", enrich.mock_translation(F.col("s")).alias("t")).collect()
+    assert [r.t for r in got] == [want(r.s) for r in got]
+    assert len(enrich.SENTENCES) == 12 and want("a")[-1] == "。" and len({want(x) for x in texts}) > 40
+    assert spark.range(1).select(enrich.mock_translation(F.lit(None).cast("string")).alias("t")).first().t is None
+
+
 @pytest.mark.parametrize(("text", "lines", "want"), [("y = F(x, {Wi}) + x. (1)", 1, True), ("x = y + z − w", 1, True), ("a = b + c", 1, True), ("x = y z = w", 2, True), ("Eq. (1)", 1, False), ("F(x) = 0 holds for every x in the dataset", 1, False)])
 def test_formula(spark, text, lines, want):
     s = X.signals(F.col("t"))
