@@ -8,7 +8,8 @@ retrieved item is a leak if enough five-word shingles of its question (all lines
 last of several lines) stand in the passage.
 
 Passages are two neighbouring segments as long as the longest item, so each item lies whole in some passage.
-Indexes hold ITEMS items at most; a larger benchmark is searched in that many more passes over the documents.
+Indexes hold ITEMS items at most; a larger benchmark is searched in that many more passes over the documents. Impacts
+and passages come from all items, so the results do not depend on how items are dealt over indexes.
 
 Edge cases: null or empty documents have no passages, items without words match nothing; repeated items and rows each
 give their rows; null ids stay null.
@@ -17,6 +18,7 @@ give their rows; null ids stay null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +63,31 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+class Corpus:
+    """What impacts and passages take from all items, whichever index they lie in."""
+
+    def __init__(self):
+        self.n = self.total = 0
+        self.longest = 1
+        self.names, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, items: list[tuple[int | None, str]]) -> Corpus:
+        hashes, bounds = plain_words([t for _, t in items])
+        sizes = np.diff(bounds)
+        self.n += int((sizes > 0).sum())
+        self.total += len(hashes)
+        self.longest = max(self.longest, int(sizes.max(initial=1)))
+        own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        names, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        self.names, at = np.unique(np.concatenate((self.names, names)), return_inverse=True)
+        self.df = np.bincount(at, np.concatenate((self.df, df)), len(self.names)).astype(np.int64)
+        return self
+
+
 class Index:
     """Normalised BM25 impacts of items, with their maxima by word and by word and block."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], corpus: Corpus):
         hashes, bounds = plain_words([t for _, t in items])
         words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         # items with a common most frequent word, so mostly of one language, share blocks, which tightens the maxima
@@ -74,14 +97,12 @@ class Index:
         self.ids = [items[i][0] for i in order]
         self.words = [words[i] for i in order]
         self.vocabulary = names
-        self.longest = max(map(len, self.words), default=1)
+        self.longest = corpus.longest
         n = len(order)
         found = [np.unique(w, return_counts=True) for w in self.words]
-        df = np.zeros(len(names))
-        for w, _ in found:
-            df[np.searchsorted(names, w)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, self.words)) / max(1, n)
+        df = corpus.df[np.searchsorted(corpus.names, names)]
+        idf = np.log(1 + (corpus.n - df + 0.5) / (df + 0.5))
+        mean = corpus.total / max(1, corpus.n)
         self.impact = np.zeros((len(names), n), np.float32)
         for i, (w, tf) in enumerate(found):
             at = np.searchsorted(names, w)
@@ -147,15 +168,19 @@ class Index:
 
 
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> list[Index]:
-    """Indexes of ITEMS items each; the items, a benchmark, are read by the driver one index at a time."""
-    rows = items.select(F.col(key).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))).toLocalIterator()
-    held, out = [], []
-    for r in rows:
-        held.append(tuple(r))
-        if len(held) == ITEMS:
-            out.append(Index(held))
-            held = []
-    return [*out, Index(held)] if held else out
+    """Indexes of ITEMS items each, in order of id and text; the driver reads the items, a benchmark, twice, one index at
+    a time: for what they have in common, then for the indexes."""
+    rows = items.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).orderBy("id", "text")
+
+    def slices() -> Iterator[list[tuple[int | None, str]]]:
+        left = iter(rows.toLocalIterator())
+        while held := [tuple(r) for r in islice(left, ITEMS)]:
+            yield held
+
+    corpus = Corpus()
+    for held in slices():
+        corpus.add(held)
+    return [Index(held, corpus) for held in slices()]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

@@ -167,6 +167,23 @@ def test_leaks(spark, docs):
     assert decontaminate.without_leaks(extra, spark.createDataFrame(items, "item_id long, text string")).count() == 1
 
 
+def test_leaks_do_not_depend_on_the_size_of_an_index(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{j}" for j in range(60)]
+    items = [(j, " ".join(rng.choices(vocabulary[: 10 + 5 * (j % 11)], k=rng.randint(6, 40)))) for j in range(25)] + [(None, "w1 w2 w3"), (40, ""), (3, "w4 w5 w6 w7")]
+    texts = []
+    for _, t in items:
+        for cut in (0, 1, 2):
+            texts.append(" ".join([*rng.choices(vocabulary, k=30), *t.split()[cut:], *rng.choices(vocabulary, k=50)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert len({r[2] for r in want}) > 10
+    for n in (10, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS", n)
+        assert Counter(tuple(r) for r in decontaminate.find_leaks(docs, bench.repartition(5)).collect()) == want
+
+
 def test_html():
     page = "<body><nav><a href=/>Home</a></nav><div class=ad>Buy this, now.</div><article><h1>Title</h1><p><b>One &amp; two,<br>three.<p>Es.</p><div class=comments><p>Nice, really nice.</p></div></article><footer>&copy; x</footer></body>"
     assert html_text.extract(page) == "Title\nOne & two, three.\nEs."
