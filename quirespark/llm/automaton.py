@@ -164,7 +164,7 @@ class Automaton:
             self._add(np.unique(np.concatenate(missing)))
 
     def read(self, symbols: np.ndarray, lanes: int = LANES) -> np.ndarray:
-        """The output at each position. Chunks are read side by side, then joined by a scan over their ends."""
+        """The output at each position. Chunks are read side by side from a guessed state; wrong guesses are read again."""
         n = len(symbols)
         if not n:
             return np.zeros(0, np.int32)

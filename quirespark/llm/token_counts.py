@@ -4,7 +4,7 @@ The transducer reads code points. Its states hold what the merges of the word so
 start from which a token may still grow, the token that ends there and the tokens counted since. Every transition
 is annotated with the tokens that it adds (or takes back, when a longer token replaces shorter ones). States and
 transitions are compiled when first met. A text is cut into chunks which numpy reads in lockstep from the start
-state; a prefix scan then hands each chunk the state its predecessor ends in, and only its head is read again, up
+state; each chunk then gets the state its predecessor ends in, and only its head is read again, up
 to where both runs meet.
 
 Texts are prepared as the file's normalizer does (NFC, white space, lower case); special strings in a text are one
