@@ -6,8 +6,10 @@ shared folder, so that any executor can read what another wrote; each content is
 finds the frames by their block headers, decodes each by itself and validates versions, headers, lengths, digests
 and record ends; a fault raises ValueError with the archive's name and the offset.
 
-Edge cases: null html is an empty payload; null urls and ids are written as empty values and read as null; rows with
-the same id and payload are all responses; line ends in urls are percent-encoded; no rows give no archive.
+Edge cases: null html is an empty payload; null urls and ids are written as empty values and read as null; a null id
+counts as larger than all others, and where all rows of a payload have null ids, all are responses; rows with the same
+id and payload are all responses, or all revisits; line ends in urls are percent-encoded; no rows give no archive; a
+payload of any length is one record, held whole by one task; other columns never matter.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Fixed values of the format: magic of the skippable frame that holds a dictionary, of a dictionary, of a frame.
 DICT_FRAME, DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
@@ -32,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of records in one archive, and of the sample and the size of its dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 8_000_000, 1_000_000, 16_384
+#: Payloads with copies whose ids (28 bytes each) are sent to the scan; more are joined.
+SENT_COPIES = 1_000_000
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -165,10 +169,14 @@ def parse(raw: bytes) -> dict:
 def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes the archives of (page_id, url, html): a table (archive, content). Payloads under `least` bytes never revisit."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    # one row per payload and task is shuffled here; the join's hot payloads are split by adaptive execution
+    bounded_batches(pages.sparkSession)
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    # only digests and ids are shuffled for this: one row per payload and task
     first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    linked = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    first = stored(first, "first-ids")
+    if first.count() <= SENT_COPIES:
+        first = F.broadcast(first)
+    linked = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -193,6 +201,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of (archive, content), as RECORDS."""
+    bounded_batches(archives.sparkSession)
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 

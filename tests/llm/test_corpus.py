@@ -226,6 +226,9 @@ def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://a\n/", "same"), (1, "http://b/", "same"), (2, None, None), (4, "u", ""), (5, "v", "own" * 999), (5, "v", "own" * 999)], "page_id long, url string, html string")
     archives = warc.write_archives(pages)
     got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(archives).collect())
+    nulls = spark.createDataFrame([(None, "a", "x"), (7, "b", "x"), (None, "c", "y"), (None, "d", "y")], "page_id long, url string, html string")
+    assert {(r.page_id, r.url, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(nulls)).collect()} == {(None, "a", "revisit", 7), (7, "b", "response", None), (None, "c", "response", None), (None, "d", "response", None)}
+    assert warc.read_archives(warc.write_archives(nulls.limit(0))).count() == 0
     assert got == [(1, 4, "response", None), (2, 0, "response", None), (3, 4, "revisit", 1), (4, 0, "revisit", 2), (5, 2997, "response", None), (5, 2997, "response", None)]
     content = warc.pack([warc.record(1, "u", b"abc", None)])
     assert [r for _, r in warc.unpack(content)][0].endswith(b"abc\r\n\r\n")
@@ -245,3 +248,8 @@ def test_urls(spark):
     keys = spark.createDataFrame([(f"k{j}", j % 7 == 0) for j in range(3000)], "key string, listed boolean")
     cascade = url_filter.fit_cascade(keys)
     assert len(cascade.levels) > 1 and keys.where(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
+    several = url_filter.fit_cascade(keys, 50)
+    assert several.shards == 9 and several.mark(keys, "key", "got").where(F.col("got") != F.col("listed")).count() == 0
+    again = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, per_shard=1).collect()}
+    assert again == {(k, *v) for k, v in got.items()}
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
