@@ -1,8 +1,9 @@
-"""Merges of byte pairs as a finite automaton, compiled when first met and read by numpy in lockstep."""
+"""Merges of byte pairs as a finite automaton, compiled when first met; chunks are read by numpy in lockstep and their
+state maps composed by a parallel prefix scan."""
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -11,7 +12,9 @@ from .bpe import Merges
 #: Chunks of the input that are read side by side.
 LANES = 8192
 #: Transitions kept before the compiled automaton is dropped and compiled anew; bounds a worker's memory.
-MAX_TRANSITIONS = 1 << 20
+MAX_TRANSITIONS = 1 << 18
+#: Pairs of tokens whose fit is remembered.
+FITS = 1 << 16
 START = 0
 
 
@@ -35,7 +38,7 @@ class Words:
                 if last:
                     self.parts[number], self.rank[number] = last, model.pairs[last][0]
         self.open = {t[:k] for d in (self.inner, self.final) for t in d for k in range(len(t))} | set(self.final)
-        self.fits = cache(self._fits)
+        self.fits = lru_cache(FITS)(self._fits)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging the symbols of both tokens gives just the two.
@@ -164,7 +167,11 @@ class Automaton:
             self._add(np.unique(np.concatenate(missing)))
 
     def read(self, symbols: np.ndarray, lanes: int = LANES) -> np.ndarray:
-        """The output at each position. Chunks are read side by side from a guessed state; wrong guesses are read again."""
+        """The output at each position, by state maps of chunks and a parallel prefix scan over their compositions.
+
+        A chunk's map takes each state that the chunk before may leave to the state that the chunk leaves. All chunks
+        are read side by side, first from START; from another state a chunk is read up to where both runs meet.
+        """
         n = len(symbols)
         if not n:
             return np.zeros(0, np.int32)
@@ -181,17 +188,42 @@ class Automaton:
         for k in range(length):
             state, adds[k] = self.step(state, grid[k])
             after[k] = state
-        entry = np.zeros(lanes, np.int32)
+        # rows of the maps: chunk << 32 | state, and the state left; outputs that differ from those read from START
+        keys, left, heads = [np.arange(lanes) << 32], [after[-1].astype(np.int64)], []
+        chunk, state = np.arange(1, lanes), after[-1, :-1]
         while True:
-            due = np.concatenate(([START], after[-1, :-1])).astype(np.int32)
-            todo = np.flatnonzero(due != entry)
-            if not len(todo):
-                return adds.T.ravel()[:n]
-            entry, state = due, due[todo]
+            fresh = np.setdiff1d(chunk << 32 | state, np.concatenate(keys))
+            if not len(fresh):
+                break
+            keys.append(fresh)
+            chunk, state = fresh >> 32, (fresh & 0xFFFFFFFF).astype(np.int32)
+            leaves, live = after[-1, chunk].astype(np.int64), np.arange(len(fresh))
             for k in range(length):
-                state, adds[k, todo] = self.step(state, grid[k, todo])
-                on = state != after[k, todo]
-                after[k, todo] = state
-                todo, state = todo[on], state[on]
-                if not len(todo):
+                state, out = self.step(state, grid[k, chunk[live]])
+                heads.append((fresh[live], k, out))
+                on = state != after[k, chunk[live]]
+                live, state = live[on], state[on]
+                if not len(live):
                     break
+            leaves[live] = state
+            left.append(leaves)
+            on = chunk + 1 < lanes
+            chunk, state = chunk[on] + 1, leaves[on]
+        order = np.argsort(np.concatenate(keys))
+        keys, jump = np.concatenate(keys)[order], np.concatenate(left)[order]
+        # the scan: maps of 1, 2, 4, ... chunks give the states that twice as many chunks are entered in
+        entry, span = np.zeros(1, np.int64), 1
+        while len(entry) < lanes:
+            more = np.arange(min(span, lanes - span))
+            entry = np.concatenate((entry, jump[np.searchsorted(keys, more << 32 | entry[: len(more)])]))
+            ends = (keys >> 32) + span
+            at = np.searchsorted(keys, np.minimum(ends, lanes - 1) << 32 | jump)
+            inside = (ends < lanes) & (at < len(keys))
+            inside[inside] = keys[at[inside]] == ((ends << 32) | jump)[inside]
+            jump = np.where(inside, jump[np.minimum(at, len(keys) - 1)], jump)
+            span *= 2
+        due = np.arange(lanes) << 32 | entry
+        for own, k, out in heads:
+            used = due[own >> 32] == own
+            adds[k, own[used] >> 32] = out[used]
+        return adds.T.ravel()[:n]

@@ -1,15 +1,21 @@
 r"""HTML extraction by tag-path ratios.
 
-The nodes of a page are its texts outside boilerplate elements, with their root-to-leaf tag paths (tags with class and
-id names). For each path the text length, the punctuation and the length inside links are summed; length per node and
-punctuation per node, less the share in links, give two ratios. Both are smoothed over the page's sequence of nodes,
-fused as a geometric mean and compared with a threshold from the page itself. Paths above it vote, with their text, for
-the smallest element with most of the votes; texts in article and main elements count twice. If that element lies in an
-article or main, the content is the smallest element around all of those that have votes. Every text below is kept
-unless its path leads through a boilerplate element, so short paragraphs of the content survive whatever their ratio.
+The nodes of a page are its texts, with their root-to-leaf tag paths (tags with class and id names). For each path the
+text length, the punctuation and the length inside links are summed; length per node and punctuation per node, less the
+share in links, give two ratios. Both are smoothed over the page's sequence of nodes, fused as a geometric mean, weighed
+by the path's names and compared with a threshold from the page itself. Paths above it are content: they vote, with
+their text, for the smallest element with most of the votes; texts in article and main elements count twice. If that
+element lies in an article or main, the content is the smallest element around all of those that have votes. Inside it a
+text is kept if its path is above the threshold, or if no name speaks against it, so that headings and short paragraphs
+survive whatever their ratio.
+
+Names speak in two ways. Doubtful ones (side, notice, legal, form and the like) divide the ratio, and neighbours do not
+lift it, so only a path with much text outweighs them. Plain ones (nav, footer, sidebar, comments, ads and the like) shut a path out. Neither counts on an
+element that holds all of the page's texts, or its only article or main: there a name tells nothing apart.
 
 Edge cases: null and empty html, and pages without content, give ""; unclosed and stray tags are repaired as browsers
-do for paragraphs and list items; a page of bare text is kept as it is; repeated rows stay.
+do for paragraphs and list items; a page of bare text is kept as it is; repeated rows stay; an empty table gives none;
+elements may lie in each other to any depth, and pages of any length are read whole; other columns never matter.
 """
 
 from __future__ import annotations
@@ -23,51 +29,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
+from .common import bounded_batches
+
+#: Comments, declarations, tags with their attributes (values may be unquoted and then hold quotes), texts; a tag that the
+#: page ends in is dropped.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?|=)*+)>|[^<]+|<(?=/?[a-zA-Z])[^<>]*\Z|<""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PUNCTUATION = re.compile(r"""[.,;:!?。，；：！？、…»«"”“]""")
 #: Fixed values of HTML: elements by how they are read.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "object", "canvas", "audio", "video", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br", "input", "button", "select"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br", "input", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
-#: Elements and names of boilerplate.
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "svg", "math", "object", "canvas", "audio", "video"}
+#: Elements and names that shut a path out, those that only divide its ratio, and by how much.
+DROPPED = {"nav", "footer", "aside", "menu", "dialog", "head"}
 LABELS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|sidebar|side|aside|rail|widgets?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"footer|sidebar|aside|widgets?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"comments?|disqus|replies|respond|share|sharing|social|related|recommend(?:ed|ations)?|masthead|topbar|toolbar|pagination|pager|"
-    r"complementary|contentinfo|search|copyright|legal|disclaimer|skip)(?:$|[-_\s\d])",
+    r"complementary|contentinfo)(?:$|[-_\s\d])",
     re.I,
 )
+DOUBTFUL = {"form", "fieldset"}
+DOUBTS = re.compile(r"(?:^|[-_\s])(?:side|rail|notice|alert|search|copyright|legal|disclaimer|skip)(?:$|[-_\s\d])", re.I)
+DOUBT = 0.3
 #: Content elements, and how much more the texts in them count as votes.
 CONTENT, WEIGHT = {"article", "main"}, 2
 
 
 class Element:
-    __slots__ = ("tag", "path", "up", "dropped", "linked", "votes", "content")
+    __slots__ = ("tag", "up", "depth", "path", "shut", "doubt", "hidden", "linked", "content", "within", "size", "votes", "holds", "inside", "pure")
 
-    def __init__(self, tag: str, names: str, up: Element | None, dropped: bool):
-        self.tag, self.up, self.votes = tag, up, 0.0
-        self.path = (up.path + "/" if up else "") + tag + ("." + names if names else "")
-        self.dropped = dropped or bool(up and up.dropped)
+    def __init__(self, tag: str, up: Element | None, path: int = 0, shut: bool = False, doubt: bool = False, hidden: bool = False):
+        self.tag, self.up, self.path, self.depth = tag, up, path, up.depth + 1 if up else 0
+        #: What the element's own names say; `pure` is whether a name counts wherever the element stands.
+        self.shut, self.doubt, self.pure = shut, doubt, tag in DROPPED
+        self.hidden = hidden or bool(up and up.hidden)
         self.linked = tag == "a" or bool(up and up.linked)
         self.content = tag in CONTENT
+        self.within = self.content or bool(up and up.within)
+        self.size = self.votes = self.holds = 0
+        self.inside = False
 
 
-def read_nodes(page: str) -> list[tuple[Element, str, int]]:
-    """The page's texts in order: their element, their text and the number of their block."""
-    at, block, nodes = Element("", "", None, False), 0, []
-    root, pos, size = at, 0, len(page)
+def read_nodes(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
+    """The page's elements, parents first, and its texts in order: their element, their text and the number of their block."""
+    root = at = Element("", None)
+    every, block, nodes, paths = [root], 0, [], {}
+    pos, size = 0, len(page)
     while pos < size:
         m = TOKEN.match(page, pos)
         pos = m.end()
         tag = m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
-                nodes.append((at, m[0], block))
+                nodes.append((at, entities.unescape(m[0]), block))
             continue
         tag = tag.lower()
         if m[1]:
@@ -80,8 +98,9 @@ def read_nodes(page: str) -> list[tuple[Element, str, int]]:
                 block += 1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else size
+            if not m[3].rstrip().endswith("/") or tag not in ("svg", "object", "canvas"):
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                pos = end.end() if end else size
             continue
         if tag not in INLINE:
             block += 1
@@ -96,12 +115,12 @@ def read_nodes(page: str) -> list[tuple[Element, str, int]]:
         if tag in VOID:
             continue
         names = " ".join((b or c or d or "").strip() for _, b, c, d in NAMES.findall(m[3]))
-        inside = at
-        while inside is not root and not inside.content:
-            inside = inside.up
-        header = tag == "header" and inside is root
-        at = Element(tag, names, at, tag in DROPPED or header or bool(names and tag not in ("html", "body") and LABELS.search(names)) or bool(m[3] and HIDDEN.search(m[3])))
-    return nodes
+        named = names if tag not in ("html", "body") else ""
+        path = paths.setdefault((at.path, tag, names), len(paths) + 1)
+        shut = tag in DROPPED or (tag == "header" and not at.within) or bool(LABELS.search(named))
+        at = Element(tag, at, path, shut, tag in DOUBTFUL or bool(DOUBTS.search(named)), bool(HIDDEN.search(m[3])))
+        every.append(at)
+    return every, nodes
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -111,21 +130,47 @@ def smooth(values: list[float]) -> list[float]:
     return [sum(w * padded[k + j] for j, w in enumerate(weights)) for k in range(len(values))]
 
 
-def above(e: Element) -> list[Element]:
-    """The element and those it lies in, the innermost first."""
-    out = [e]
-    while e.up:
-        out.append(e := e.up)
+def deepest(elements: list[Element], fits) -> Element:
+    """Of elements that lie in each other, the innermost."""
+    return max((e for e in elements if fits(e)), key=lambda e: e.depth)
+
+
+def weigh(every: list[Element], nodes: list[tuple[Element, str, int]]) -> list[float]:
+    """How far each element's names, with those it lies in, speak for it: 1, a power of DOUBT, or 0; by the element's place."""
+    for e, text, _ in nodes:
+        e.size += len(text.strip())
+    for e in reversed(every):
+        if e.up:
+            e.up.size += e.size
+    total = every[0].size
+    for tag in CONTENT:
+        own = [e for e in every if e.tag == tag]
+        if len(own) == 1:
+            e = own[0].up
+            while e:
+                e.holds = 1
+                e = e.up
+    place = {id(e): k for k, e in enumerate(every)}
+    out: list[float] = []
+    for e in every:
+        own = 1.0
+        if not (e.holds or (e.size == total and not e.pure)):
+            own = 0.0 if e.shut else DOUBT if e.doubt else 1.0
+        out.append(own * (out[place[id(e.up)]] if e.up else 1.0))
+        e.holds = 0
     return out
 
 
-def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
-    """The element that holds the content, by the fused ratios of the tag paths."""
-    paths: dict[str, list[float]] = {}
+def extract(page: str) -> str:
+    """The main text of a page, a line per block."""
+    every, nodes = read_nodes(page)
+    nodes = [x for x in nodes if not x[0].hidden]
+    names = {id(e): w for e, w in zip(every, weigh(every, nodes), strict=True)}
+    paths: dict[int, list[float]] = {}
     texts = []
     for e, text, _ in nodes:
         size = len(text.strip())
-        if size and not e.dropped:
+        if size and names[id(e)]:
             own = paths.setdefault(e.path, [0.0, 0.0, 0.0, 0.0])
             own[0] += 1
             own[1] += size
@@ -133,62 +178,48 @@ def content_root(nodes: list[tuple[Element, str, int]]) -> Element | None:
             own[3] += size * e.linked
             texts.append((e, size))
     if not texts:
-        return None
+        return ""
     free = lambda p: 1 - paths[p][3] / paths[p][1]
-    ratio = smooth([paths[e.path][1] / paths[e.path][0] * free(e.path) for e, _ in texts])
-    marks = smooth([paths[e.path][2] / paths[e.path][0] * free(e.path) for e, _ in texts])
-    fused = [math.sqrt(a * (b + 0.1)) for a, b in zip(ratio, marks, strict=True)]
-    best: dict[str, float] = {}
-    for (e, _), f in zip(texts, fused, strict=True):
-        best[e.path] = max(best.get(e.path, 0.0), f)
+    fuse = lambda a, b: math.sqrt(a * (b + 0.1))
+    lone = {p: (own[1] / own[0] * free(p), own[2] / own[0] * free(p)) for p, own in paths.items()}
+    smoothed = zip(*(smooth([lone[e.path][k] for e, _ in texts]) for k in (0, 1)), strict=True)
+    best: dict[int, float] = {}
+    for (e, _), (a, b) in zip(texts, smoothed, strict=True):
+        # neighbours lift no path that a name speaks against
+        own = fuse(a, b) if names[id(e)] == 1 else min(fuse(a, b), fuse(*lone[e.path])) * names[id(e)]
+        best[e.path] = max(best.get(e.path, 0.0), own)
     mean = sum(best.values()) / len(best)
     cut = 0.5 * min(mean, math.sqrt(sum((x - mean) ** 2 for x in best.values()) / len(best)) or mean)
-    total, holders = 0.0, []
     for e, size in texts:
         if best[e.path] >= cut:  # the cut is half the mean at most, so the best path passes
-            size *= WEIGHT if any(x.content for x in above(e)) else 1
-            total += size
-            x: Element | None = e
-            while x:
-                if not x.votes:
-                    holders.append(x)
-                x.votes += size
-                x = x.up
+            e.votes += size * (WEIGHT if e.within else 1)
+    for e in reversed(every):
+        if e.up:
+            e.up.votes += e.votes
+            # the outermost content elements with votes, counted in all that hold them
+            e.up.holds += e.holds + (1 if e.content and not e.up.within and e.votes else 0)
+    total = every[0].votes
     # elements with so large a share of the votes lie within each other; the root is one of them
-    chosen = max((x for x in holders if x.votes >= 0.8 * total and x.tag not in INLINE and x.tag != "p"), key=lambda x: len(above(x)))
-    if not any(x.content for x in above(chosen)):
-        return chosen
-    # names only widen what the votes chose: to all content elements with votes
-    outer = [above(x) for x in holders if x.content and not any(y.content for y in above(x)[1:])]
-    return next(x for x in outer[0] if all(any(x is y for y in other) for other in outer))
-
-
-def extract(page: str) -> str:
-    """The main text of a page, a line per block."""
-    nodes = read_nodes(page)
-    root = content_root(nodes)
-    if root is None:
-        return ""
-    inside: dict[int, bool] = {}
-
-    def below(e: Element | None) -> bool:
-        if e is None:
-            return False
-        if id(e) not in inside:
-            inside[id(e)] = e is root or below(e.up)
-        return inside[id(e)]
-
+    chosen = deepest(every, lambda e: e.votes >= 0.8 * total and e.tag not in INLINE and e.tag != "p")
+    if chosen.within:
+        # names only widen what the votes chose: to all content elements with votes
+        n = every[0].holds
+        chosen = deepest(every, lambda e: e.holds == n or (n == 1 and e.content and e.votes and not e.up.within))
+    for e in every:
+        e.inside = e is chosen or bool(e.up and e.up.inside)
     blocks: dict[int, list[str]] = {}
     for e, text, block in nodes:
-        if not e.dropped and below(e):
+        if e.inside and (best.get(e.path, 0.0) >= cut or names[id(e)] >= names[id(chosen)]):
             blocks.setdefault(block, []).append(text)
-    lines = (" ".join(entities.unescape("".join(x)).split()) for x in blocks.values())
+    lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
+    bounded_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

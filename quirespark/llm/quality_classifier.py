@@ -6,8 +6,10 @@ of its count. Executors add up partial tables, so the driver receives BUCKETS x
 document is the mean of its words' vectors with a few shares of the word kinds. A network with one hidden layer is
 trained in numpy on a bounded sample of labelled rows, its temperature is fitted on a part kept aside.
 
-Edge cases: null and empty text pool to zeros and get the score of that; a null doc_id is never learnt from; without
-two labels the score is the share of label 1, or 0.5; repeated rows stay.
+Edge cases: null and empty text pool to zeros and get the score of that; a null doc_id is never learnt from; an id
+labelled both 0 and 1 is not learnt from, and of an id's several texts the one of smallest features is; where fewer than
+two different labels are left, the score is the share of label 1, or 0.5; repeated rows stay; an empty table gives no
+rows; texts of any length are pooled whole, by one task; columns other than doc_id, text and quality never matter.
 """
 
 from __future__ import annotations
@@ -144,7 +146,7 @@ class Network:
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(DIM + SHARES), np.ones(DIM + SHARES))
         self.prior = float(y.mean()) if len(y) else 0.5
         self.weights, self.temperature = None, 1.0
-        if len(np.unique(y)) < 2 or len(y) < 20:
+        if len(np.unique(y)) < 2:
             return
         x = self._scaled(x)
         order = rng.permutation(len(x))
@@ -191,7 +193,7 @@ def fit(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Net
     rows = labels.where(learnt).select("doc_id", "quality").distinct()
     # the labels of smallest hash are picked before the join, so what moves is bounded
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
-    found = features.join(rows, "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.avg("quality").alias("quality")).where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    found = features.join(rows, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.avg("quality").alias("quality")).where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     x = np.array(found["features"].tolist(), np.float32).reshape(-1, DIM + SHARES)
     return Network(x, found["quality"].to_numpy(float))
 

@@ -4,8 +4,13 @@ Every document gets word, symbol and repetition counts. Random axis-parallel spl
 fitted to ordinary documents; a document that few splits suffice to isolate is anomalous. The score above which
 a document is rejected is calibrated on all labelled rows.
 
-Edge cases: null or empty text has no words, fails the base rules and is not kept; rows repeat as they are;
-a null doc_id stays null; without labels the forest is fitted to all documents and the cut is a fixed quantile.
+The splits are drawn over the whole box of shares, not the range of a node's rows, so a document beside all those that
+the forest was fitted to falls into empty nodes and its path ends early.
+
+Edge cases: null or empty text has no words, fails the base rules and is not kept; rows repeat as they are and get one
+verdict; a null doc_id stays null and is never learnt from; an id labelled both 0 and 1 counts as not labelled; without
+labels the forest is fitted to all documents and the cut is a fixed quantile; an empty table gives no rows; texts of any
+length are measured whole, by one task; columns other than doc_id, text and quality never matter.
 """
 
 from __future__ import annotations
@@ -80,7 +85,7 @@ def statistics(text: str) -> tuple:
         share(int(kinds[48:58].sum()), chars),
         share(sum(int(kinds[ord(c)]) for c in "!?;:.,"), chars),
         share(chars, n * 20),
-        1 - share(len(set(tokens)), n) if n > 40 else 0.3,
+        1 - share(len(set(tokens)), n) if n else 0.0,
         share(n, 400 * max(1, len(lines))),
     )
     failed = n < 10 or 100 * repeats > 20 * n
@@ -152,6 +157,12 @@ class Forest:
         return 2 ** (-(total / TREES) / max(1e-9, float(self.expected(self.size))))
 
 
+def agreed(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the ids that are labelled one way."""
+    found = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    return found.where("quality = most").select("doc_id", "quality")
+
+
 def fit_forest(stats: DataFrame, labels: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> Forest:
     """A forest on at most fit_rows documents, those labelled as good where there are any.
 
@@ -160,7 +171,7 @@ def fit_forest(stats: DataFrame, labels: DataFrame | None = None, fit_rows: int
     columns = [f"s_{s}" for s in STATS]
     ordinary = stats
     if labels is not None:
-        good = labels.where("quality = 1").select("doc_id").distinct()
+        good = agreed(labels).where("quality = 1").select("doc_id")
         ordinary = stats.join(good, "doc_id", "left_semi")
     pick = lambda df: df.orderBy(F.xxhash64("doc_id"), *columns).limit(fit_rows).select(columns).toPandas()
     rows = pick(ordinary)
@@ -190,8 +201,7 @@ def threshold(scored: DataFrame, labels: DataFrame | None, cost_of_good: float =
     binned = F.floor(F.col("anomaly") * BINS).cast("int").alias("bin")
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     if labels is not None:
-        named = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
-        for r in scored.where("not base_failed").join(named, "doc_id").groupBy(binned, "quality").count().collect():
+        for r in scored.where("not base_failed").join(agreed(labels), "doc_id").groupBy(binned, "quality").count().collect():
             (good if r["quality"] == 1 else bad)[r["bin"]] += r["count"]
     if not good.sum() or not bad.sum():
         every = np.zeros(BINS + 1)

@@ -3,14 +3,15 @@ r"""Token counts: a finite-state transducer compiled from a word-end BPE vocabul
 The transducer reads code points. Its states hold what the merges of the word so far still depend on: for each
 start from which a token may still grow, the token that ends there and the tokens counted since. Every transition
 is annotated with the tokens that it adds (or takes back, when a longer token replaces shorter ones). States and
-transitions are compiled when first met. A text is cut into chunks which numpy reads in lockstep from the start
-state; each chunk then gets the state its predecessor ends in, and only its head is read again, up
-to where both runs meet.
+transitions are compiled when first met. A text is cut into chunks which numpy reads in lockstep; each chunk has a state
+map, from the states that the chunk before may leave to the state it leaves itself and the tokens added, and the maps
+are composed by a parallel prefix scan.
 
 Texts are prepared as the file's normalizer does (NFC, white space, lower case); special strings in a text are one
 token each, the library's default.
 
-Edge cases: null and empty text have 0 tokens; a null doc_id stays null; text of any length is read whole.
+Edge cases: null and empty text have 0 tokens; a null doc_id stays null; repeated rows stay; an empty table gives no
+rows; text of any length is read whole, by one task; other columns never matter.
 """
 
 from __future__ import annotations
