@@ -61,10 +61,53 @@ def transformed(m: list[Column], x0: Column, y0: Column, x1: Column, y1: Column)
     return F.least(*xs), F.least(*ys), F.greatest(*xs) - F.least(*xs), F.greatest(*ys) - F.least(*ys)
 
 
-def rotated(b: Column, c: Column, a: Column, d: Column) -> Column:
-    """Whether a run is turned or sheared by more than a twentieth of its scale."""
-    scale = F.greatest(F.abs(a), F.abs(d), F.abs(b), F.abs(c))
-    return (F.abs(b) > scale * 0.05) | (F.abs(c) > scale * 0.05)
+def turned(a: Column, b: Column, c: Column) -> Column:
+    """Whether a run is turned or sheared by more than a twentieth of its scale; a run without a scale is not."""
+    scale = F.hypot(a, b)
+    return (scale > 0) & ((F.abs(b) > scale * 0.05) | (F.abs(c) > scale * 0.05))
+
+
+#: A glyph box's height in sizes, and the most that a slice is enlarged.
+GLYPH_BOX, LARGEST_SCALE = 1.15, 1.5
+
+
+def font_size(tx: list[Column], height: Column, scale: float) -> Column:
+    """Length of the composed matrix's second column; without one, the run's own height."""
+    return F.coalesce(F.nullif(F.hypot(tx[2], tx[3]), F.lit(0.0)), height * scale)
+
+
+def baseline(tx: list[Column]) -> Column:
+    return tx[5]
+
+
+def run_box(tx: list[Column], width: Column, height: Column, scale: float) -> Box:
+    """A run's box: its top is a size above the baseline, its height that of a glyph box."""
+    size = font_size(tx, height, scale)
+    return tx[4], tx[5] - size, width * scale, size * GLYPH_BOX
+
+
+def intersection(a: Box, b: Box) -> Column:
+    """The common box as a struct; null where the boxes do not overlap."""
+    x, y = F.greatest(a[0], b[0]), F.greatest(a[1], b[1])
+    w, h = F.least(a[0] + a[2], b[0] + b[2]) - x, F.least(a[1] + a[3], b[1] + b[3]) - y
+    return F.when((w > 0) & (h > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
+
+
+def covered_columns(x: Column, w: Column, bounds: Column) -> Column:
+    """Numbers of the columns, between neighbouring bounds, that a range of x overlaps."""
+    numbers = F.sequence(F.lit(0), F.size(bounds) - 2)
+    return F.filter(numbers, lambda k: (x < F.get(bounds, k + 1)) & (x + w > F.get(bounds, k)))
+
+
+def centre_inside(b: Box, region: Box) -> Column:
+    cx, cy = b[0] + b[2] / 2, b[1] + b[3] / 2
+    return (cx >= region[0]) & (cx <= region[0] + region[2]) & (cy >= region[1]) & (cy <= region[1] + region[3])
+
+
+def display_scale(width: Column, measure: float, formula: Column | None = None, font: Column | None = None) -> Column:
+    """How far a slice is scaled to the measure; a formula takes the ratio of the fonts instead."""
+    plain = F.least(F.lit(measure) / F.greatest(width, F.lit(1.0)), F.lit(LARGEST_SCALE))
+    return plain if formula is None else F.when(formula, font).otherwise(plain)
 
 
 def half(c: Column) -> Column:

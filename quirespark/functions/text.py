@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed values that results depend on: character ranges, word lists and patterns.
 SPACE = r"[\s\x{FEFF}\x{00A0}\x{3000}]"
 CJK = r"[\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
-MATH = r"\x{2200}-\x{22FF}\x{2A00}-\x{2AFF}\x{0370}-\x{03FF}\x{1D400}-\x{1D7FF}\x{2100}-\x{214F}\x{2070}-\x{209F}\x{2190}-\x{21FF}±×÷=+<>{}"
+SYMBOLS = r"\x{2200}-\x{22FF}\x{2A00}-\x{2AFF}\x{0370}-\x{03FF}\x{1D400}-\x{1D7FF}\x{2100}-\x{214F}\x{2070}-\x{209F}\x{2190}-\x{21FF}±×÷"
+MATH = SYMBOLS + "=+<>{}"
 MATH_WORDS = ("sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "lg", "exp", "min", "max", "arg", "sup", "inf", "det", "dim", "lim", "mod", "gcd", "lcm", "var", "std", "relu", "sig", "sgn", "softmax")
 EQUATION_NUMBER = r"\((\d{1,3}[a-z]?)\)\s*\.?\s*$"
 REFERENCE_HEADING = r"(?i)^(references|bibliography|参考文献|引用文献|參考文獻)$"
@@ -45,6 +46,18 @@ def signals(c: Column) -> dict[str, Column]:
     }
 
 
+def math_ratio(c: Column) -> Column:
+    """Share of mathematical symbols, ASCII ones left out, in what is not white space; 0 for none."""
+    n = F.length(F.regexp_replace(c, SPACE, ""))
+    return F.when(n > 0, count_of(c, rf"[{SYMBOLS}]") / n).otherwise(0.0)
+
+
+def font_traits(name: Column) -> tuple[Column, Column, Column]:
+    """Whether a font's name says bold, italic, and mathematical (behind the prefix of a subset); null says none."""
+    name = F.coalesce(name, F.lit(""))
+    return name.rlike(BOLD), name.rlike(ITALIC), F.regexp_replace(name, r"^[A-Z]{6}\+", "").rlike(MATH_FONT)
+
+
 def looks_like_formula(n_chars: Column, n_strong: Column, words: Column, numbered: Column, n_lines: Column) -> Column:
     dense = lambda percent: n_strong * 100 >= n_chars * percent
     plain = (words == 0) & F.when(n_lines == 1, dense(30)).otherwise(dense(25))
@@ -94,11 +107,12 @@ def missing_markers(c: Column, pieces: Column) -> Column:
     return F.size(F.filter(F.transform(pieces, lambda p, i: F.concat(F.lit("[[MATH_"), i.cast("string"), F.lit("]]"))), lambda m: ~F.contains(c, m))).cast("long")
 
 
-def merge_masked(head: Column, n_head: Column, tail: Column, n_tail: Column) -> Column:
-    """Both texts; the tail's markers are renumbered from the highest down, so that none meets another."""
+def merge_masked(tail: Column, n_tail: Column, head: Column, n_head: Column) -> Column:
+    """A page's tail and the next page's head: the tail's markers go behind the head's, renumbered from the highest
+    down, so that none meets another."""
     down = F.when(n_tail > 0, F.sequence(n_tail - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     name = lambda i: F.concat(F.lit("[[MATH_"), i.cast("string"), F.lit("]]"))
-    return F.concat_ws(" ", head, F.aggregate(down, tail, lambda out, i: F.replace(out, name(i), name(i + n_head))))
+    return F.concat_ws(" ", F.aggregate(down, tail, lambda out, i: F.replace(out, name(i), name(i + n_head))), head)
 
 
 def quality_warning(source: Column, target: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -58,6 +58,11 @@ def mock_translation(source):
     return F.when(F.length(own) > 0, out).when(F.length(own) == 0, "")
 
 
+def previewed(target: Column, stand_in: Column, is_tail: Column) -> Column:
+    """What a block shows: its translation, else a stand-in; a tail that the next page takes over shows none."""
+    return F.when(~F.coalesce(is_tail, F.lit(False)), F.coalesce(target, stand_in))
+
+
 def split_by_cache(requests: DataFrame, cache: DataFrame, **key: object) -> DataFrame:
     """Requests with their cache key and, where the cache has it, the text."""
     keyed = requests.withColumn("key", X.cache_key(text=F.col("source"), **key))

@@ -139,17 +139,17 @@ ORACLE_SQL = {
       len(list_filter(regexp_extract_all(text, '[A-Za-z]{3,}'), lambda q: not list_contains(['sin','cos','tan','cot','sec','csc','log','ln','lg','exp','min','max','arg','sup','inf','det','dim','lim','mod','gcd','lcm','var','std','relu','sig','sgn','softmax'], lower(q)))) as long_words,
       regexp_matches(text, '\(([0-9]{1,3}[a-z]?)\)\s*\.?\s*$') as numbered from conversations""",
     "q_drawing_boxes": _LONG + """ select doc_id, i as ord, 'path' as kind, sum(n % 7) over (partition by doc_id order by i)::double as x, 2.0::double * (i + 1) as y, 4.0::double as w, (n % 5 + 1)::double as h from l""",
-    "q_fnv_cache_key": "select conv_id, turn, " + _FNV.format("substr(text, 1, 60)") + " as key from conversations",
+    "q_fnv_cache_key": "select doc_id, " + _FNV.format("text") + " as key from documents",
     "q_mask": r"""select doc_id, md5(list_aggregate(list_transform(string_split_regex(text, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2) || ']]' else '' end || p), 'string_agg', '')) as masked_md5,
       len(regexp_extract_all(text, '\d+')) as n_pieces, true as restored, 0::bigint as missing from documents""",
     "q_merge_masked": r"""with m as (select conv_id, turn, text, len(regexp_extract_all(text, '\d+')) as n from conversations),
       l as (select *, lag(text) over w as ht, lag(n) over w as hn from m window w as (partition by conv_id order by turn))
-      select conv_id, turn, list_aggregate(list_transform(string_split_regex(ht, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2) || ']]' else '' end || p), 'string_agg', '') || ' ' ||
-        list_aggregate(list_transform(string_split_regex(text, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2 + hn) || ']]' else '' end || p), 'string_agg', '') as merged from l where ht is not null""",
-    "q_quality": r"""with c as (select conv_id, turn, trim(substr(text, 1, 300), chr(32) || chr(10) || chr(9) || chr(13)) as s from conversations)
-      select conv_id, turn, case turn % 4 when 0 then 'empty' when 1 then case when length(s) = 0 then 'empty' else 'no-cjk' end
-        when 2 then case when length(s) >= 40 and 4 < length(s) then 'short' end else case when length(s) >= 40 and 1800 > length(s) * 5 then 'long' end end as warning from c""",
-    "q_cache_hits": "with k as (select doc_id, substr(text, 1, 40) as s from documents) select doc_id, s in (select s from k where doc_id % 2 = 0) as hit from k",
+      select conv_id, turn, list_aggregate(list_transform(string_split_regex(ht, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2 + n) || ']]' else '' end || p), 'string_agg', '') || ' ' ||
+        list_aggregate(list_transform(string_split_regex(text, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2) || ']]' else '' end || p), 'string_agg', '') as merged from l where ht is not null""",
+    "q_quality": r"""with c as (select doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) as n from documents)
+      select doc_id, case doc_id % 4 when 0 then 'empty' when 1 then case when n = 0 then 'empty' else 'no-cjk' end
+        when 2 then case when n >= 40 and 4 < n then 'short' end else case when n >= 40 and 1800 > n * 5 then 'long' when n >= 40 and 3600 < n then 'short' end end as warning from c""",
+    "q_cache_hits": "select doc_id, text in (select text from documents where doc_id % 2 = 0) as hit from documents",
     "q_run_summary": "select count(*) as total, count_if(event_id % 4 = 0) as done, count_if(event_id % 4 = 1) as cached, count_if(event_id % 4 = 2) as failed, count_if(event_id % 4 = 3) as cancelled, round(count_if(event_id % 4 = 1) / count(*), 6) as hit_rate from events",
     "q_http_classify": """with e as (select ([200, 401, 403, 429, 500, 503, 404])[event_id % 7 + 1] as status, event_id % 3 + 1 as attempt from events),
       k as (select case when status in (401, 403) then 'auth' when status = 429 then 'rate-limit' when status >= 500 then 'server' else 'bad-request' end as kind, attempt from e where status <> 200)

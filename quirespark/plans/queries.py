@@ -12,10 +12,12 @@ from ..functions import text as X
 from ..operators import enrich, layout, library, regions
 from ..sources import adapter, drawing
 from ..streaming import pages as streams
-from .oracle import ORACLE_SQL  # noqa: F401
+from . import catalogue
+from .oracle import ORACLE_SQL as LAYOUT_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(catalogue.QUERIES)
+ORACLE_SQL: dict[str, str] = LAYOUT_SQL | catalogue.ORACLE_SQL
 
 
 def _query(f: Query) -> Query:

@@ -8,8 +8,7 @@ from quirespark.functions import geometry as G
 from quirespark.functions import text as X
 from quirespark.operators import enrich, layout, library
 from quirespark.operators.regions import merged_boxes
-from quirespark.plans.queries import QUERIES
-from quirespark.plans.oracle import ORACLE_SQL
+from quirespark.plans.queries import ORACLE_SQL, QUERIES
 from quirespark.sources import drawing
 
 SF = "/root/testdata/sf0.001"
@@ -125,7 +124,9 @@ def test_mask_round_trip_and_merge(spark):
     for r in df.select("t", m.alias("m"), p.alias("p")).select("t", X.unmasked(F.col("m"), F.col("p")).alias("u")).collect():
         assert r.t == r.u
     got = spark.range(1).select(X.merge_masked(F.lit("h [[MATH_0]]"), F.lit(1), F.lit("a [[MATH_0]] b [[MATH_1]] c"), F.lit(2)).alias("x")).first().x
-    assert got == "h [[MATH_0]] a [[MATH_1]] b [[MATH_2]] c"
+    assert got == "h [[MATH_2]] a [[MATH_0]] b [[MATH_1]] c"
+    got = spark.range(1).select(X.merge_masked(F.lit("[[MATH_0]] [[MATH_1]]"), F.lit(2), F.lit("[[MATH_0]]"), F.lit(1)).alias("x")).first().x
+    assert got == "[[MATH_1]] [[MATH_2]] [[MATH_0]]"
 
 
 def test_quality(spark):
