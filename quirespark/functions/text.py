@@ -13,6 +13,7 @@ MATH = SYMBOLS + "=+<>{}"
 MATH_WORDS = ("sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "lg", "exp", "min", "max", "arg", "sup", "inf", "det", "dim", "lim", "mod", "gcd", "lcm", "var", "std", "relu", "sig", "sgn", "softmax")
 EQUATION_NUMBER = r"\((\d{1,3}[a-z]?)\)\s*\.?\s*$"
 REFERENCE_HEADING = r"(?i)^(references|bibliography|参考文献|引用文献|參考文獻)$"
+ENTRY_NUMBER = r"^\s*\[(\d{1,3})\]"
 REFERENCE_ENTRY = r"^\s*(\[\d{1,3}\]|\d{1,3}\.)"
 ABSTRACT = r"(?i)^(abstract|摘要|概要|summary)"
 CAPTION = r"(?i)^(table|tab\.?|tbl\.?|figure|fig\.?)\s*[0-9IVXivx]+[.:)]?\s"

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from .assembly import PAGE, lines, paragraph_lines, paragraphs  # noqa: F401
 
-PAGE = ["doc_id", "page_index"]
+#: What runs may overlap by, shares that body text, headings and figures are told by.
+OVERLAP, SMALL, AMBIGUOUS, NARROW, TOUCHED = 2.0, 0.85, 1.05, 0.35, 0.6
 BUCKET, SLIDE, LOW, SHORTEST = 2.0, 8, 0.3, 5
 
 
@@ -63,45 +65,6 @@ def assign_columns(items: DataFrame, splits: DataFrame) -> DataFrame:
     return joined.withColumn("column_index", F.when(F.col("split_x").isNull() | (centre < F.col("split_x")), 0).otherwise(1)).drop("split_x")
 
 
-def lines(items: DataFrame) -> DataFrame:
-    """Lines of a column: runs in order of baseline whose baseline is within half the median size of the line's first.
-
-    The comparison is with the line's first run, not the previous one, so it is a fold over the ordered runs.
-    """
-    runs = items.groupBy(*PAGE, "column_index").agg(
-        F.sort_array(F.collect_list(F.struct("baseline_y", "x", "line_ord", "word_ord", "str", "w", "h", "font_size", "y"))).alias("runs"),
-        F.percentile("font_size", F.lit(0.5)).alias("median"),
-    )
-    numbered = F.aggregate(
-        "runs",
-        F.struct(F.lit(-1).alias("k"), F.lit(None).cast("double").alias("first"), F.array().cast("array<int>").alias("out")),
-        lambda s, r: F.when(
-            s["first"].isNull() | (F.abs(r["baseline_y"] - s["first"]) > 0.5 * F.col("median")),
-            F.struct((s["k"] + 1).alias("k"), r["baseline_y"].alias("first"), F.array_append(s["out"], s["k"] + 1).alias("out")),
-        ).otherwise(F.struct(s["k"].alias("k"), s["first"].alias("first"), F.array_append(s["out"], s["k"]).alias("out"))),
-        lambda s: s["out"],
-    )
-    runs = runs.select(*PAGE, "column_index", F.explode(F.arrays_zip(F.col("runs").alias("r"), numbered.alias("k"))).alias("z"))
-    flat = runs.select(*PAGE, "column_index", F.col("z.k").alias("line_index"), "z.r.*")
-    text = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("x", "line_ord", "word_ord", "str"))), lambda s: s["str"]))
-    return flat.groupBy(*PAGE, "column_index", "line_index").agg(text.alias("text"), *G.union_box(), F.min("baseline_y").alias("baseline_y"), F.max("font_size").alias("font_size"), F.count("*").alias("n_items"))
-
-
-def paragraphs(lines_: DataFrame) -> DataFrame:
-    """Blocks of a column: a new one after a large gap or a change of size by more than a fifth."""
-    column = Window.partitionBy(*PAGE, "column_index")
-    w = column.orderBy("line_index")
-    gap = F.col("y") - F.lag(F.col("y") + F.col("h")).over(w)
-    out = lines_.withColumn("gap", gap)
-    out = out.withColumn("usual", F.coalesce(F.percentile(F.when(F.col("gap") > 0, F.col("gap")), F.lit(0.5)).over(column), F.lit(0.0))).withColumn("height", F.percentile("h", F.lit(0.5)).over(column))
-    was = F.lag("font_size").over(w)
-    breaks = (F.col("gap") > F.greatest(1.6 * F.col("usual"), 0.25 * F.col("height"))) | (F.abs(F.col("font_size") - was) > 0.2 * was)
-    out = out.withColumn("block", F.sum(F.when(breaks, 1).otherwise(0)).over(w))
-    text = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("line_index", "text"))), lambda s: s["text"]))
-    blocks = out.groupBy(*PAGE, "column_index", "block").agg(text.alias("text"), *G.union_box(), F.max("font_size").alias("font_size"), F.count("*").alias("n_lines"))
-    return blocks.withColumn("read_order", F.col("column_index") * 10000 + F.col("block"))
-
-
 def body_font(items: DataFrame) -> DataFrame:
     """The quantised size with most characters per page; of equals, the one seen first."""
     sizes = upright(items).groupBy(*PAGE, G.half(F.col("font_size")).alias("body_font")).agg(F.sum(F.length("str")).alias("weight"), F.min(F.struct("line_ord", "word_ord")).alias("first"))
@@ -115,33 +78,90 @@ def heading_fonts(items: DataFrame, body: DataFrame) -> DataFrame:
     return fonts.join(body, PAGE).where(F.col("median") >= 1.15 * F.col("body_font")).select(*PAGE, "font_name", "median")
 
 
-def block_style(blocks: DataFrame, body: DataFrame) -> DataFrame:
-    """Scale, width ratio, page numbers, heading level, body text and the reason against it."""
-    wide = blocks.groupBy(*PAGE, "column_index").agg((F.max(F.col("x") + F.col("w")) - F.min("x")).alias("column_width"))
-    out = blocks.join(body.select(*PAGE, "body_font"), PAGE).join(wide, [*PAGE, "column_index"])
-    round3 = lambda c: F.floor(c * 1000 + 0.5) / 1000
-    out = out.withColumn("font_scale", round3(F.col("font_size") / F.col("body_font"))).withColumn("width_ratio", round3(F.col("w") / F.col("column_width")))
+def refined_body_font(blocks: DataFrame) -> DataFrame:
+    """The second pass: the quantised size with most characters among body blocks, of equals the first in order; pages
+    without body text have none."""
+    own = blocks.where("is_body_text and length(text) > 0")
+    sizes = own.groupBy(*PAGE, G.half(F.col("font_size")).alias("body_font")).agg(F.sum(F.length("text")).alias("weight"), F.min("read_order").alias("first"))
+    k = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("weight"), "first"))
+    return sizes.where("body_font > 0").withColumn("k", k).where("k = 1").select(*PAGE, "body_font", F.col("weight").cast("long").alias("weight"))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    return F.floor(c * 10**digits + 0.5) / 10**digits
+
+
+def heading_level(scale: Column, number: Column) -> Column:
+    return F.when(number, 0).when(scale >= 1.3, 2).when(scale >= 1.06, 1).otherwise(0)
+
+
+def column_ranges(blocks: DataFrame, bounds: Column) -> DataFrame:
+    """What the blocks that cover one column alone span of it: (page, column_index, left, right)."""
+    own = blocks.withColumn("covered", G.covered_columns(F.col("x"), F.col("w"), bounds)).where(F.size("covered") == 1)
+    return own.groupBy(*PAGE, F.get("covered", F.lit(0)).alias("column_index")).agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"))
+
+
+def block_style(blocks: DataFrame, body: DataFrame, bounds: Column, headings: DataFrame | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """Scale, width ratio, gaps, bold, page numbers, heading level, body text and the reason against it.
+
+    `bounds` are the page's column bounds (an array), `headings` its heading fonts, `touched` the share of each block's
+    lines that graphics enclose (page, column_index, block, share): it counts for blocks whose size tells nothing.
+    Comparisons take the values before they are rounded.
+    """
+    out = blocks.join(body.select(*PAGE, "body_font"), PAGE)
+    ranges = column_ranges(blocks, bounds)
+    out = out.join(ranges, [*PAGE, "column_index"], "left")
+    width = F.when(F.col("left").isNotNull(), F.greatest(F.lit(1.0), F.col("right") - F.col("left"))).otherwise(F.col("w"))
+    out = out.withColumn("scale", F.col("font_size") / F.col("body_font")).withColumn("ratio", F.col("w") / width)
     number = X.stripped(F.col("text")).rlike(X.PAGE_NUMBER)
-    level = F.when(number, 0).when(F.col("font_scale") >= 1.3, 2).when(F.col("font_scale") >= 1.06, 1).otherwise(0)
-    out = out.withColumn("numeric", number).withColumn("heading_level", level)
-    reason = F.when(F.col("font_scale") < 0.85, "font-size").when((F.col("heading_level") == 0) & (F.col("width_ratio") < 0.35), "narrow")
-    return out.withColumn("figure_reason", reason).withColumn("is_body_text", reason.isNull()).drop("body_font", "column_width")
+    out = out.withColumn("numeric", number).withColumn("heading_level", heading_level(F.col("scale"), F.col("numeric")))
+    if headings is not None:
+        out = out.join(headings.select(*PAGE, F.col("font_name").alias("dominant_font"), F.lit(True).alias("is_bold")), [*PAGE, "dominant_font"], "left")
+    wide = (F.col("heading_level") > 0) | (F.col("ratio") >= NARROW)
+    inside = F.lit(False)
+    if touched is not None:
+        out = out.join(touched.select(*PAGE, "column_index", "block", F.col("share").alias("touched")), [*PAGE, "column_index", "block"], "left")
+        inside = (F.col("scale") >= SMALL) & (F.col("scale") <= AMBIGUOUS) & wide & (F.coalesce("touched", F.lit(0.0)) >= TOUCHED)
+    reason = F.when(F.col("scale") < SMALL, "font-size").when(inside, "graphics-region").when(~wide, "narrow")
+    out = out.withColumn("figure_reason", reason).withColumn("is_body_text", F.col("figure_reason").isNull())
+    bold = F.coalesce("is_bold", F.lit(False)) if headings is not None else F.lit(False)
+    gaps = rounded(F.col("gap_count") / F.col("n_lines"), 2) if "gap_count" in blocks.columns else F.lit(0.0)
+    return out.select(
+        *[c for c in blocks.columns if c not in ("gap_count",)], rounded(F.col("scale"), 3).alias("font_scale"), rounded(F.col("ratio"), 2).alias("width_ratio"), gaps.alias("gaps_per_line"), bold.alias("bold"),
+        "numeric", "heading_level", "figure_reason", "is_body_text", (~F.col("numeric")).alias("translatable"), F.when(F.col("numeric"), "numeric").alias("reason"),
+    )
+
+
+def refine_style(blocks: DataFrame, body: DataFrame) -> DataFrame:
+    """Scale and heading level of body blocks anew, by the second pass's font; pages that have none stay as they are."""
+    out = blocks.join(body.select(*PAGE, F.col("body_font").alias("again")), PAGE, "left")
+    own = F.col("is_body_text") & F.col("again").isNotNull()
+    out = out.withColumn("font_scale", F.when(own, rounded(F.col("font_size") / F.col("again"), 3)).otherwise(F.col("font_scale")))
+    return out.withColumn("heading_level", F.when(own, heading_level(F.col("font_scale"), F.lit(False))).otherwise(F.col("heading_level"))).drop("again")
+
+
+def _as_formula(blocks: DataFrame, hit: Column) -> DataFrame:
+    out = blocks.withColumn("hit", hit).withColumn("formula", F.col("hit") | (F.col("formula") if "formula" in blocks.columns else F.lit(False)))
+    return out.withColumn("translatable", F.col("translatable") & ~F.col("hit")).withColumn("reason", F.when(F.col("hit"), "formula").otherwise(F.col("reason"))).drop("hit")
 
 
 def mark_formulas(blocks: DataFrame) -> DataFrame:
+    """Translatable body blocks that are no headings and look like formulas; they are not translated."""
     s = X.signals(F.col("text"))
     hit = X.looks_like_formula(s["n_chars"], s["n_strong"], s["long_words"], s["numbered"], F.col("n_lines"))
-    return blocks.withColumn("formula", F.col("is_body_text") & (F.col("heading_level") == 0) & hit)
+    return _as_formula(blocks, F.col("is_body_text") & F.col("translatable") & (F.col("heading_level") == 0) & hit)
 
 
 def absorb_fragments(blocks: DataFrame) -> DataFrame:
-    """Short blocks that overlap a formula of their column vertically by 2 px become formulas."""
-    formulas = blocks.where("formula").select(*PAGE, "column_index", F.col("y").alias("fy"), F.col("h").alias("fh"), F.col("block").alias("fb"))
-    short = (F.col("n_lines") <= 3) & (F.length("text") <= 40) & ~F.col("formula")
-    near = blocks.where(short).join(formulas, [*PAGE, "column_index"]).where(F.least(F.col("y") + F.col("h"), F.col("fy") + F.col("fh")) - F.greatest("y", "fy") >= 2)
-    hits = near.select(*PAGE, "column_index", "block").distinct().withColumn("near", F.lit(True))
-    out = blocks.join(hits, [*PAGE, "column_index", "block"], "left")
-    return out.withColumn("formula", F.col("formula") | F.coalesce("near", F.lit(False))).drop("near")
+    """Short translatable body blocks, no headings, that overlap a formula of their column vertically by 2 px become formulas.
+
+    A column's formulas are few, so each block looks through its column's in its own row: no join, one sort.
+    """
+    column = Window.partitionBy(*PAGE, "column_index")
+    out = blocks.withColumn("all", F.collect_list(F.when(F.col("formula"), F.struct("y", "h"))).over(column))
+    near = F.exists("all", lambda f: F.least(F.col("y") + F.col("h"), f["y"] + f["h"]) - F.greatest(F.col("y"), f["y"]) >= 2)
+    short = (F.col("n_lines") <= 3) & (F.length("text") <= 40) & ~F.col("formula") & F.col("is_body_text") & F.col("translatable") & (F.col("heading_level") == 0)
+    return _as_formula(out, short & near).drop("all")
 
 
 def mark_references(blocks: DataFrame) -> DataFrame:
@@ -166,11 +186,11 @@ def mark_references(blocks: DataFrame) -> DataFrame:
 
 def front_matter(blocks: DataFrame, height: float = 1188.0) -> DataFrame:
     """First pages' blocks between the title and the abstract, or the first wide body block."""
-    first = blocks.where("page_index = 0")
+    first = blocks.where("page_index = 0")  # only first pages have a title
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("font_scale"), "read_order"))
-    title = first.where((F.col("y") < 0.4 * height) & (F.col("font_scale") >= 1.3)).withColumn("k", rank).where("k = 1").select("doc_id", F.col("y").alias("title_y"), F.col("read_order").alias("title_order"))
+    title = first.where((F.col("y") <= 0.4 * height) & (F.col("font_scale") >= 1.3)).withColumn("k", rank).where("k = 1").select("doc_id", F.col("y").alias("title_y"), F.col("read_order").alias("title_order"))
     below = first.join(title, "doc_id").where("y > title_y")
-    body = F.col("is_body_text") & (F.col("font_scale") < 1.15) & (F.col("width_ratio") >= 0.85) & (F.length("text") >= 80)
+    body = (F.col("font_scale") < 1.15) & (F.col("width_ratio") >= 0.85) & (F.length("text") >= 80)
     limit = below.where(X.stripped(F.col("text")).rlike(X.ABSTRACT) | body).groupBy("doc_id").agg(F.min("y").alias("limit_y"))
     return below.join(limit, "doc_id").where("y < limit_y and read_order <> title_order").select("doc_id", "read_order", "y", "title_y", "limit_y")
 
@@ -211,22 +231,36 @@ def geometry_trust(pages: DataFrame, paths: DataFrame, least: float = 0.5) -> Da
     return out.select(*PAGE, "share", (F.col("share") >= least).alias("trusted"))
 
 
-def self_check(items: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per page: counts, runs by column, and whether blocks go down in every column."""
+def self_check(items: DataFrame, lines_: DataFrame, blocks: DataFrame, bounds: Column) -> DataFrame:
+    """Per page: counts, runs by column, blocks beyond their column, gaps between blocks, overlaps in lines, order."""
     w = Window.partitionBy(*PAGE, "column_index").orderBy("read_order")
-    falling = blocks.withColumn("bad", (F.col("y") < F.lag("y").over(w)).cast("int")).groupBy(*PAGE).agg(F.count("*").alias("n_blocks"), F.coalesce(F.max("bad"), F.lit(0)).alias("bad"))
-    counts = items.groupBy(*PAGE).agg(F.count("*").alias("n_items"), F.sum(F.when(F.col("column_index") == 0, 1).otherwise(0)).alias("n_left"))
-    return counts.join(falling, PAGE).select(*PAGE, "n_items", "n_left", "n_blocks", (F.col("bad") == 0).alias("monotonic"))
+    own, after = F.get(bounds, F.col("column_index")), F.get(bounds, F.col("column_index") + 1)
+    over = (F.col("x") < own - 1) | (F.col("x") + F.col("w") > after + 1)
+    several = F.size(G.covered_columns(F.col("x"), F.col("w"), bounds)) >= 2
+    ratio = F.when(F.col("h") > 0, (F.lead("y").over(w) - F.col("y") - F.col("h")) / F.col("h")).when(F.lead("y").over(w).isNotNull(), 0.0)
+    b = blocks.withColumns({"spans_": over & several, "beyond": over & ~several, "space": ratio, "before": F.lag("column_index").over(Window.partitionBy(*PAGE).orderBy("read_order"))})
+    some = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(0)))
+    b = b.groupBy(*PAGE).agg(F.count("*").alias("n_blocks"), some(F.col("spans_")).alias("spanning"), some(F.col("beyond")).alias("out_of_column"), F.coalesce(F.percentile("space", F.lit(0.5)), F.lit(0.0)).alias("gap"), some(F.col("space") < 1).alias("tight"), some(F.col("column_index") < F.col("before")).alias("back"))
+    overlaps = F.size(F.filter("gaps", lambda g: g["gap"] < -OVERLAP))
+    l = lines_.groupBy(*PAGE).agg(F.count("*").alias("n_lines"), F.sum(overlaps).alias("overlaps"), F.percentile("h", F.lit(0.5)).alias("line_height"))
+    counts = items.groupBy(*PAGE).agg(F.count("*").alias("n_items"), F.sum(F.when(F.col("column_index") == 0, 1).otherwise(0)).alias("n_left"), F.percentile("font_size", F.lit(0.5)).alias("size"))
+    out = counts.join(l, PAGE).join(b, PAGE)
+    return out.select(*PAGE, "n_items", "n_left", "n_lines", "n_blocks", "spanning", "out_of_column", F.col("overlaps").cast("long").alias("overlaps"), rounded(F.col("gap"), 2).alias("median_gap"), "tight", (F.col("back") == 0).alias("monotonic"), rounded(F.col("line_height"), 1).alias("line_height"), rounded(F.col("size"), 1).alias("size"))
 
 
 def continuations(blocks: DataFrame) -> DataFrame:
-    """Pages whose last body block runs on into the next page's first."""
-    body = blocks.where("is_body_text")
-    ends = body.groupBy(*PAGE).agg(F.max_by("text", "read_order").alias("tail"), F.min_by("text", "read_order").alias("head"))
+    """Pages whose last paragraph runs on into the next page's first.
+
+    Both are translatable body text, no headings and no formulas; the first one is the page's first translatable body
+    block, whatever it is, and then has to pass.
+    """
+    body = blocks.where("is_body_text and translatable")
+    plain = (F.col("heading_level") == 0) & ~F.col("formula")
+    ends = body.groupBy(*PAGE).agg(F.max_by(F.when(plain, F.col("text")), F.when(plain, F.col("read_order"))).alias("tail"), F.min_by(F.struct("text", plain.alias("plain")), "read_order").alias("head"))
     w = Window.partitionBy("doc_id").orderBy("page_index")
     out = ends.withColumn("before", F.lag("tail").over(w)).withColumn("page_before", F.lag("page_index").over(w))
-    hit = (F.col("page_before") == F.col("page_index") - 1) & F.rtrim("before").rlike(X.OPEN_END) & F.ltrim("head").rlike(X.CONTINUES)
-    return out.where(hit).select("doc_id", "page_index", F.length("before").cast("long").alias("tail_chars"), F.length("head").cast("long").alias("head_chars"))
+    hit = (F.col("page_before") == F.col("page_index") - 1) & F.col("head.plain") & F.rtrim("before").rlike(X.OPEN_END) & F.ltrim("head.text").rlike(X.CONTINUES)
+    return out.where(hit).select("doc_id", "page_index", F.length("before").cast("long").alias("tail_chars"), F.length("head.text").cast("long").alias("head_chars"))
 
 
 def apply_overrides(blocks: DataFrame, overrides: DataFrame) -> DataFrame:

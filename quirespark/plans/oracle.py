@@ -26,38 +26,62 @@ runs as (select doc_id, page_index, min(bucket) as first, max(bucket) as last, m
 gutters as (select doc_id, page_index, split_x, least::bigint as least from runs where split_x > 0.15::double * 918 and split_x < 0.85::double * 918
   qualify row_number() over (partition by doc_id, page_index order by least, first) = 1)
 """
-# rows of the adapter are 16 px apart, more than half of any size, so a line is a baseline
-_LINES = _UP + """,
+# rows of the adapter are 16 px apart, more than half of any size, so a line is a baseline, and has runs of one size
+_CJK = r"[\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
+_TRIM = r"'^[\s\x{FEFF}\x{00A0}\x{3000}]+|[\s\x{FEFF}\x{00A0}\x{3000}]+$', '', 'g'"
+_LINES = _UP + rf""",
+before as (select *, lag(str) over w as ps, x - lag(x + w) over w as gap from cols window w as (partition by doc_id, page_index, column_index, baseline_y order by x, line_ord, word_ord)),
+parted as (select *, case when ps is null or (ps like '%-' and regexp_matches(str, '^[a-z]')) or gap <= 0.15::double * font_size or regexp_matches(ps, '{_CJK}$') or regexp_matches(str, '^{_CJK}') then '' else ' ' end || str as piece from before),
 lines as (
   select doc_id, page_index, column_index, (dense_rank() over (partition by doc_id, page_index, column_index order by baseline_y) - 1)::int as line_index,
-    string_agg(str, ' ' order by x, line_ord, word_ord) as text, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h,
-    baseline_y, max(font_size) as font_size, count(*) as n_items from cols group by doc_id, page_index, column_index, baseline_y)
+    regexp_replace(string_agg(piece, '' order by x, line_ord, word_ord), {_TRIM}) as text, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h,
+    baseline_y, max(font_size) as font_size, count(*) as n_items, (count(*) filter (where gap > 0.3::double * font_size)) as n_gaps from parted group by doc_id, page_index, column_index, baseline_y)
 """
-_BLOCKS = _LINES + """,
+_BLOCKS = _LINES + rf""",
 gapped as (select *, y - lag(y + h) over w as gap, lag(font_size) over w as was from lines window w as (partition by doc_id, page_index, column_index order by line_index)),
-usual as (select doc_id, page_index, column_index, coalesce(quantile_cont(gap, 0.5) filter (where gap > 0), 0) as usual, quantile_cont(h, 0.5) as height from gapped group by all),
-numbered as (select g.*, sum(case when gap > greatest(1.6::double * usual, 0.25::double * height) or abs(font_size - was) > 0.2::double * was then 1 else 0 end)
-  over (partition by doc_id, page_index, column_index order by line_index)::bigint as block from gapped g join usual using (doc_id, page_index, column_index)),
-blocks as (select doc_id, page_index, column_index, block, string_agg(text, ' ' order by line_index) as text, min(x) as x, min(y) as y,
-  max(x + w) - min(x) as w, max(y + h) - min(y) as h, max(font_size) as font_size, count(*) as n_lines, column_index * 10000 + block as read_order
-  from numbered group by doc_id, page_index, column_index, block)
+usual as (select doc_id, page_index, column_index, coalesce(quantile_cont(gap, 0.5) filter (where gap > 0), 0) as usual, coalesce(nullif(quantile_cont(h, 0.5), 0), 1) as height from gapped group by all),
+opened as (select g.*, coalesce(gap > greatest(1.6::double * usual, 0.25::double * height) or (was > 0 and abs(font_size - was) > 0.2::double * was), false) as opens from gapped g join usual using (doc_id, page_index, column_index)),
+grouped as (select *, sum(opens::int) over (partition by doc_id, page_index, column_index order by line_index) as g, nullif(regexp_extract(text, '^\s*\[([0-9]{{1,3}})\]', 1), '')::int as number, floor(x / 2 + 0.5) * 2 as edge from opened),
+entered as (select *, number is not null and number > coalesce(max(number) over (w rows between unbounded preceding and 1 preceding), -1) as entry, row_number() over w = 1 as first_ from grouped
+  window w as (partition by doc_id, page_index, column_index, g order by line_index)),
+shared as (select doc_id, page_index, column_index, g, edge as shared from (select doc_id, page_index, column_index, g, edge, count(*) as n, min(line_index) as f from entered group by all)
+  qualify row_number() over (partition by doc_id, page_index, column_index, g order by n desc, f) = 1),
+sizes as (select doc_id, page_index, column_index, g, count(*) as n, coalesce(nullif(quantile_cont(font_size, 0.5), 0), 1) as size, min(x) as left_, (count(*) filter (where entry)) as n_entries from entered group by all),
+hung as (select doc_id, page_index, column_index, g, (count(*) filter (where x <= left_ + size * 0.25::double)) as n_flush, (count(*) filter (where x > left_ + size * 0.5::double)) as n_deep from entered join sizes using (doc_id, page_index, column_index, g) group by all),
+cut as (select e.*, opens or (not first_ and case when n_entries >= 3 then entry when n < 4 then false when n_flush >= 2 and 2 * n_flush < n and n_deep >= 2 then x <= left_ + size * 0.25::double
+  else x > shared + size * 0.8::double end) as cut from entered e join shared using (doc_id, page_index, column_index, g) join sizes using (doc_id, page_index, column_index, g) join hung using (doc_id, page_index, column_index, g)),
+numbered as (select *, sum(cut::int) over (partition by doc_id, page_index, column_index order by line_index)::bigint as block from cut),
+beside as (select *, lag(text) over w as pt, lead(text) over w as nt from numbered window w as (partition by doc_id, page_index, column_index, block order by line_index)),
+pieces as (select *, case when pt is null or (pt like '%-' and regexp_matches(text, '^[a-z]')) or regexp_matches(pt, '{_CJK}$') or regexp_matches(text, '^{_CJK}') then '' else ' ' end
+  || case when text like '%-' and regexp_matches(coalesce(nt, ''), '^[a-z]') then left(text, length(text) - 1) else text end as piece from beside),
+worn as (select c.doc_id, c.page_index, c.column_index, block, line_index, c.font_size, font_name, length(str) as n, row_number() over (partition by c.doc_id, c.page_index, c.column_index order by line_index, c.x, line_ord, word_ord) as k
+  from cols c join numbered l using (doc_id, page_index, column_index, baseline_y)),
+fonts as (select doc_id, page_index, column_index, block, font_name as dominant_font from (select doc_id, page_index, column_index, block, font_name, sum(n) as n, min(k) as k from worn group by all)
+  qualify row_number() over (partition by doc_id, page_index, column_index, block order by n desc, k) = 1),
+middle as (select doc_id, page_index, column_index, block, quantile_cont(font_size, 0.5) as font_size from worn group by all),
+blocks as (select b.*, m.font_size, f.dominant_font, column_index * 10000 + block as read_order from (
+    select doc_id, page_index, column_index, block, string_agg(piece, '' order by line_index) as text, min(x) as x, min(y) as y,
+      max(x + w) - min(x) as w, max(y + h) - min(y) as h, count(*) as n_lines, sum(n_gaps)::bigint as gap_count from pieces group by doc_id, page_index, column_index, block) b
+  join fonts f using (doc_id, page_index, column_index, block) join middle m using (doc_id, page_index, column_index, block))
 """
 _FONT = """,
 weights as (select doc_id, page_index, floor(2 * font_size + 0.5) / 2 as body_font, sum(length(str))::bigint as weight, min((line_ord, word_ord)) as first from up group by all),
 body as (select doc_id, page_index, body_font, weight from weights qualify row_number() over (partition by doc_id, page_index order by weight desc, first) = 1)
 """
 _STYLE = _BLOCKS + _FONT + r""",
-wide as (select doc_id, page_index, column_index, max(x + w) - min(x) as column_width from blocks group by all),
-scaled as (select b.*, floor(font_size / body_font * 1000 + 0.5) / 1000 as font_scale, floor(w / column_width * 1000 + 0.5) / 1000 as width_ratio,
-  regexp_matches(trim(text), '(?i)^([0-9]{1,4}|[ivxlcdm]{1,6})$') as numeric
-  from blocks b join body using (doc_id, page_index) join wide using (doc_id, page_index, column_index)),
-headed as (select *, case when numeric then 0 when font_scale >= 1.3 then 2 when font_scale >= 1.06 then 1 else 0 end as heading_level from scaled),
-reasoned as (select *, case when font_scale < 0.85 then 'font-size' when heading_level = 0 and width_ratio < 0.35 then 'narrow' end as figure_reason from headed),
-marked as (select *, figure_reason is null as is_body_text, length(regexp_replace(text, '\s', '', 'g')) as n_chars,
+heads as (select doc_id, page_index, font_name as dominant_font, true as is_bold from (select doc_id, page_index, font_name, quantile_cont(font_size, 0.5) as m from up group by all) join body using (doc_id, page_index) where m >= 1.15::double * body_font),
+wide as (select doc_id, page_index, (case when x < 459 then 0 else 1 end) as column_index, min(x) as l, max(x + w) as r from blocks where (x < 459 and x + w > 0)::int + (x < 918 and x + w > 459)::int = 1 group by all),
+scaled as (select b.*, font_size / body_font as scale, w / case when l is null then w else greatest(1, r - l) end as ratio, coalesce(is_bold, false) as bold,
+  regexp_matches(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?i)^([0-9]{1,4}|[ivxlcdm]{1,6})$') as numeric
+  from blocks b join body using (doc_id, page_index) left join wide using (doc_id, page_index, column_index) left join heads using (doc_id, page_index, dominant_font)),
+headed as (select *, floor(scale * 1000 + 0.5) / 1000 as font_scale, floor(ratio * 100 + 0.5) / 100 as width_ratio, floor(gap_count / n_lines * 100 + 0.5) / 100 as gaps_per_line,
+  case when numeric then 0 when scale >= 1.3 then 2 when scale >= 1.06::double then 1 else 0 end as heading_level from scaled),
+reasoned as (select *, case when scale < 0.85::double then 'font-size' when heading_level = 0 and ratio < 0.35::double then 'narrow' end as figure_reason from headed),
+marked as (select *, figure_reason is null as is_body_text, not numeric as translatable, length(regexp_replace(text, '\s', '', 'g')) as n_chars,
   length(regexp_replace(text, '[^=+<>{}±×÷∂∇−Ͱ-Ͽ←-⇿∀-⋿]', '', 'g')) as n_strong,
   len(list_filter(regexp_extract_all(text, '[A-Za-z]{3,}'), lambda q: not list_contains(['sin','cos','tan','cot','sec','csc','log','ln','lg','exp','min','max','arg','sup','inf','det','dim','lim','mod','gcd','lcm','var','std','relu','sig','sgn','softmax'], lower(q)))) as long_words,
   regexp_matches(text, '\(([0-9]{1,3}[a-z]?)\)\s*\.?\s*$') as numbered_ from reasoned),
-styled as (select *, is_body_text and heading_level = 0 and n_chars > 0 and n_lines <= 8 and case when numbered_ then n_strong * 100 >= n_chars * 10
+styled as (select *, is_body_text and translatable and heading_level = 0 and n_chars > 0 and n_lines <= 8 and case when numbered_ then n_strong * 100 >= n_chars * 10
   else long_words = 0 and n_strong * 100 >= n_chars * (case when n_lines = 1 then 30 else 25 end) end as formula from marked)
 """
 _GRAPHICS = """
@@ -84,21 +108,21 @@ ORACLE_SQL = {
     "q_coverage_window": _with(_COVER) + " select doc_id, page_index, bucket, total::bigint as total from slides where total > 0",
     "q_gutters": _with(_COVER) + " select * from gutters",
     "q_assign_columns": _with(_COVER) + " select doc_id, page_index, case when split_x is null or x + w / 2 < split_x then 0 else 1 end as column_index, count(*) as n, max(x) as x_max from up left join gutters using (doc_id, page_index) group by all",
-    "q_lines": _with(_LINES) + " select * from lines",
+    "q_lines": _with(_LINES) + " select doc_id, page_index, column_index, line_index, text, x, y, w, h, baseline_y, font_size, n_items, n_gaps from lines",
     "q_paragraphs": _with(_BLOCKS) + " select * from blocks",
     "q_body_font": _with(_UP + _FONT) + " select * from body",
     "q_heading_fonts": _with(_UP + _FONT) + " select doc_id, page_index, font_name, m as median from (select doc_id, page_index, font_name, quantile_cont(font_size, 0.5) as m from up group by all) join body using (doc_id, page_index) where m >= 1.15::double * body_font",
-    "q_block_style": _with(_STYLE) + " select doc_id, page_index, column_index, block, font_scale, width_ratio, numeric, heading_level, figure_reason, is_body_text from styled",
+    "q_block_style": _with(_STYLE) + " select doc_id, page_index, column_index, block, font_scale, width_ratio, gaps_per_line, bold, numeric, heading_level, figure_reason, is_body_text from styled",
     "q_formula_mark": _with(_STYLE) + """, f as (select * from styled where formula)
-      select doc_id, page_index, column_index, block from styled s where formula or (n_lines <= 3 and length(text) <= 40 and exists (
+      select doc_id, page_index, column_index, block from styled s where formula or (n_lines <= 3 and length(text) <= 40 and is_body_text and translatable and heading_level = 0 and exists (
         select 1 from f where f.doc_id = s.doc_id and f.page_index = s.page_index and f.column_index = s.column_index
           and least(s.y + s.h, f.y + f.h) - greatest(s.y, f.y) >= 2))""",
     "q_front_matter": _with(_STYLE) + r""", p0 as (select * from styled where page_index = 0),
-      title as (select doc_id, y as title_y, read_order as title_order from p0 where y < 0.4 * 1188 and font_scale >= 1.3
+      title as (select doc_id, y as title_y, read_order as title_order from p0 where y <= 0.4 * 1188 and font_scale >= 1.3
         qualify row_number() over (partition by doc_id order by font_scale desc, read_order) = 1),
       below as (select * from p0 join title using (doc_id) where y > title_y),
       lim as (select doc_id, min(y) as limit_y from below where regexp_matches(trim(text), '(?i)^(abstract|摘要|概要|summary)')
-        or (is_body_text and font_scale < 1.15 and width_ratio >= 0.85 and length(text) >= 80) group by 1)
+        or (font_scale < 1.15 and width_ratio >= 0.85 and length(text) >= 80) group by 1)
       select doc_id, read_order, y, title_y, limit_y from below join lim using (doc_id) where y < limit_y and read_order <> title_order""",
     "q_reference_intervals": _with(_STYLE) + r""", r as (select doc_id, page_index, read_order, column_index, block, doc_id % 5 = 0 and read_order = 1 as own,
         case when doc_id % 5 = 0 and read_order = 1 then 'References' else text end as t, font_scale, heading_level from styled),
@@ -119,13 +143,18 @@ ORACLE_SQL = {
       select doc_id, page_index, column_index, n_rows, best, best >= greatest(2, ceil(n_rows * 0.6::double)) as shared from b join r using (doc_id, page_index, column_index)""",
     "q_geometry_trust": _with(_GRAPHICS) + """, s as (select doc_id, page_index, avg(((ord + page_index) % 2 = 0)::int) as share from graphics where ord < 5 group by all)
       select doc_id, page_index, coalesce(share, 1.0::double) as share, coalesce(share, 1.0::double) >= 0.5 as trusted from pages_ left join s using (doc_id, page_index)""",
-    "q_self_check": _with(_BLOCKS) + """, f as (select doc_id, page_index, y < lag(y) over (partition by doc_id, page_index, column_index order by read_order) as bad from blocks),
-      b as (select doc_id, page_index, count(*) as n_blocks, not coalesce(bool_or(bad), false) as monotonic from f group by all),
-      c as (select doc_id, page_index, count(*) as n_items, sum(case when column_index = 0 then 1 else 0 end)::bigint as n_left from cols group by all)
-      select * from c join b using (doc_id, page_index)""",
-    "q_continuation": _with(_STYLE) + r""", e as (select doc_id, page_index, arg_max(text, read_order) as tail, arg_min(text, read_order) as head from styled where is_body_text group by all),
+    "q_self_check": _with(_BLOCKS) + """, v as (select *, case column_index when 0 then x < -1 or x + w > 460 else x < 458 or x + w > 919 end as over, (x < 459 and x + w > 0)::int + (x < 918 and x + w > 459)::int >= 2 as several,
+        case when h > 0 then (lead(y) over w - y - h) / h end as space, lag(column_index) over (partition by doc_id, page_index order by read_order) as bc from blocks window w as (partition by doc_id, page_index, column_index order by read_order)),
+      b as (select doc_id, page_index, count(*) as n_blocks, (count(*) filter (where over and several)) as spanning, (count(*) filter (where over and not several)) as out_of_column, floor(coalesce(quantile_cont(space, 0.5), 0) * 100 + 0.5) / 100 as median_gap,
+        (count(*) filter (where space < 1)) as tight, not coalesce(bool_or(column_index < bc), false) as monotonic from v group by all),
+      o as (select doc_id, page_index, (count(*) filter (where gap < -2)) as overlaps from before group by all),
+      l as (select doc_id, page_index, count(*) as n_lines, floor(quantile_cont(h, 0.5) * 10 + 0.5) / 10 as line_height from lines group by all),
+      c as (select doc_id, page_index, count(*) as n_items, sum(case when column_index = 0 then 1 else 0 end)::bigint as n_left, floor(quantile_cont(font_size, 0.5) * 10 + 0.5) / 10 as size from cols group by all)
+      select * from c join b using (doc_id, page_index) join o using (doc_id, page_index) join l using (doc_id, page_index)""",
+    "q_continuation": _with(_STYLE) + r""", e as (select doc_id, page_index, arg_max(text, read_order) filter (where heading_level = 0 and not formula) as tail, arg_min(text, read_order) as head, arg_min(heading_level = 0 and not formula, read_order) as plain
+        from styled where is_body_text and translatable and not formula group by all),
       l as (select *, lag(tail) over w as before, lag(page_index) over w as pb from e window w as (partition by doc_id order by page_index))
-      select doc_id, page_index, length(before) as tail_chars, length(head) as head_chars from l where pb = page_index - 1 and regexp_matches(rtrim(before), '[A-Za-z0-9,;\-–—]$') and regexp_matches(ltrim(head), '^[a-z,;]')""",
+      select doc_id, page_index, length(before) as tail_chars, length(head) as head_chars from l where pb = page_index - 1 and plain and regexp_matches(rtrim(before), '[A-Za-z0-9,;\-–—]$') and regexp_matches(ltrim(head), '^[a-z,;]')""",
     "q_overrides": _with(_STYLE) + f""", k as (select doc_id, {_ANCHOR} as anchor, (['body','figure','formula','reference','auto'])[doc_id % 5 + 1] as kind, is_body_text, formula from styled where page_index = 0 and read_order = 0)
       select doc_id, anchor, case when kind <> 'auto' then kind end as kind, case kind when 'body' then true when 'figure' then false else is_body_text end as eff_body,
         kind not in ('formula', 'reference') as eff_translatable, case kind when 'formula' then true when 'body' then false else formula end as eff_formula from k""",
@@ -150,7 +179,7 @@ ORACLE_SQL = {
       select doc_id, case doc_id % 4 when 0 then 'empty' when 1 then case when n = 0 then 'empty' else 'no-cjk' end
         when 2 then case when n >= 40 and 4 < n then 'short' end else case when n >= 40 and 1800 > n * 5 then 'long' when n >= 40 and 3600 < n then 'short' end end as warning from c""",
     "q_cache_hits": "select doc_id, text in (select text from documents where doc_id % 2 = 0) as hit from documents",
-    "q_run_summary": "select count(*) as total, count_if(event_id % 4 = 0) as done, count_if(event_id % 4 = 1) as cached, count_if(event_id % 4 = 2) as failed, count_if(event_id % 4 = 3) as cancelled, round(count_if(event_id % 4 = 1) / count(*), 6) as hit_rate from events",
+    "q_run_summary": "select count(*) as total, (count(*) filter (where event_id % 4 = 0)) as done, (count(*) filter (where event_id % 4 = 1)) as cached, (count(*) filter (where event_id % 4 = 2)) as failed, (count(*) filter (where event_id % 4 = 3)) as cancelled, round((count(*) filter (where event_id % 4 = 1)) / count(*), 6) as hit_rate from events",
     "q_http_classify": """with e as (select ([200, 401, 403, 429, 500, 503, 404])[event_id % 7 + 1] as status, event_id % 3 + 1 as attempt from events),
       k as (select case when status in (401, 403) then 'auth' when status = 429 then 'rate-limit' when status >= 500 then 'server' else 'bad-request' end as kind, attempt from e where status <> 200)
       select kind, kind in ('rate-limit', 'server') as retryable, attempt, count(*) as n, sum(800.0::double * (1 << (attempt - 1)::int)) as wait_ms from k group by all""",

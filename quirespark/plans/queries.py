@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -42,8 +42,15 @@ def _blocks(s: SparkSession, d: str) -> DataFrame:
     return layout.paragraphs(layout.lines(_columned(s, d)))
 
 
+def _bounds() -> Column:
+    """Bounds of the adapter's two columns."""
+    return F.array(F.lit(0.0), F.lit(459.0), F.lit(918.0))
+
+
 def _styled(s: SparkSession, d: str) -> DataFrame:
-    return layout.mark_formulas(layout.block_style(_blocks(s, d), layout.body_font(_items(s, d))))
+    items = _items(s, d)
+    body = layout.body_font(items)
+    return layout.mark_formulas(layout.block_style(_blocks(s, d), body, _bounds(), layout.heading_fonts(items, body)))
 
 
 def _graphics(s: SparkSession, d: str) -> DataFrame:
@@ -94,12 +101,12 @@ def q_assign_columns(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_lines(s: SparkSession, d: str) -> DataFrame:
-    return layout.lines(_columned(s, d))
+    return layout.lines(_columned(s, d)).select("doc_id", "page_index", "column_index", "line_index", "text", "x", "y", "w", "h", "baseline_y", "font_size", "n_items", "n_gaps")
 
 
 @_query
 def q_paragraphs(s: SparkSession, d: str) -> DataFrame:
-    return _blocks(s, d).select("doc_id", "page_index", "column_index", "block", "text", "x", "y", "w", "h", "font_size", "n_lines", "read_order")
+    return _blocks(s, d).select("doc_id", "page_index", "column_index", "block", "text", "x", "y", "w", "h", "font_size", "n_lines", "gap_count", "dominant_font", "read_order")
 
 
 @_query
@@ -115,7 +122,7 @@ def q_heading_fonts(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_block_style(s: SparkSession, d: str) -> DataFrame:
-    return layout.block_style(_blocks(s, d), layout.body_font(_items(s, d))).select("doc_id", "page_index", "column_index", "block", "font_scale", "width_ratio", "numeric", "heading_level", "figure_reason", "is_body_text")
+    return _styled(s, d).select("doc_id", "page_index", "column_index", "block", "font_scale", "width_ratio", "gaps_per_line", "bold", "numeric", "heading_level", "figure_reason", "is_body_text")
 
 
 @_query
@@ -161,7 +168,9 @@ def q_geometry_trust(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_self_check(s: SparkSession, d: str) -> DataFrame:
-    return layout.self_check(_columned(s, d), _blocks(s, d))
+    items = _columned(s, d)
+    lines = layout.lines(items)
+    return layout.self_check(items, lines, layout.paragraphs(lines), _bounds())
 
 
 @_query

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PAGE_WIDTH, PAGE_HEIGHT = 918.0, 1188.0
 ROWS, WIDTH, TOP, PITCH = 60, 240, 90.0, 16.0
 LEFT = (75.0, 463.0)
+#: Words of a line that are placed at once.
+GROUP = 64
 
 
 def items(documents: DataFrame) -> DataFrame:
@@ -19,14 +21,15 @@ def items(documents: DataFrame) -> DataFrame:
     n = F.col("doc_id") + F.col("line_ord")
     size = F.when(F.col("line_ord") == 0, 16.0).when(n % 11 == 0, 6.0).when(n % 7 == 0, 9.0).otherwise(10.0)
     words = F.filter(F.split("line", " "), lambda w: w != "")
-    # offsets by a fold inside the row: no shuffle before the rows are numbered
-    placed = F.aggregate(
-        "words",
-        F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<str:string,c:double,w:double>>").alias("out")),
-        lambda s, w: F.struct((s["c"] + (F.length(w) + 1) * F.col("font_size") / 2).alias("c"), F.array_append(s["out"], F.struct(w.alias("str"), s["c"].alias("c"), (F.length(w) * F.col("font_size") / 2).alias("w"))).alias("out")),
-        lambda s: s["out"],
-    )
-    lines = lines.select("doc_id", "line_ord", size.alias("font_size"), words.alias("words")).withColumn("runs", placed)
+    # offsets inside the row, before rows are numbered: words in groups of GROUP, so that no long array grows by one
+    width = lambda w: (F.length(w) + 1) * F.col("font_size") / 2
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / GROUP) - 1, F.lit(0)).cast("int")), lambda g: F.slice(F.col("words"), g * GROUP + 1, F.lit(GROUP)))
+    begins = F.aggregate("groups", F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out")), lambda s, g: F.struct(F.aggregate(g, s["c"], lambda c, w: c + width(w)).alias("c"), F.array_append(s["out"], s["c"]).alias("out")), lambda s: s["out"])
+    kind = "array<struct<str:string,c:double,w:double>>"
+    within = lambda g, i: F.aggregate(g, F.struct(F.get("begins", i).alias("c"), F.array().cast(kind).alias("out")), lambda s, w: F.struct((s["c"] + width(w)).alias("c"), F.array_append(s["out"], F.struct(w.alias("str"), s["c"].alias("c"), (F.length(w) * F.col("font_size") / 2).alias("w"))).alias("out")), lambda s: s["out"])
+    placed = F.flatten(F.transform("groups", within))
+    lines = lines.select("doc_id", "line_ord", size.alias("font_size"), words.alias("words")).where(F.size("words") > 0)
+    lines = lines.withColumn("groups", groups).withColumn("begins", begins).withColumn("runs", placed)
     lines = lines.withColumn("n_rows", F.floor(F.element_at("runs", -1)["c"] / WIDTH) + 1)
     before = Window.partitionBy("doc_id").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("row0", F.coalesce(F.sum(F.col("n_rows") + 1).over(before), F.lit(0)))
