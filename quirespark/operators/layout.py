@@ -283,13 +283,20 @@ def overlapping_pairs(boxes: DataFrame, pad: float = 0.0, band: float = 64.0) ->
     return pairs.select("a.doc_id", "a.page_index", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), G.shared_area(left, right).alias("area"), F.round(G.coverage(left, right), 6).alias("coverage")).distinct()
 
 
-def figure_clusters(boxes: DataFrame, distance: float = 6.0, least: int = 4) -> DataFrame:
-    """Connected boxes of a page, `least` or more; a page has few boxes, so a fold over its pairs joins them."""
+def box_clusters(boxes: DataFrame, distance: float = 6.0) -> DataFrame:
+    """(page, ord, cluster) of boxes that are connected by less than `distance`; a cluster is named by its least box.
+
+    A page has few boxes, so a fold over its pairs joins them.
+    """
     pairs = overlapping_pairs(boxes, distance / 2).groupBy(*PAGE).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     page = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list("ord")).alias("ords")).join(pairs, PAGE, "left")
     edges = F.coalesce(F.col("pairs"), F.array().cast("array<struct<a:int,b:int>>"))
     start = F.map_from_arrays("ords", "ords")
     labels = F.aggregate(edges, start, lambda m, e: F.transform_values(m, lambda k, v: F.when(v == F.greatest(F.element_at(m, e["a"]), F.element_at(m, e["b"])), F.least(F.element_at(m, e["a"]), F.element_at(m, e["b"]))).otherwise(v)))
-    named = page.select(*PAGE, F.explode(labels).alias("ord", "cluster"))
-    sized = boxes.join(named, [*PAGE, "ord"]).groupBy(*PAGE, "cluster").agg(*G.union_box(), F.count("*").alias("n"))
-    return sized.where(F.col("n") >= least)
+    return page.select(*PAGE, F.explode(labels).alias("ord", "cluster"))
+
+
+def figure_clusters(boxes: DataFrame, distance: float = 6.0, least: int = 4) -> DataFrame:
+    """Clusters of `least` boxes or more, with their box and count."""
+    named = box_clusters(boxes, distance)
+    return boxes.join(named, [*PAGE, "ord"]).groupBy(*PAGE, "cluster").agg(*G.union_box(), F.count("*").alias("n")).where(F.col("n") >= least)

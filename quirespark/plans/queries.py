@@ -12,12 +12,12 @@ from ..functions import text as X
 from ..operators import enrich, layout, library, regions
 from ..sources import adapter, drawing
 from ..streaming import pages as streams
-from . import catalogue
+from . import analysis, catalogue
 from .oracle import ORACLE_SQL as LAYOUT_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(catalogue.QUERIES)
-ORACLE_SQL: dict[str, str] = LAYOUT_SQL | catalogue.ORACLE_SQL
+QUERIES: dict[str, Query] = catalogue.QUERIES | analysis.QUERIES
+ORACLE_SQL: dict[str, str] = LAYOUT_SQL | catalogue.ORACLE_SQL | analysis.ORACLE_SQL
 
 
 def _query(f: Query) -> Query:
@@ -202,11 +202,6 @@ def q_merge_overlapping(s: SparkSession, d: str) -> DataFrame:
     return regions.merge_overlapping(_graphics(s, d))
 
 
-@_query
-def q_flow_nodes(s: SparkSession, d: str) -> DataFrame:
-    return regions.flow_nodes(_styled(s, d), _graphics(s, d))
-
-
 @_query
 def q_drawing_boxes(s: SparkSession, d: str) -> DataFrame:
     # each document's lines as a program: a translation and a box per line
