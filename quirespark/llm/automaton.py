@@ -12,9 +12,9 @@ from .bpe import Merges
 #: Chunks of the input that are read side by side.
 LANES = 8192
 #: Transitions kept before the compiled automaton is dropped and compiled anew; bounds a worker's memory.
-MAX_TRANSITIONS = 1 << 18
+MAX_TRANSITIONS = 1 << 19
 #: Pairs of tokens whose fit is remembered.
-FITS = 1 << 16
+FITS = 1 << 18
 START = 0
 
 
@@ -127,7 +127,7 @@ class Automaton:
             kept = self.keys >= 0
             old = self.keys[kept], self.next[kept], self.outs[kept]
             while 2 * self.used > self.size:
-                self.size *= 4
+                self.size *= 2
             self._table()
             self._put(*old)
         self._put(keys, to, adds)
