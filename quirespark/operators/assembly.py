@@ -90,7 +90,8 @@ def lines(items: DataFrame) -> DataFrame:
     )
     columns = columns.withColumn("at", begins)
     cut = F.transform("at", lambda a, k: F.slice(F.col("runs"), a + 1, F.coalesce(F.get(F.col("at"), k + 1), F.size("runs")) - a))
-    out = columns.select(*COLUMN, F.posexplode(cut).alias("line_index", "runs"))
+    # no column is without lines; the outer form keeps the optimizer from working the fold out twice for a filter
+    out = columns.select(*COLUMN, F.posexplode_outer(cut).alias("line_index", "runs"))
     ordered = F.sort_array(F.transform("runs", lambda r: F.struct(r["x"].alias("x"), r["line_ord"].alias("line_ord"), r["word_ord"].alias("word_ord"), r.alias("r"))))
     out = out.withColumn("runs", F.transform(ordered, lambda p: p["r"]))
     out = out.withColumn("font_size", middle(F.transform("runs", lambda r: r["font_size"]))).withColumn("largest", F.array_max(F.transform("runs", lambda r: r["font_size"])))

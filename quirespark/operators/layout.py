@@ -36,7 +36,7 @@ def column_coverage(items: DataFrame, width: float = 918.0) -> DataFrame:
         lambda s, i: F.struct((s["n"] + F.coalesce(F.element_at("m", i.cast("long")), F.lit(0))).alias("n"), F.array_append(s["out"], s["n"] + F.coalesce(F.element_at("m", i.cast("long")), F.lit(0))).alias("out")),
         lambda s: s["out"],
     )
-    return dense.select(*PAGE, F.posexplode(fold).alias("bucket", "n"))
+    return dense.select(*PAGE, F.posexplode_outer(fold).alias("bucket", "n"))
 
 
 def coverage_window(coverage: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def mark_references(blocks: DataFrame) -> DataFrame:
         lambda s: s["out"],
     )
     by_doc = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
-    out = by_doc.select("doc_id", F.explode(F.arrays_zip(F.col("bs").alias("b"), folded.alias("inside"))).alias("z"))
+    out = by_doc.select("doc_id", F.explode_outer(F.arrays_zip(F.col("bs").alias("b"), folded.alias("inside"))).alias("z"))
     return out.select("doc_id", "z.b.page_index", "z.b.column_index", "z.b.block", F.col("z.inside").alias("in_references"))
 
 
@@ -293,7 +293,7 @@ def box_clusters(boxes: DataFrame, distance: float = 6.0) -> DataFrame:
     edges = F.coalesce(F.col("pairs"), F.array().cast("array<struct<a:int,b:int>>"))
     start = F.map_from_arrays("ords", "ords")
     labels = F.aggregate(edges, start, lambda m, e: F.transform_values(m, lambda k, v: F.when(v == F.greatest(F.element_at(m, e["a"]), F.element_at(m, e["b"])), F.least(F.element_at(m, e["a"]), F.element_at(m, e["b"]))).otherwise(v)))
-    return page.select(*PAGE, F.explode(labels).alias("ord", "cluster"))
+    return page.select(*PAGE, F.explode_outer(labels).alias("ord", "cluster"))
 
 
 def figure_clusters(boxes: DataFrame, distance: float = 6.0, least: int = 4) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +51,15 @@ def _graphics(items: DataFrame) -> DataFrame:
 
 def _numbered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = layout.upright(_items(s, d)).withColumn("column_index", F.when(F.col("x") < 459, 0).otherwise(1))
-    return items, assembly.paragraph_lines(assembly.lines(items)), layout.body_font(items)
+    # kept for the queries of one session, which read the same lines
+    numbered = assembly.paragraph_lines(assembly.lines(items)).persist(StorageLevel.MEMORY_AND_DISK)
+    return items, numbered, layout.body_font(items)
 
 
 def _styled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     items, numbered, body = _numbered(s, d)
     blocks = layout.block_style(assembly.blocks_of(numbered), body, _bounds(), layout.heading_fonts(items, body))
-    return items, numbered, body, layout.mark_formulas(blocks)
+    return items, numbered, body, layout.mark_formulas(blocks).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @_query(STYLE_SQL + """, c as (select n.*, body_font, len(regexp_extract_all(n.text, '[A-Za-z]{3,}')) as words from numbered n
@@ -220,7 +223,7 @@ def q_render_spans(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def q_line_spans(s: SparkSession, d: str) -> DataFrame:
     items = layout.upright(_items(s, d)).withColumn("column_index", F.when(F.col("x") < 459, 0).otherwise(1))
-    lines = assembly.lines(items).select(*PAGE, "column_index", "line_index", F.explode("spans").alias("s"))
+    lines = assembly.lines(items).select(*PAGE, "column_index", "line_index", F.explode_outer("spans").alias("s")).where("s is not null")
     return lines.select(*PAGE, "column_index", "line_index", "s.*")
 
 
