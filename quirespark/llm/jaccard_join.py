@@ -485,10 +485,14 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"), F.lit(True).alias("one")).union(bare).distinct()
     # equal rows are told by their number, so texts move only where there are any
     copies = stored(rows.groupBy("doc_id", "row").agg(F.count("*").alias("copies")).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))).select("kept_id", "kept_row", (F.col("one") & (F.col("copies") > 1)).alias("again")), "jaccard-kept")
-    mark = lambda again: copies.where(F.col("again") == again).select("kept_id", "kept_row")
-    same = lambda own: docs["doc_id"].cast("long").eqNullSafe(own.kept_id) & (name == own.kept_row)
-    plain = docs.join(single := mark(False), same(single), "left_semi")
-    several = mark(True)
-    if several.isEmpty():
-        return plain
-    return plain.union(docs.join(several, same(several), "left_semi").dropDuplicates())
+    taken, own_id, own_row = {c.lower() for c in docs.columns}, "kept_id", "kept_row"
+    while own_id in taken or own_row in taken:
+        own_id, own_row = own_id + "_", own_row + "_"
+
+    def kept_rows(again: bool) -> DataFrame:
+        own = copies.where(F.col("again") == again).select(F.col("kept_id").alias(own_id), F.col("kept_row").alias(own_row))
+        return docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (name == F.col(own_row)), "left_semi")
+
+    if copies.where("again").isEmpty():
+        return kept_rows(False)
+    return kept_rows(False).union(kept_rows(True).dropDuplicates())
