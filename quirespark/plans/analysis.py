@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assembly, figures, flow, layout, pages, tables
+from ..operators.settled import settled
 from ..sources import adapter
 from . import oracle
 
@@ -51,15 +51,14 @@ def _graphics(items: DataFrame) -> DataFrame:
 
 def _numbered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = layout.upright(_items(s, d)).withColumn("column_index", F.when(F.col("x") < 459, 0).otherwise(1))
-    # kept for the queries of one session, which read the same lines
-    numbered = assembly.paragraph_lines(assembly.lines(items)).persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = settled(assembly.paragraph_lines(assembly.lines(items)))
     return items, numbered, layout.body_font(items)
 
 
 def _styled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     items, numbered, body = _numbered(s, d)
     blocks = layout.block_style(assembly.blocks_of(numbered), body, _bounds(), layout.heading_fonts(items, body))
-    return items, numbered, body, layout.mark_formulas(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    return items, numbered, body, settled(layout.mark_formulas(blocks))
 
 
 @_query(STYLE_SQL + """, c as (select n.*, body_font, len(regexp_extract_all(n.text, '[A-Za-z]{3,}')) as words from numbered n
@@ -233,7 +232,7 @@ def q_flow_nodes(s: SparkSession, d: str) -> DataFrame:
     paths = _graphics(items)
     found = figures.figure_regions([figures.clusters(paths).select(*PAGE, "x", "y", "w", "h")], items, body, 918.0, 1188.0)
     bounds = items.select(*PAGE).distinct().withColumn("bounds", _bounds())
-    nodes = flow.page_flow(layout.absorb_fragments(blocks), tables.table_regions(numbered, blocks, body, 5.0), found, paths, bounds)
+    nodes = flow.page_flow(layout.absorb_fragments(blocks), settled(tables.table_regions(numbered, blocks, body, 5.0)), settled(found), paths, bounds)
     return nodes.drop("skipped", "dropped")
 
 
@@ -243,6 +242,7 @@ def q_flow_stats(s: SparkSession, d: str) -> DataFrame:
     paths = _graphics(items)
     found = figures.figure_regions([figures.clusters(paths).select(*PAGE, "x", "y", "w", "h")], items, body, 918.0, 1188.0)
     bounds = items.select(*PAGE).distinct().withColumn("bounds", _bounds())
+    found = settled(found)
     none = found.limit(0)
     made = flow.text_nodes(flow.page_flow(blocks, none, found, paths, bounds), blocks, blocks.select(*PAGE, "column_index", "block", F.col("text").alias("target")))
     return flow.flow_stats(made, blocks, found, paths)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.settled import shared_folder
+
 PAGES = "doc_id long, page_index int, heads boolean, closes boolean, width double"
 STATES = "doc_id long, page_index int, in_references boolean, width_so_far double"
 
@@ -49,7 +50,7 @@ def ordered_pages(stream: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, scratch: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its output as a table; scratch must be a shared folder on a cluster."""
     spark = stream.sparkSession
-    base = scratch or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quirespark-")
+    base = scratch or shared_folder(spark)
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
