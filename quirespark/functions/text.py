@@ -20,6 +20,7 @@ CAPTION = r"(?i)^(table|tab\.?|tbl\.?|figure|fig\.?)\s*[0-9IVXivx]+[.:)]?\s"
 PAGE_NUMBER = r"(?i)^(\d{1,4}|[ivxlcdm]{1,6})$"
 BOLD, ITALIC = r"(?i)bold|medi|black|heavy|semibold|demi", r"(?i)ital|oblique"
 MATH_FONT = r"(?i)^(CMMI|CMMIB|CMSY|CMEX|CMEXB|MTMI|MTSY|MSAM|MSBM|MTEX)"
+RETRYABLE = ("network", "rate-limit", "server", "empty")
 OPEN_END, CONTINUES = r"[A-Za-z0-9,;\-–—]$", r"^[a-z,;]"
 
 
@@ -127,7 +128,7 @@ def error_kind(status: Column) -> Column:
 
 
 def retryable(kind: Column) -> Column:
-    return kind.isin("network", "rate-limit", "server", "empty")
+    return kind.isin(*RETRYABLE)
 
 
 def backoff_ms(attempt: Column, base: int = 800, retry_after: Column | None = None, jitter: Column | None = None) -> Column:

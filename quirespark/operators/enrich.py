@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,24 +78,42 @@ def run_summary(statuses: DataFrame) -> DataFrame:
     return out.withColumn("hit_rate", F.when(F.col("total") > 0, F.round(F.col("cached") / F.col("total"), 6)).otherwise(0.0))
 
 
-def translate_misses(misses: DataFrame, port: Callable[[], Translator], attempts: int = 3) -> DataFrame:
-    """Runs a port over (id, source) in partitions, the bound of concurrency; a row per request with its outcome."""
+def wait_ms(ident: object, attempt: int, retry_after_ms: float | None, base_ms: float) -> float:
+    """The wait after a failed attempt: what the error asks for, else doubling from the base, by a factor from 0.5 to 1
+    that the request and the attempt give, so that a retried task waits alike."""
+    if retry_after_ms is not None:
+        return retry_after_ms
+    return base_ms * 2 ** (attempt - 1) * (0.5 + crc32(f"{ident}|{attempt}".encode()) / 2**33)
+
+
+def translate_misses(misses: DataFrame, port: Callable[[], Translator], attempts: int = 3, base_ms: float = 800.0, concurrency: int | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Runs a port over (id, source): a row per request with its outcome.
+
+    Each partition is a worker, `concurrency` of them if given. Errors of a retryable kind are tried again after a wait;
+    others end a request. A request that fails reports all attempts, one that its port cancels (kind `aborted`) is told
+    apart; of what a text lacks a warning says.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = port()
         for pdf in batches:
             rows = []
             for i, source in zip(pdf["id"], pdf["source"], strict=True):
-                text, error, used = None, None, 0
+                text, kind, used = None, None, 0
                 while used < attempts and text is None:
                     used += 1
                     try:
-                        text, error = own.translate(source), None
+                        text, kind = own.translate(source), None
                     except Exception as e:  # the port's errors are outcomes, by their kind
-                        error = getattr(e, "kind", "network")
-                        if error not in ("network", "rate-limit", "server", "empty"):
+                        kind = getattr(e, "kind", "network")
+                        if kind not in X.RETRYABLE or used == attempts:
                             break
-                rows.append((i, "done" if text is not None else "failed", text, error, used))
-            yield pd.DataFrame(rows, columns=["id", "state", "text", "error_kind", "attempts_actual"])
-
-    return misses.select("id", "source").mapInPandas(run, "id string, state string, text string, error_kind string, attempts_actual int")
+                        sleep(wait_ms(i, used, getattr(e, "retry_after_ms", None), base_ms) / 1000)
+                state = "done" if text is not None else "cancelled" if kind == "aborted" else "failed"
+                rows.append((i, source, state, text, kind, used if text is not None else attempts))
+            yield pd.DataFrame(rows, columns=["id", "source", "state", "text", "error_kind", "attempts"])
+
+    asked = misses.select("id", "source")
+    asked = asked if concurrency is None else asked.repartition(concurrency)
+    out = asked.mapInPandas(run, "id string, source string, state string, text string, error_kind string, attempts int")
+    return out.select("id", "state", "text", "error_kind", "attempts", F.when(F.col("state") == "done", X.quality_warning(F.col("source"), F.col("text"))).alias("warning"))

@@ -324,3 +324,31 @@ def q_preview_fill(s: SparkSession, d: str) -> DataFrame:
 def q_character_kinds(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return _read(s, d, "documents").select("doc_id", X.count_of(t, X.CJK).alias("n_cjk"), F.round(X.math_ratio(t), 9).alias("math_ratio"))
+
+
+class Refused(Exception):
+    def __init__(self, kind: str):
+        self.kind, self.retry_after_ms = kind, 0.0
+
+
+class FaultyPort:
+    """A stand-in for a remote model: by a text's length it is refused for good, cancelled, fails once or always, or answers."""
+
+    def __init__(self):
+        self.asked: dict[str, int] = {}
+
+    def translate(self, source: str) -> str:
+        n = self.asked[source] = self.asked.get(source, 0) + 1
+        k = len(source) % 7
+        if k == 0 or k == 1 or (k == 2 and n == 1) or k == 3:
+            raise Refused(("auth", "aborted", "server", "network")[k])
+        return "中" * len(source) if k == 4 else "plain"
+
+
+@_query("""with t as (select distinct text from conversations where length(text) > 0) select md5(text) as id, case length(text) % 7 when 0 then 'failed' when 1 then 'cancelled' when 3 then 'failed' else 'done' end as state,
+  case length(text) % 7 when 0 then 'auth' when 1 then 'aborted' when 3 then 'network' end as error_kind, case when length(text) % 7 in (0, 1, 3) then 3 when length(text) % 7 = 2 then 2 else 1 end as attempts,
+  case when length(text) % 7 in (2, 5, 6) then 'no-cjk' end as warning from t""")
+def q_translate_run(s: SparkSession, d: str) -> DataFrame:
+    t = _read(s, d, "conversations").where("length(text) > 0").select("text").distinct()
+    out = enrich.translate_misses(t.select(F.md5("text").alias("id"), F.col("text").alias("source")), FaultyPort, concurrency=4)
+    return out.select("id", "state", "error_kind", "attempts", "warning")

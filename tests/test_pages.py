@@ -4,13 +4,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.operators import assembly, figures, flow, layout, store, tables
+from quirespark.operators import assembly, enrich, figures, flow, layout, store, tables
 from quirespark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 RUNS = "doc_id long, page_index int, column_index int, line_ord int, word_ord int, str string, x double, y double, w double, h double, baseline_y double, font_size double, font_name string"
 BOX = "doc_id long, page_index int, x double, y double, w double, h double"
-CATALOGUE = ["q_add_papers", "q_set_progress", "q_create_collections", "q_override_state", "q_cache_newer_half", "q_base64", "q_run_geometry", "q_covered_columns", "q_mask_spans", "q_render_spans", "q_table_groups", "q_enclosed", "q_region_covers_block"]
+CATALOGUE = ["q_add_papers", "q_set_progress", "q_create_collections", "q_override_state", "q_cache_newer_half", "q_base64", "q_run_geometry", "q_covered_columns", "q_translate_run", "q_mask_spans", "q_render_spans", "q_table_groups", "q_enclosed", "q_region_covers_block"]
 
 
 @pytest.mark.parametrize("name", CATALOGUE)
@@ -103,7 +103,13 @@ def test_flow(spark):
     assert (stats.n_slices, stats.n_texts, stats.widest, stats.n_twice) == (1, 2, 700.0, 1)
 
 
-def test_store(spark):
+def test_store(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"abc")
+    (tmp_path / "b.txt").write_bytes(b"d")
+    assert [bytes(r.content) for r in store.document_source(spark, "file", str(tmp_path), "*.pdf").collect()] == [b"abc"]
+    spark.createDataFrame([("1", "x"), ("2", "y")], "id string, title string").write.parquet(str(tmp_path / "papers"))
+    assert [r.title for r in store.document_source(spark, "library", str(tmp_path / "papers"), "2").collect()] == ["y"]
+    assert 400 <= enrich.wait_ms("a", 1, None, 800) < 800 and enrich.wait_ms("a", 3, 250.0, 800) == 250.0
     assert [r.x for r in spark.createDataFrame([("QUJD",), ("QU JD\n",), ("QQ==",), ("Q=Q",), ("!",), ("",)], "s string").select(store.from_base64(F.col("s")).alias("x")).collect()] == [b"ABC", b"ABC", b"A", None, None, b""]
     ids = store.unregistered(spark.range(5), spark.createDataFrame([(1,), (1,)], "id long"))
     assert sorted(r.id for r in ids.collect()) == [0, 2, 3, 4]
