@@ -147,8 +147,8 @@ def test_boxes(spark):
 
 
 def test_line_anchor(spark):
-    """Runs drift by less than the tolerance each, but lines are anchored at their first run."""
-    rows = [(1, 0, 0, 0, k, str(k), float(k), 100.0 + 4 * k, 5.0, 10.0, 100.0 + 4 * k, 10.0) for k in range(4)]
+    """Runs drift by less than the tolerance each, but lines are anchored at their first run; gaps of 5 are spaces."""
+    rows = [(1, 0, 0, 0, k, str(k), 10.0 * k, 100.0 + 4 * k, 5.0, 10.0, 100.0 + 4 * k, 10.0) for k in range(4)]
     items = spark.createDataFrame(rows, "doc_id long, page_index int, column_index int, line_ord int, word_ord int, str string, x double, y double, w double, h double, baseline_y double, font_size double")
     got = layout.lines(items).orderBy("line_index").collect()
     assert [r.text for r in got] == ["0 1", "2 3"]
