@@ -210,8 +210,9 @@ def paragraphs(lines_: DataFrame) -> DataFrame:
 
 
 def rendered(text: Column, spans: Column) -> Column:
-    """A text as HTML by its spans; what no span covers is plain."""
-    plain = lambda a, b: F.substring(text, a + 1, b - a)
+    """A text as HTML by its spans; what no span covers is plain. `&`, `<` and `>` of the text are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    plain = lambda a, b: safe(F.substring(text, a + 1, b - a))
 
     def chunk(s: Column) -> Column:
         out = plain(s["start"], s["stop"])

@@ -264,11 +264,26 @@ def continuations(blocks: DataFrame) -> DataFrame:
 
 
 def apply_overrides(blocks: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Effective marks beside the automatic ones, so applying twice changes nothing."""
-    keyed = blocks.withColumn("anchor", X.anchor(F.col("page_index"), F.col("text")))
-    out = keyed.join(overrides.select("doc_id", "anchor", "kind").where("kind <> 'auto'"), ["doc_id", "anchor"], "left")
+    """Effective marks (eff_*) beside the automatic ones, which stay, so applying twice changes nothing and taking an
+    override back restores them.
+
+    `overrides` are (doc_id, anchor, kind), of one anchor the greatest kind; `auto` and blocks without a row keep what is
+    automatic. Columns that the blocks lack count as body text, translatable, no formula and no reason.
+    """
+    missing = {"is_body_text": F.lit(True), "translatable": F.lit(True), "formula": F.lit(False), "figure_reason": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")}
+    own = blocks.withColumns({c: v for c, v in missing.items() if c not in blocks.columns})
+    keyed = own.withColumn("anchor", X.anchor(F.col("page_index"), F.col("text")))
+    wanted = overrides.where("kind <> 'auto'").groupBy("doc_id", "anchor").agg(F.max("kind").alias("kind"))
+    out = keyed.join(wanted, ["doc_id", "anchor"], "left")
     kind = F.coalesce(F.col("kind"), F.lit("auto"))
-    return out.withColumn("eff_body", F.when(kind == "body", True).when(kind == "figure", False).otherwise(F.col("is_body_text"))).withColumn("eff_translatable", F.when(kind.isin("formula", "reference"), False).otherwise(F.lit(True))).withColumn("eff_formula", F.when(kind == "formula", True).when(kind == "body", False).otherwise(F.col("formula")))
+    region = F.when(kind == "figure", "graphics-region").when(kind == "table", "table-region")
+    return out.withColumns({
+        "eff_body": F.when(kind == "body", True).when(region.isNotNull(), False).otherwise(F.col("is_body_text")),
+        "eff_translatable": F.when(kind == "body", True).when(kind.isin("figure", "table", "formula", "reference"), False).otherwise(F.col("translatable")),
+        "eff_formula": F.when(kind == "body", False).when(kind == "formula", True).otherwise(F.col("formula")),
+        "eff_figure_reason": F.when(kind != "body", F.coalesce(region, "figure_reason")),
+        "eff_reason": F.when(kind == "formula", "formula").when(kind == "reference", "references").when(kind != "body", F.col("reason")),
+    })
 
 
 def overlapping_pairs(boxes: DataFrame, pad: float = 0.0, band: float = 64.0) -> DataFrame:

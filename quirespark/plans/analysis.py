@@ -30,14 +30,16 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    """The adapter's runs; every fourth document's are cut to two letters, so that its rows look like a table's cells,
-    and every third line of each fifth document reads like a formula."""
+    """The adapter's runs, of which every fourth document's have a dot behind each second letter, so that its rows look
+    like a table's cells, and those of every third line of each fifth document `=` behind each character, like formulas."""
     items = adapter.items(s.read.parquet(f"{d}/documents.parquet"))
-    short = F.when(F.col("doc_id") % 4 == 0, F.substring("str", 1, 2)).when((F.col("doc_id") % 5 == 1) & (F.col("line_ord") % 3 == 1), F.lit("x=∑")).otherwise(F.col("str"))
-    return items.withColumn("str", short)
+    cells, formula = F.regexp_replace("str", "([A-Za-z]{2})", "$1."), F.regexp_replace("str", r"([^\n])", "$1=")
+    shaped = F.when(F.col("doc_id") % 4 == 0, cells).when((F.col("doc_id") % 5 == 1) & (F.col("line_ord") % 3 == 1), formula).otherwise(F.col("str"))
+    return items.withColumn("str", shaped)
 
 
-_SHAPED = "(select * replace (case when doc_id % 4 = 0 then left(str, 2) when doc_id % 5 = 1 and line_ord % 3 = 1 then 'x=∑' else str end as str) from items)"
+_SHAPED = r"""(select * replace (case when doc_id % 4 = 0 then regexp_replace(str, '([A-Za-z]{2})', '\1.', 'g')
+  when doc_id % 5 = 1 and line_ord % 3 = 1 then regexp_replace(str, '([^\n])', '\1=', 'g') else str end as str) from items)"""
 STYLE_SQL = oracle._with(oracle._STYLE.replace("from items where not rotated", f"from {_SHAPED} where not rotated"))
 
 
@@ -116,8 +118,7 @@ def q_translatable(s: SparkSession, d: str) -> DataFrame:
     return _styled(s, d)[3].select(*PAGE, "column_index", "block", (F.col("is_body_text") & F.col("translatable")).alias("translated"))
 
 
-_PATHS = oracle._GRAPHICS.replace("pages_ as (select distinct doc_id, page_index from items)", "pages_ as (select distinct doc_id, page_index from items)")
-_GRAPHIC_STYLE = STYLE_SQL + "," + _PATHS
+_GRAPHIC_STYLE = STYLE_SQL + "," + oracle._GRAPHICS
 
 
 @_query(_GRAPHIC_STYLE + """, m as (select n.doc_id, n.page_index, n.column_index, n.line_index, n.block,
@@ -153,7 +154,7 @@ def q_figure_paths(s: SparkSession, d: str) -> DataFrame:
 
 
 @_query(oracle._with(oracle._GRAPHICS) + """, c as (select doc_id, page_index, count(*) as n from graphics group by all), m as (select doc_id, page_index, case when max(n) > 5 then count(*) else count(*) filter (where ord < 5) end as n,
-    case when max(n) > 5 then min(x) else min(x) filter (where ord < 5) end as x from graphics join c using (doc_id, page_index) group by doc_id, page_index) select doc_id, page_index, x, n from m where n >= 4""".replace("max(n)", "max(c.n)").replace("from graphics join c", "from graphics join c"))
+    case when max(n) > 5 then min(x) else min(x) filter (where ord < 5) end as x from graphics join c using (doc_id, page_index) group by doc_id, page_index) select doc_id, page_index, x, n from m where n >= 4""".replace("max(n)", "max(c.n)"))
 def q_crowded_figures(s: SparkSession, d: str) -> DataFrame:
     return figures.clusters(_graphics(_items(s, d)), crowded=5).select(*PAGE, "x", "n")
 
@@ -199,24 +200,35 @@ def q_font_traits(s: SparkSession, d: str) -> DataFrame:
 
 
 def _spanned(s: SparkSession, d: str) -> DataFrame:
-    """Conversations with spans: the first word bold, the fifth character on a formula that overlaps another."""
-    n = F.length("text")
-    one = lambda a, b, bold, script, math: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(bold).alias("bold"), F.lit(False).alias("italic"), F.lit(script).cast("string").alias("script"), F.lit(math).alias("math"))
-    spans = F.array(one(F.lit(0), F.least(F.lit(3), n), True, None, False), one(F.lit(4), F.least(F.lit(9), n), False, "sub", True), one(F.lit(7), F.least(F.lit(12), n), False, None, True), one(F.lit(14), F.least(F.lit(17), n), False, None, True))
-    return s.read.parquet(f"{d}/conversations.parquet").where("length(text) >= 20").select("conv_id", "turn", "text", spans.alias("spans"))
+    """Conversations with spans: the first three characters bold, the fifth to ninth a lowered formula that overlaps
+    another, one more formula further on; spans end with the text, and empty ones are none."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
 
+    def one(a: int, b: int, bold: bool, script: str | None, math: bool) -> Column:
+        return F.struct(F.lit(a).alias("start"), F.least(F.lit(b), n).alias("stop"), F.lit(bold).alias("bold"), F.lit(False).alias("italic"), F.lit(script).cast("string").alias("script"), F.lit(math).alias("math"))
 
-@_query("""select conv_id, turn, substr(text, 1, 4) || '[[MATH_0]]' || substr(text, 13, 2) || '[[MATH_1]]' || substr(text, 18) as masked, substr(text, 5, 8) || '|' || substr(text, 15, 3) as pieces from conversations where length(text) >= 20""")
+    spans = F.array(one(0, 3, True, None, False), one(4, 9, False, "sub", True), one(7, 12, False, None, True), one(14, 17, False, None, True))
+    return s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.alias("text"), F.filter(spans, lambda x: x["stop"] > x["start"]).alias("spans"))
+
+
+@_query("""with t as (select conv_id, turn, coalesce(text, '') as text from conversations)
+  select conv_id, turn, case when length(text) <= 4 then text when length(text) <= 14 then substr(text, 1, 4) || '[[MATH_0]]' || substr(text, 13)
+      else substr(text, 1, 4) || '[[MATH_0]]' || substr(text, 13, 2) || '[[MATH_1]]' || substr(text, 18) end as masked,
+    case when length(text) <= 4 then '' when length(text) <= 14 then substr(text, 5, 8) else substr(text, 5, 8) || '|' || substr(text, 15, 3) end as pieces from t""")
 def q_mask_spans(s: SparkSession, d: str) -> DataFrame:
     m = assembly.masked_math(F.col("text"), F.col("spans"))
     return _spanned(s, d).select("conv_id", "turn", m["masked"].alias("masked"), F.array_join(m["pieces"], "|").alias("pieces"))
 
 
-@_query("""select conv_id, turn, '<strong>' || substr(text, 1, 3) || '</strong>' || substr(text, 4, 1) || '<sub>' || substr(text, 5, 5) || '</sub>' || substr(text, 13, 2) || substr(text, 15, 3) || substr(text, 18) as html from conversations where length(text) >= 20""")
+@_query("""with t as (select conv_id, turn, coalesce(text, '') as text from conversations),
+  parts as (select conv_id, turn, [substr(text, 1, 3), substr(text, 4, 1), substr(text, 5, 5), substr(text, 10)] as raw from t),
+  safe as (select conv_id, turn, list_transform(raw, lambda p: replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as p from parts)
+  select conv_id, turn, case when p[1] = '' then '' else '<strong>' || p[1] || '</strong>' end || p[2] || case when p[3] = '' then '' else '<sub>' || p[3] || '</sub>' end || p[4] as html from safe""")
 def q_render_spans(s: SparkSession, d: str) -> DataFrame:
-    # the overlapping span is left out: spans of a block never overlap
+    # spans of a block never overlap, so the one that does is left out
     spans = F.filter("spans", lambda x: x["start"] != 7)
-    return _spanned(s, d).select("conv_id", "turn", F.regexp_replace(assembly.rendered(F.col("text"), spans), r"^(.*?</sub>)(?s)(.{3})(.*)$", "$1$3").alias("html"))
+    return _spanned(s, d).select("conv_id", "turn", assembly.rendered(F.col("text"), spans).alias("html"))
 
 
 @_query()

@@ -155,9 +155,15 @@ ORACLE_SQL = {
         from styled where is_body_text and translatable and not formula group by all),
       l as (select *, lag(tail) over w as before, lag(page_index) over w as pb from e window w as (partition by doc_id order by page_index))
       select doc_id, page_index, length(before) as tail_chars, length(head) as head_chars from l where pb = page_index - 1 and plain and regexp_matches(rtrim(before), '[A-Za-z0-9,;\-–—]$') and regexp_matches(ltrim(head), '^[a-z,;]')""",
-    "q_overrides": _with(_STYLE) + f""", k as (select doc_id, {_ANCHOR} as anchor, (['body','figure','formula','reference','auto'])[doc_id % 5 + 1] as kind, is_body_text, formula from styled where page_index = 0 and read_order = 0)
-      select doc_id, anchor, case when kind <> 'auto' then kind end as kind, case kind when 'body' then true when 'figure' then false else is_body_text end as eff_body,
-        kind not in ('formula', 'reference') as eff_translatable, case kind when 'formula' then true when 'body' then false else formula end as eff_formula from k""",
+    "q_overrides": _with(_STYLE) + f""", a as (select * replace (translatable and not formula as translatable), case when formula then 'formula' when numeric then 'numeric' end as reason, {_ANCHOR} as anchor, doc_id + page_index + block as n from styled),
+      k as (select doc_id, anchor, max((['body','figure','formula','reference','auto','table'])[(n // 4) % 6 + 1]) filter (where (n // 4) % 6 <> 4) as kind from a where n % 4 = 0 group by all)
+      select doc_id, page_index, read_order, anchor, kind,
+        case kind when 'body' then true when 'figure' then false when 'table' then false else is_body_text end as eff_body,
+        case when kind is null then translatable else kind = 'body' end as eff_translatable,
+        case kind when 'body' then false when 'formula' then true else formula end as eff_formula,
+        case kind when 'body' then null when 'figure' then 'graphics-region' when 'table' then 'table-region' else figure_reason end as eff_figure_reason,
+        case kind when 'body' then null when 'formula' then 'formula' when 'reference' then 'references' else reason end as eff_reason
+      from a left join k using (doc_id, anchor)""",
     "q_bbox_pairs_overlap": _with(_GRAPHICS) + """, g as (select doc_id, page_index, ord, x - 3 as x, y - 3 as y, w + 6 as w, h + 6 as h from graphics),
       p as (select a.doc_id, a.page_index, a.ord as a, b.ord as b, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as area, a.w * a.h as own
         from g a join g b on a.doc_id = b.doc_id and a.page_index = b.page_index and a.ord < b.ord and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h)

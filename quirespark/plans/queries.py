@@ -180,11 +180,13 @@ def q_continuation(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_overrides(s: SparkSession, d: str) -> DataFrame:
+    # every fourth block is overridden, by one kind or another; the rest has no row
     b = _styled(s, d)
-    kinds = F.element_at(F.array(*map(F.lit, ("body", "figure", "formula", "reference", "auto"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    own = b.where("page_index = 0 and read_order = 0").select("doc_id", X.anchor(F.col("page_index"), F.col("text")).alias("anchor"), kinds.alias("kind"))
-    out = layout.apply_overrides(b, own).where("page_index = 0 and read_order = 0")
-    return out.select("doc_id", "anchor", "kind", "eff_body", "eff_translatable", "eff_formula")
+    n = F.col("doc_id") + F.col("page_index") + F.col("block")
+    kinds = F.element_at(F.array(*map(F.lit, ("body", "figure", "formula", "reference", "auto", "table"))), (F.floor(n / 4) % 6 + 1).cast("int"))
+    own = b.where(n % 4 == 0).select("doc_id", X.anchor(F.col("page_index"), F.col("text")).alias("anchor"), kinds.alias("kind"))
+    out = layout.apply_overrides(b, own)
+    return out.select("doc_id", "page_index", "read_order", "anchor", "kind", "eff_body", "eff_translatable", "eff_formula", "eff_figure_reason", "eff_reason")
 
 
 @_query
