@@ -7,9 +7,21 @@ from pyspark.sql import functions as F
 
 
 def latest(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last change of each key: a full-row upsert over an append-only log."""
+    """The last change of each key: a full-row upsert over an append-only log.
+
+    Rows that are equal in key and order are one, whichever comes first.
+    """
     w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return changes.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    at = apart(changes, "at")
+    return changes.withColumn(at, F.row_number().over(w)).where(F.col(at) == 1).drop(at)
+
+
+def apart(rows: DataFrame, name: str) -> str:
+    """A name for a column of the operator's own that no column of rows has, case ignored."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without(rows: DataFrame, tombstones: DataFrame, key: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .library import distinct_tags, keep_recent, latest, same_tags
+from .library import apart, distinct_tags, keep_recent, latest, same_tags
+from .settled import settled
 
 #: Bounds and defaults of settings, the cache's longest entry and its size, presets of providers.
 SETTINGS = {"concurrency": (1, 32, 8), "max_attempts": (1, 8, 3), "base_delay_ms": (100, 30_000, 800)}
@@ -86,9 +87,10 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
 
 def migrated(target: DataFrame, source: DataFrame) -> DataFrame:
     """The target, or where that is empty a copy of the source, which stays."""
-    some = target.limit(1).select(F.lit(True).alias("filled"))
-    copied = source.withColumn("filled", F.lit(True)).join(F.broadcast(some), "filled", "left_anti")  # one row at most
-    return target.unionByName(copied.drop("filled"))
+    filled = apart(source, "filled")
+    some = target.limit(1).select(F.lit(True).alias(filled))
+    copied = source.withColumn(filled, F.lit(True)).join(F.broadcast(some), filled, "left_anti")  # one row at most
+    return target.unionByName(copied.drop(filled))
 
 
 def cache_write(entries: DataFrame, writes: DataFrame, longest: int = MAX_ENTRY, limit: int = MAX_ENTRIES) -> DataFrame:
@@ -97,15 +99,21 @@ def cache_write(entries: DataFrame, writes: DataFrame, longest: int = MAX_ENTRY,
     return rows.join(keep_recent(rows.select("key", "at"), limit).select("key"), "key", "left_semi")
 
 
-def newer_half(entries: DataFrame) -> DataFrame:
-    """What is left after a quota error: the older half, rounded down, goes."""
-    total = entries.groupBy().agg(F.count("*").alias("total"))
-    parts = entries.select("at").groupBy("at").agg(F.count("*").alias("n"))
-    # the times are counted first, so the ordered sum runs over distinct times, not entries
-    before = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = entries.join(parts.withColumn("before", before).drop("n"), "at")
-    ranked = ranked.withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("at").orderBy("key")))
-    return ranked.join(F.broadcast(total), F.col("place") > F.floor(F.col("total") / 2)).select(*entries.columns)  # one row
+def newer_half(entries: DataFrame, parts: int = 256) -> DataFrame:
+    """What is left after a quota error: the older half, rounded down, goes; of equal times the smaller keys first.
+
+    Entries are dealt by ranges of time and key; each range is ranked by itself, behind the number of entries in the
+    ranges before it, so the one ordered sum runs over `parts` ranges.
+    """
+    part, place, before, of_all = (apart(entries, c) for c in ("part", "place", "before", "of_all"))
+    ranged = entries.repartitionByRange(parts, "at", "key").withColumn(part, F.spark_partition_id())
+    ranged = settled(ranged)  # a range is found by a sample, so it is dealt out once
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(before))
+    up_to = F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(part, F.coalesce(up_to, F.lit(0)).alias(before), F.sum(before).over(Window.partitionBy()).alias(of_all))
+    ranked = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy("at", "key")))
+    kept = ranked.join(F.broadcast(sizes), part).where(F.col(before) + F.col(place) > F.floor(F.col(of_all) / 2))  # a row a range
+    return kept.select(*entries.columns)
 
 
 def to_base64(data: Column) -> Column:
@@ -151,11 +159,13 @@ def set_progress(papers: DataFrame, changes: DataFrame) -> DataFrame:
     """The last page of each paper from (id, page, at, seq); a page that is the same already changes nothing, a new one
     also opens the paper again. Changes of a paper count in order."""
     w = Window.partitionBy("id").orderBy("seq")
-    steps = changes.join(papers.select("id", F.col("last_page").alias("first")), "id")
-    moved = steps.withColumn("was", F.coalesce(F.lag("page").over(w), F.col("first"))).where("page <> was")
-    last = moved.groupBy("id").agg(F.max_by(F.struct("page", "at"), "seq").alias("to"))
+    first = papers.groupBy("id").agg(F.max("last_page").alias("first_page"))
+    steps = changes.select("id", "page", "at", "seq").join(first, "id")
+    moved = steps.withColumn("was", F.coalesce(F.lag("page").over(w), F.col("first_page"))).where("page <> was")
+    to = apart(papers, "to")
+    last = moved.groupBy("id").agg(F.max_by(F.struct("page", "at"), "seq").alias(to))
     out = papers.join(last, "id", "left")
-    return out.withColumn("last_page", F.coalesce("to.page", "last_page")).withColumn("last_opened_at", F.coalesce("to.at", "last_opened_at")).select(*papers.columns)
+    return out.withColumn("last_page", F.coalesce(F.col(to)["page"], "last_page")).withColumn("last_opened_at", F.coalesce(F.col(to)["at"], "last_opened_at")).select(*papers.columns)
 
 
 def create_collections(collections: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -173,11 +183,21 @@ def rename_collections(collections: DataFrame, names: DataFrame) -> DataFrame:
     return collections.join(last, "id", "left").withColumn("name", F.coalesce("to", "name")).select(*collections.columns)
 
 
+def _last_wanted(wanted: DataFrame, value: str, name: str) -> DataFrame:
+    """(id, name): one wanted value of each id, of the greatest `seq` where there is one, else the greatest value."""
+    rank = F.struct("seq", value) if "seq" in wanted.columns else F.col(value)
+    return wanted.groupBy("id").agg(F.max_by(value, rank).alias(name))
+
+
 def set_tags(papers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """New tag sets (id, new_tags); a set that is equal but for case and order changes nothing. `changed` tells."""
-    out = papers.join(wanted, "id", "left").withColumn("clean", distinct_tags(F.col("new_tags")))
-    out = out.withColumn("changed", F.col("new_tags").isNotNull() & ~((F.size("clean") == F.size("tags")) & same_tags(F.col("clean"), F.col("tags"))))
-    return out.withColumn("tags", F.when(F.col("changed"), F.col("clean")).otherwise(F.col("tags"))).select(*papers.columns, "changed")
+    """New tag sets (id, new_tags, maybe seq); a set that is equal but for case and order changes nothing. `changed`
+    tells. Of several sets of a paper the last counts, so papers never multiply."""
+    own = apart(papers, "clean")
+    last = _last_wanted(wanted, "new_tags", own)
+    out = papers.join(last.select("id", distinct_tags(F.col(own)).alias(own)), "id", "left")
+    changed = F.col(own).isNotNull() & ~((F.size(own) == F.size("tags")) & same_tags(F.col(own), F.col("tags")))
+    tags = F.when(changed, F.col(own)).otherwise(F.col("tags"))
+    return out.select(*[tags.alias(c) if c == "tags" else c for c in papers.columns if c != "changed"], changed.alias("changed"))
 
 
 def add_tag(tags: Column, tag: Column) -> Column:
@@ -197,16 +217,19 @@ def override_state(changes: DataFrame) -> DataFrame:
 
 
 def replaced_overrides(papers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Papers with new override lists (id, new_overrides); equal lists, in order, change nothing. `changed` tells."""
-    out = papers.join(wanted, "id", "left")
-    out = out.withColumn("changed", F.col("new_overrides").isNotNull() & ~F.col("overrides").eqNullSafe(F.col("new_overrides")))
-    return out.withColumn("overrides", F.when(F.col("changed"), F.col("new_overrides")).otherwise(F.col("overrides"))).select(*papers.columns, "changed")
+    """Papers with new override lists (id, new_overrides, maybe seq); equal lists, in order, change nothing. `changed`
+    tells. Of several lists of a paper the last counts."""
+    own = apart(papers, "wanted")
+    out = papers.join(_last_wanted(wanted, "new_overrides", own), "id", "left")
+    changed = F.col(own).isNotNull() & ~F.col("overrides").eqNullSafe(F.col(own))
+    now = F.when(changed, F.col(own)).otherwise(F.col("overrides"))
+    return out.select(*[now.alias(c) if c == "overrides" else c for c in papers.columns if c != "changed"], changed.alias("changed"))
 
 
 def registered_with(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Whether each (id, text) is registered with just that text."""
-    known = sources.select("id", F.col("text").alias("own"))
-    return requests.join(known, "id", "left").select("id", "text", F.coalesce(F.col("own") == F.col("text"), F.lit(False)).alias("registered"))
+    """Whether each (id, text) is registered with just that text; repeated sources count once."""
+    known = sources.select("id", "text", F.lit(True).alias("known")).distinct()
+    return requests.select("id", "text").join(known, ["id", "text"], "left").select("id", "text", F.coalesce("known", F.lit(False)).alias("registered"))
 
 
 def pending(sources: DataFrame, translations: DataFrame) -> DataFrame:
