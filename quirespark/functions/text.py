@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Fixed values of the hash, and texts that are fewer than worth a step together, characters held at once.
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 1099511628211
+FEW, FNV_CHARS = 8, 4_000_000
 
 #: Fixed values that results depend on: character ranges, word lists and patterns.
 SPACE = r"[\s\x{FEFF}\x{00A0}\x{3000}]"
@@ -71,20 +78,45 @@ def anchor(page: Column, text: Column) -> Column:
     return F.concat_ws("|", page.cast("string"), F.substring(stripped(F.regexp_replace(text, rf"{SPACE}+", " ")), 1, 40))
 
 
+def _fnv1a(texts: list[str | None]) -> list[str]:
+    """FNV-1a of many texts in lockstep: a step takes a code unit of each that is so long; the last few go one by one."""
+    raw = ["" if t is None else t for t in texts]
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for t in raw]
+    order = sorted(range(len(raw)), key=lambda k: -len(units[k]))
+    size = np.array([len(units[k]) for k in order], np.int64)
+    flat = np.concatenate([units[k] for k in order]) if order else np.array([], np.uint16)
+    begins = np.cumsum(size) - size
+    hashes, prime = np.full(len(order), FNV_START, np.uint64), np.uint64(FNV_PRIME)
+    step = 0
+    while (n := int(np.searchsorted(-size, -step, "left"))) >= FEW:  # texts with more than `step` units
+        hashes[:n] = (hashes[:n] ^ flat[begins[:n] + step]) * prime
+        step += 1
+    out = [""] * len(raw)
+    for place, k in enumerate(order):
+        h = int(hashes[place])
+        for u in units[k][step:].tolist():
+            h = ((h ^ u) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+        out[k] = f"{h:016x}"
+    return out
+
+
+@F.pandas_udf(StringType())
+def _fnv1a_series(c: pd.Series) -> pd.Series:
+    texts, out, at = c.tolist(), [], 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < FNV_CHARS):
+            size += len(texts[stop] or "")
+            stop += 1
+        out += _fnv1a(texts[at:stop])
+        at = stop
+    return pd.Series(out, dtype=object)
+
+
 def fnv1a(c: Column) -> Column:
-    """64-bit FNV-1a over UTF-16 code units, as 16 hex digits; longs are worked in halves, so that none overflows."""
-    # one pass over the digits: a substring per unit would walk the text from its start each time
-    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit(".{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
-    half, start = F.lit(0xFFFFFFFF).cast("long"), F.lit(0xCBF29CE484222325 - 2**64).cast("long")
-
-    def fold(h: Column, u: Column) -> Column:
-        # the prime is 2^40 + 435
-        low = h.bitwiseAND(half).bitwiseXOR(u)
-        up = F.shiftrightunsigned(h, 32) * 435 + F.shiftrightunsigned(low * 435, 32) + F.shiftleft(low, 8)
-        return F.shiftleft(up, 32).bitwiseOR((low * 435).bitwiseAND(half))
-
-    hashed = F.aggregate(F.coalesce(units, F.array().cast("array<bigint>")), start, fold)
-    return F.lpad(F.lower(F.hex(hashed)), 16, "0")
+    """64-bit FNV-1a over UTF-16 code units, as 16 hex digits; null hashes as empty. Each step needs the one before, so numpy
+    takes many texts at once instead."""
+    return _fnv1a_series(c)
 
 
 def cache_key(provider: str, model: str, language: str, prompt: int, text: Column) -> Column:

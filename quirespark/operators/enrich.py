@@ -1,13 +1,10 @@
-"""Cached, retried text enrichment: requests meet the cache first, and only misses reach the port."""
+"""Text enrichment: the port of a remote model, its stand-in, cache keys and waits; translation.py has the run."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
 from typing import Protocol
 from zlib import crc32
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +63,9 @@ def previewed(target: Column, stand_in: Column, is_tail: Column) -> Column:
 
 
 def split_by_cache(requests: DataFrame, cache: DataFrame, **key: object) -> DataFrame:
-    """Requests with their cache key and, where the cache has it, the text."""
+    """Requests with their cache key and, where the cache has it, the text; of a key that is there several times one."""
     keyed = requests.withColumn("key", X.cache_key(text=F.col("source"), **key))
-    return keyed.join(cache.select("key", F.col("text").alias("cached")), "key", "left")
+    return keyed.join(cache.groupBy("key").agg(F.min("text").alias("cached")), "key", "left")
 
 
 def run_summary(statuses: DataFrame) -> DataFrame:
@@ -84,36 +81,3 @@ def wait_ms(ident: object, attempt: int, retry_after_ms: float | None, base_ms:
     if retry_after_ms is not None:
         return retry_after_ms
     return base_ms * 2 ** (attempt - 1) * (0.5 + crc32(f"{ident}|{attempt}".encode()) / 2**33)
-
-
-def translate_misses(misses: DataFrame, port: Callable[[], Translator], attempts: int = 3, base_ms: float = 800.0, concurrency: int | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Runs a port over (id, source): a row per request with its outcome.
-
-    Each partition is a worker, `concurrency` of them if given. Errors of a retryable kind are tried again after a wait;
-    others end a request. A request that fails reports all attempts, one that its port cancels (kind `aborted`) is told
-    apart; of what a text lacks a warning says.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = port()
-        for pdf in batches:
-            rows = []
-            for i, source in zip(pdf["id"], pdf["source"], strict=True):
-                text, kind, used = None, None, 0
-                while used < attempts and text is None:
-                    used += 1
-                    try:
-                        text, kind = own.translate(source), None
-                    except Exception as e:  # the port's errors are outcomes, by their kind
-                        kind = getattr(e, "kind", "network")
-                        if kind not in X.RETRYABLE or used == attempts:
-                            break
-                        sleep(wait_ms(i, used, getattr(e, "retry_after_ms", None), base_ms) / 1000)
-                state = "done" if text is not None else "cancelled" if kind == "aborted" else "failed"
-                rows.append((i, source, state, text, kind, used if text is not None else attempts))
-            yield pd.DataFrame(rows, columns=["id", "source", "state", "text", "error_kind", "attempts"])
-
-    asked = misses.select("id", "source")
-    asked = asked if concurrency is None else asked.repartition(concurrency)
-    out = asked.mapInPandas(run, "id string, source string, state string, text string, error_kind string, attempts int")
-    return out.select("id", "state", "text", "error_kind", "attempts", F.when(F.col("state") == "done", X.quality_warning(F.col("source"), F.col("text"))).alias("warning"))
