@@ -39,7 +39,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)] = 1
 KIND[list(BREAKS)] = 2
 #: Bytes of text that one step holds, rows of a batch that leaves it, bits of the sieve (8 MB).
-STEP_BYTES, OUT_ROWS, SIEVE = 4_000_000, 50_000, 1 << 26
+STEP_BYTES, OUT_ROWS, SIEVE = 1_500_000, 50_000, 1 << 26
 GRAMS = "lang string, phrase string, n long"
 #: Parts that a language's candidates are dealt over before the last of them are ranked together.
 PARTS = 64
