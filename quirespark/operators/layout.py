@@ -248,19 +248,26 @@ def self_check(items: DataFrame, lines_: DataFrame, blocks: DataFrame, bounds: C
     return out.select(*PAGE, "n_items", "n_left", "n_lines", "n_blocks", "spanning", "out_of_column", F.col("overlaps").cast("long").alias("overlaps"), rounded(F.col("gap"), 2).alias("median_gap"), "tight", (F.col("back") == 0).alias("monotonic"), rounded(F.col("line_height"), 1).alias("line_height"), rounded(F.col("size"), 1).alias("size"))
 
 
-def continuations(blocks: DataFrame) -> DataFrame:
-    """Pages whose last paragraph runs on into the next page's first.
+def page_ends(blocks: DataFrame) -> DataFrame:
+    """(page, tail, head, head_plain): the last paragraph that the next page may go on with, and the first block that may
+    go on from the page before, with whether it is a paragraph.
 
     Both are translatable body text, no headings and no formulas; the first one is the page's first translatable body
     block, whatever it is, and then has to pass.
     """
     body = blocks.where("is_body_text and translatable")
     plain = (F.col("heading_level") == 0) & ~F.col("formula")
-    ends = body.groupBy(*PAGE).agg(F.max_by(F.when(plain, F.col("text")), F.when(plain, F.col("read_order"))).alias("tail"), F.min_by(F.struct("text", plain.alias("plain")), "read_order").alias("head"))
+    tail = F.max_by(F.when(plain, F.col("text")), F.when(plain, F.col("read_order")))
+    head = F.min_by(F.struct("text", plain.alias("plain")), "read_order")
+    return body.groupBy(*PAGE).agg(tail.alias("tail"), head.alias("head")).select(*PAGE, "tail", F.col("head.text").alias("head"), F.col("head.plain").alias("head_plain"))
+
+
+def continuations(blocks: DataFrame) -> DataFrame:
+    """Pages whose last paragraph runs on into the next page's first."""
     w = Window.partitionBy("doc_id").orderBy("page_index")
-    out = ends.withColumn("before", F.lag("tail").over(w)).withColumn("page_before", F.lag("page_index").over(w))
-    hit = (F.col("page_before") == F.col("page_index") - 1) & F.col("head.plain") & F.rtrim("before").rlike(X.OPEN_END) & F.ltrim("head.text").rlike(X.CONTINUES)
-    return out.where(hit).select("doc_id", "page_index", F.length("before").cast("long").alias("tail_chars"), F.length("head.text").cast("long").alias("head_chars"))
+    out = page_ends(blocks).withColumn("before", F.lag("tail").over(w)).withColumn("page_before", F.lag("page_index").over(w))
+    hit = (F.col("page_before") == F.col("page_index") - 1) & F.col("head_plain") & F.rtrim("before").rlike(X.OPEN_END) & F.ltrim("head").rlike(X.CONTINUES)
+    return out.where(hit).select("doc_id", "page_index", F.length("before").cast("long").alias("tail_chars"), F.length("head").cast("long").alias("head_chars"))
 
 
 def apply_overrides(blocks: DataFrame, overrides: DataFrame) -> DataFrame:

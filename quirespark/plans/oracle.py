@@ -201,3 +201,4 @@ ORACLE_SQL = {
         from l window w as (partition by doc_id order by i))
       select doc_id, i as page_index, o is not null and (c is null or c <= o) as in_references, m::double as width_so_far from g""",
 }
+ORACLE_SQL["q_stream_continuation"] = ORACLE_SQL["q_continuation"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import enrich, layout, library, regions
+from ..operators.settled import shared_folder
 from ..sources import adapter, drawing
 from ..streaming import pages as streams
 from . import analysis, catalogue
@@ -324,5 +326,18 @@ def q_stream_page_state(s: SparkSession, d: str) -> DataFrame:
     schema = _read(s, d, "documents").schema
     stream = s.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
     page = stream.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_index", "l"))
-    n = F.length("l")
-    return streams.run_available(streams.ordered_pages(page.select("doc_id", "page_index", (n % 5 == 0).alias("heads"), (n % 7 == 0).alias("closes"), n.cast("double").alias("width"))))
+    n, none = F.length("l"), F.lit(None).cast("string")
+    pages = page.select("doc_id", "page_index", (n % 5 == 0).alias("heads"), (n % 7 == 0).alias("closes"), n.cast("double").alias("width"), none.alias("tail"), none.alias("head"), F.lit(False).alias("head_plain"))
+    return streams.run_available(streams.ordered_pages(pages)).select("doc_id", "page_index", "in_references", "width_so_far")
+
+
+@_query
+def q_stream_continuation(s: SparkSession, d: str) -> DataFrame:
+    """The pages' ends as a stream of several shuffled files; its paragraphs that go on are those of q_continuation."""
+    blocks = _styled(s, d)
+    every = blocks.groupBy("doc_id").agg(F.max("page_index").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("page_index"), F.lit(0.0).alias("width"))
+    pages = every.join(layout.page_ends(blocks), ["doc_id", "page_index"], "left").withColumns({"heads": F.lit(False), "closes": F.lit(False), "head_plain": F.coalesce("head_plain", F.lit(False))})
+    folder = f"{shared_folder(s)}/pages-{uuid.uuid4().hex}"
+    pages.repartition(4, F.xxhash64("page_index", "doc_id")).write.parquet(folder)
+    stream = s.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return streams.going_on(streams.run_available(streams.ordered_pages(stream)))
