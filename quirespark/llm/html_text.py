@@ -6,12 +6,16 @@ share in links, give two ratios. Both are smoothed over the page's sequence of n
 by the path's names and compared with a threshold from the page itself. Paths above it are content: they vote, with
 their text, for the smallest element with most of the votes; texts in article and main elements count twice. If that
 element lies in an article or main, the content is the smallest element around all of those that have votes. Inside it a
-text is kept if its path is above the threshold, or if no name speaks against it, so that headings and short paragraphs
-survive whatever their ratio.
+text is left out only if its path is under the threshold, and then only for links or for names that speak against it:
+headings and short paragraphs stay whatever their ratio.
 
-Names speak in two ways. Doubtful ones (side, notice, legal, form and the like) divide the ratio, and neighbours do not
-lift it, so only a path with much text outweighs them. Plain ones (nav, footer, sidebar, comments, ads and the like) shut a path out. Neither counts on an
-element that holds all of the page's texts, or its only article or main: there a name tells nothing apart.
+Names only weigh: of class names the whole ones, of ids those of containers that are one plain word, so ids made from
+headings say nothing. Plain ones (nav, footer, sidebar, comments, ads and the like, alone or with general words such as
+list or box) and doubtful ones (side, notice, legal, form) divide the ratio, and neighbours do not lift it, so that a path
+falls under the threshold unless much text outweighs them. None counts on an element that holds all of the page's texts,
+or its only article or main: there a name tells nothing apart. Elements that HTML has for it (nav, footer, aside, menu,
+a page's header) are left out. So is a list of links: three or more blocks of one path whose text is nearly all linked have
+a ratio near 0; a link within a paragraph's text is not such a block.
 
 Edge cases: null and empty html, and pages without content, give ""; unclosed and stray tags are repaired as browsers
 do for paragraphs and list items; a page of bare text is kept as it is; repeated rows stay; an empty table gives none;
@@ -35,6 +39,8 @@ from .common import bounded_batches
 #: page ends in is dropped.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?|=)*+)>|[^<]+|<(?=/?[a-zA-Z])[^<>]*\Z|<""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+OPEN = re.compile(r"(?:^|\s)open(?=\s|$|=)", re.I)
+PARTS, NUMBER = re.compile(r"[-_]+"), re.compile(r"\d*x?\d*$")
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PUNCTUATION = re.compile(r"""[.,;:!?。，；：！？、…»«"”“]""")
 #: Fixed values of HTML: elements by how they are read.
@@ -43,29 +49,35 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br", "input", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
-#: Elements and names that shut a path out, those that only divide its ratio, and by how much.
-DROPPED = {"nav", "footer", "aside", "menu", "dialog", "head"}
-LABELS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|sidebar|aside|widgets?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|disqus|replies|respond|share|sharing|social|related|recommend(?:ed|ations)?|masthead|topbar|toolbar|pagination|pager|"
-    r"complementary|contentinfo)(?:$|[-_\s\d])",
-    re.I,
+#: Elements that are left out, names that speak against a path plainly or doubtfully, general words that may stand beside
+#: such a name, and by how much they divide the ratio.
+DROPPED = {"nav", "footer", "aside", "menu", "head"}
+LABELS = set(
+    "ad ads advert adverts advertisement advertisements advertorial sponsor sponsored promo promos promotion promotions banner nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer sidebar aside widget widgets cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments disqus replies respond share sharing "
+    "social related recommend recommended recommendations masthead topbar toolbar pagination pager complementary contentinfo".split()
+)
+DOUBTS = set("side rail notice alert search copyright legal disclaimer skip".split())
+GENERAL = set(
+    "site page main top bottom left right upper lower inner outer box area list section wrapper wrap container block slot unit bar group item items link links button buttons icon icons "
+    "form header head title content body post posts article articles entry story stories news thread media global primary secondary".split()
 )
 DOUBTFUL = {"form", "fieldset"}
-DOUBTS = re.compile(r"(?:^|[-_\s])(?:side|rail|notice|alert|search|copyright|legal|disclaimer|skip)(?:$|[-_\s\d])", re.I)
-DOUBT = 0.3
+DOUBT, PLAIN = 0.3, 0.01
+#: Elements whose ids may speak; blocks of one path that a list of links has at least, and the linked share of its text.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "form", "fieldset", "header"}
+LINKED_BLOCKS, LINKED_SHARE = 3, 0.8
 #: Content elements, and how much more the texts in them count as votes.
 CONTENT, WEIGHT = {"article", "main"}, 2
 
 
 class Element:
-    __slots__ = ("tag", "up", "depth", "path", "shut", "doubt", "hidden", "linked", "content", "within", "size", "votes", "holds", "inside", "pure")
+    __slots__ = ("tag", "up", "depth", "path", "weight", "hidden", "linked", "content", "within", "size", "votes", "holds", "inside", "pure")
 
-    def __init__(self, tag: str, up: Element | None, path: int = 0, shut: bool = False, doubt: bool = False, hidden: bool = False):
+    def __init__(self, tag: str, up: Element | None, path: int = 0, weight: float = 1.0, hidden: bool = False):
         self.tag, self.up, self.path, self.depth = tag, up, path, up.depth + 1 if up else 0
-        #: What the element's own names say; `pure` is whether a name counts wherever the element stands.
-        self.shut, self.doubt, self.pure = shut, doubt, tag in DROPPED
+        #: What the element and its names say; `pure` is whether that counts wherever the element stands.
+        self.weight, self.pure = weight, tag in DROPPED
         self.hidden = hidden or bool(up and up.hidden)
         self.linked = tag == "a" or bool(up and up.linked)
         self.content = tag in CONTENT
@@ -74,6 +86,24 @@ class Element:
         self.inside = False
 
 
+def told(name: str, words: set[str]) -> bool:
+    """Whether a whole name has one of the words, beside numbers, general words and other telling ones at most."""
+    parts = [NUMBER.sub("", x) for x in PARTS.split(name)]
+    return any(x in words for x in parts) and all(not x or x in LABELS or x in DOUBTS or x in GENERAL for x in parts)
+
+
+def spoken(tag: str, classes: list[str], ident: str, role: str, within: bool) -> float:
+    """What an element and its names say of it: 0 leaves it out, less than 1 divides its ratio."""
+    if tag in DROPPED or (tag == "header" and not within):
+        return 0.0
+    if tag in ("html", "body"):
+        return 1.0
+    names = [*classes, *role.split(), *([ident] if tag in CONTAINERS and not PARTS.search(ident) else [])]
+    if any(told(x, LABELS) for x in names):
+        return PLAIN
+    return DOUBT if tag in DOUBTFUL or any(told(x, DOUBTS) for x in names) else 1.0
+
+
 def read_nodes(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     """The page's elements, parents first, and its texts in order: their element, their text and the number of their block."""
     root = at = Element("", None)
@@ -114,11 +144,11 @@ def read_nodes(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]
             nodes.append((at, " ", block))
         if tag in VOID:
             continue
-        names = " ".join((b or c or d or "").strip() for _, b, c, d in NAMES.findall(m[3]))
-        named = names if tag not in ("html", "body") else ""
-        path = paths.setdefault((at.path, tag, names), len(paths) + 1)
-        shut = tag in DROPPED or (tag == "header" and not at.within) or bool(LABELS.search(named))
-        at = Element(tag, at, path, shut, tag in DOUBTFUL or bool(DOUBTS.search(named)), bool(HIDDEN.search(m[3])))
+        names = {kind.lower(): (b or c or d or "").lower() for kind, b, c, d in reversed(NAMES.findall(m[3]))}  # the first of a kind counts
+        classes = names.get("class", "").split()
+        path = paths.setdefault((at.path, tag, *classes), len(paths) + 1)
+        hidden = bool(HIDDEN.search(m[3])) or (tag == "dialog" and not OPEN.search(m[3]))
+        at = Element(tag, at, path, spoken(tag, classes, names.get("id", ""), names.get("role", ""), at.within), hidden)
         every.append(at)
     return every, nodes
 
@@ -136,7 +166,7 @@ def deepest(elements: list[Element], fits) -> Element:
 
 
 def weigh(every: list[Element], nodes: list[tuple[Element, str, int]]) -> list[float]:
-    """How far each element's names, with those it lies in, speak for it: 1, a power of DOUBT, or 0; by the element's place."""
+    """How far each element and its names, with those it lies in, speak for it, by the element's place."""
     for e, text, _ in nodes:
         e.size += len(text.strip())
     for e in reversed(every):
@@ -155,12 +185,32 @@ def weigh(every: list[Element], nodes: list[tuple[Element, str, int]]) -> list[f
     for e in every:
         own = 1.0
         if not (e.holds or (e.size == total and not e.pure)):
-            own = 0.0 if e.shut else DOUBT if e.doubt else 1.0
+            own = e.weight
         out.append(own * (out[place[id(e.up)]] if e.up else 1.0))
         e.holds = 0
     return out
 
 
+def block_of(e: Element) -> Element:
+    """The element whose block a text of e is in."""
+    while e.tag in INLINE and e.up:
+        e = e.up
+    return e
+
+
+def link_lists(nodes: list[tuple[Element, str, int]]) -> set[int]:
+    """Paths of blocks that are lists of links: LINKED_BLOCKS blocks or more, nearly all of their text linked."""
+    sums: dict[int, list] = {}
+    for e, text, block in nodes:
+        size = len(text.strip())
+        if size:
+            own = sums.setdefault(block_of(e).path, [0, 0, set()])
+            own[0] += size
+            own[1] += size * e.linked
+            own[2].add(block)
+    return {p for p, (size, linked, own) in sums.items() if linked >= LINKED_SHARE * size and len(own) >= LINKED_BLOCKS}
+
+
 def extract(page: str) -> str:
     """The main text of a page, a line per block."""
     every, nodes = read_nodes(page)
@@ -188,8 +238,11 @@ def extract(page: str) -> str:
         # neighbours lift no path that a name speaks against
         own = fuse(a, b) if names[id(e)] == 1 else min(fuse(a, b), fuse(*lone[e.path])) * names[id(e)]
         best[e.path] = max(best.get(e.path, 0.0), own)
-    mean = sum(best.values()) / len(best)
-    cut = 0.5 * min(mean, math.sqrt(sum((x - mean) ** 2 for x in best.values()) / len(best)) or mean)
+    # paths that names speak against plainly are no measure of the page
+    plain = {e.path for e, _ in texts if names[id(e)] <= PLAIN}
+    usual = [x for p, x in best.items() if p not in plain] or list(best.values())
+    mean = sum(usual) / len(usual)
+    cut = 0.5 * min(mean, math.sqrt(sum((x - mean) ** 2 for x in usual) / len(usual)) or mean)
     for e, size in texts:
         if best[e.path] >= cut:  # the cut is half the mean at most, so the best path passes
             e.votes += size * (WEIGHT if e.within else 1)
@@ -207,9 +260,11 @@ def extract(page: str) -> str:
         chosen = deepest(every, lambda e: e.holds == n or (n == 1 and e.content and e.votes and not e.up.within))
     for e in every:
         e.inside = e is chosen or bool(e.up and e.up.inside)
+    listed = link_lists(nodes)
     blocks: dict[int, list[str]] = {}
     for e, text, block in nodes:
-        if e.inside and (best.get(e.path, 0.0) >= cut or names[id(e)] >= names[id(chosen)]):
+        above = best.get(e.path, 0.0) >= cut
+        if e.inside and names[id(e)] and (above or names[id(e)] >= names[id(chosen)]) and block_of(e).path not in listed:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
