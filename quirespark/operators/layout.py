@@ -26,17 +26,14 @@ def column_coverage(items: DataFrame, width: float = 918.0) -> DataFrame:
     last = int(width // BUCKET) - 1
     start = F.greatest(F.floor(F.col("x") / BUCKET), F.lit(0))
     stop = F.least(F.ceil((F.col("x") + F.col("w")) / BUCKET) - 1, F.lit(last))
+    step = lambda bucket, d: F.struct(bucket.cast("long").alias("bucket"), F.lit(d).alias("d"))
     # counted as steps up and down at a run's ends, so a run makes two rows whatever its width
-    ends = upright(items).where(stop >= start).select(*PAGE, F.explode(F.array(F.struct(start.alias("bucket"), F.lit(1).alias("d")), F.struct((stop + 1).alias("bucket"), F.lit(-1).alias("d")))).alias("s"))
-    steps = ends.groupBy(*PAGE, F.col("s.bucket").alias("bucket")).agg(F.sum("s.d").alias("d"))
-    dense = steps.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "d"))).alias("m"))
-    fold = F.aggregate(
-        F.sequence(F.lit(0), F.lit(last)),
-        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, i: F.struct((s["n"] + F.coalesce(F.element_at("m", i.cast("long")), F.lit(0))).alias("n"), F.array_append(s["out"], s["n"] + F.coalesce(F.element_at("m", i.cast("long")), F.lit(0))).alias("out")),
-        lambda s: s["out"],
-    )
-    return dense.select(*PAGE, F.posexplode_outer(fold).alias("bucket", "n"))
+    ends = upright(items).where(stop >= start).select(*PAGE, F.explode(F.array(step(start, 1), step(stop + 1, -1))).alias("s"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda b: step(b, 0))
+    page = ends.groupBy(*PAGE).agg(F.collect_list("s").alias("steps"))
+    steps = page.select(*PAGE, F.inline(F.concat("steps", every))).groupBy(*PAGE, "bucket").agg(F.sum("d").alias("d")).where(F.col("bucket") <= last)
+    running = Window.partitionBy(*PAGE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select(*PAGE, F.col("bucket").cast("int").alias("bucket"), F.sum("d").over(running).alias("n"))
 
 
 def coverage_window(coverage: DataFrame) -> DataFrame:
@@ -46,23 +43,29 @@ def coverage_window(coverage: DataFrame) -> DataFrame:
     return out.where(F.col("left") == SLIDE).select(*PAGE, "bucket", "total")
 
 
-def gutters(slides: DataFrame, width: float = 918.0) -> DataFrame:
-    """The emptiest run of low coverage per page, of SHORTEST buckets at least and centred within 15 to 85 %."""
+def gutters(slides: DataFrame, width: float = 918.0, most: int = 1) -> DataFrame:
+    """The emptiest runs of low coverage per page, `most` of them, of SHORTEST buckets at least and centred within 15 to
+    85 %: (page, n, split_x, least), n from 0 from left to right. Of equally empty runs the left one counts."""
     page = Window.partitionBy(*PAGE)
     low = slides.withColumn("peak", F.max("total").over(page)).withColumn("rank", F.row_number().over(page.orderBy("bucket")))
     low = low.where((F.col("peak") > 0) & (F.col("total") < LOW * F.col("peak"))).withColumn("run", F.col("rank") - F.row_number().over(page.orderBy("bucket")))
     runs = low.groupBy(*PAGE, "run").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.min("total").alias("least"), F.count("*").alias("n"))
     split = (F.col("first") + F.col("last") + 1) / 2 * BUCKET
     runs = runs.where(F.col("n") >= SHORTEST).withColumn("split_x", split).where((F.col("split_x") > 0.15 * width) & (F.col("split_x") < 0.85 * width))
-    best = runs.withColumn("k", F.row_number().over(page.orderBy("least", "first"))).where("k = 1")
-    return best.select(*PAGE, "split_x", F.col("least").cast("long").alias("least"))
+    best = runs.withColumn("k", F.row_number().over(page.orderBy("least", "first"))).where(F.col("k") <= max(1, most))
+    return best.select(*PAGE, (F.row_number().over(page.orderBy("split_x")) - 1).alias("n"), "split_x", F.col("least").cast("long").alias("least"))
+
+
+def page_splits(splits: DataFrame) -> DataFrame:
+    """(page, splits): a page's gutters from left to right."""
+    return splits.groupBy(*PAGE).agg(F.sort_array(F.collect_list("split_x")).alias("splits"))
 
 
 def assign_columns(items: DataFrame, splits: DataFrame) -> DataFrame:
-    """column_index of each run, by its centre."""
-    joined = upright(items).join(splits.select(*PAGE, "split_x"), PAGE, "left")
+    """column_index of each run, by its centre: the number of the page's gutters up to there."""
+    joined = upright(items).join(page_splits(splits), PAGE, "left")
     centre = F.col("x") + F.col("w") / 2
-    return joined.withColumn("column_index", F.when(F.col("split_x").isNull() | (centre < F.col("split_x")), 0).otherwise(1)).drop("split_x")
+    return joined.withColumn("column_index", F.coalesce(F.size(F.filter("splits", lambda x: x <= centre)), F.lit(0))).drop("splits")
 
 
 def body_font(items: DataFrame) -> DataFrame:
@@ -165,23 +168,25 @@ def absorb_fragments(blocks: DataFrame) -> DataFrame:
 
 
 def mark_references(blocks: DataFrame) -> DataFrame:
-    """Whether a block lies in a reference section: a fold over a document's blocks in reading order.
+    """Whether a block lies in a reference section, in a document's reading order.
 
     A reference heading opens the section and stays outside it; while open, a heading that is not shaped like an
-    entry closes it.
+    entry closes it. A block that does one of both settles the state behind it; one that does both turns it round. So the
+    state before a block is what the last settling block made it, turned as often as blocks have turned it since: running
+    values over the document's blocks, of which no more than the running ones are ever held.
     """
     t = X.stripped(F.col("text"))
-    heading = t.rlike(X.REFERENCE_HEADING) & ((F.col("font_scale") >= 1.05) | (F.col("heading_level") > 0))
-    rows = blocks.select("doc_id", F.struct("page_index", "read_order", "column_index", "block", heading.alias("opens"), ((F.col("heading_level") > 0) & ~t.rlike(X.REFERENCE_ENTRY)).alias("closes")).alias("b"))
-    folded = F.aggregate(
-        "bs",
-        F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("out")),
-        lambda s, b: F.when(s["on"], F.struct((~b["closes"]).alias("on"), F.array_append(s["out"], ~b["closes"]).alias("out"))).otherwise(F.struct(b["opens"].alias("on"), F.array_append(s["out"], F.lit(False)).alias("out"))),
-        lambda s: s["out"],
-    )
-    by_doc = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
-    out = by_doc.select("doc_id", F.explode_outer(F.arrays_zip(F.col("bs").alias("b"), folded.alias("inside"))).alias("z"))
-    return out.select("doc_id", "z.b.page_index", "z.b.column_index", "z.b.block", F.col("z.inside").alias("in_references"))
+    opens = t.rlike(X.REFERENCE_HEADING) & ((F.col("font_scale") >= 1.05) | (F.col("heading_level") > 0))
+    closes = (F.col("heading_level") > 0) & ~t.rlike(X.REFERENCE_ENTRY)
+    order = Window.partitionBy("doc_id").orderBy("page_index", "read_order", "column_index", "block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.select(*PAGE, "column_index", "block", "read_order", opens.alias("opens"), closes.alias("closes"))
+    rows = rows.withColumn("turns", F.sum((F.col("opens") & F.col("closes")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    settled_ = F.when(F.col("opens") != F.col("closes"), F.struct(F.col("opens").alias("on"), F.col("turns").alias("turns")))
+    rows = rows.withColumns({"was": F.last(settled_, ignorenulls=True).over(before), "turned": F.coalesce(F.lag("turns").over(order), F.lit(0))})
+    on, at = F.coalesce(F.col("was.on"), F.lit(False)), F.coalesce(F.col("was.turns"), F.lit(0))
+    on = on != ((F.col("turned") - at) % 2 == 1)
+    return rows.select(*PAGE, "column_index", "block", (on & ~F.col("closes")).alias("in_references"))
 
 
 def front_matter(blocks: DataFrame, height: float = 1188.0) -> DataFrame:

@@ -202,3 +202,7 @@ ORACLE_SQL = {
       select doc_id, i as page_index, o is not null and (c is null or c <= o) as in_references, m::double as width_so_far from g""",
 }
 ORACLE_SQL["q_stream_continuation"] = ORACLE_SQL["q_continuation"]
+_THREE = _COVER.replace("from items where", "from (select * replace (30.0::double + 290 * (line_ord % 3) + (x - case when x < 459 then 75 else 463 end) * 0.75::double as x) from items) where").replace("order by least, first) = 1", "order by least, first) <= 2")
+ORACLE_SQL["q_three_columns"] = _with(_THREE) + """, s as (select *, row_number() over (partition by doc_id, page_index order by split_x) as column_index from gutters),
+  c as (select up.doc_id, up.page_index, x, (select count(*) from s where s.doc_id = up.doc_id and s.page_index = up.page_index and split_x <= x + w / 2) as column_index from up)
+  select doc_id, page_index, column_index, runs, l as left, split_x, least from (select doc_id, page_index, column_index, count(*) as runs, min(x) as l from c group by all) left join s using (doc_id, page_index, column_index)"""

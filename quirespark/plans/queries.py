@@ -91,7 +91,17 @@ def q_coverage_window(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_gutters(s: SparkSession, d: str) -> DataFrame:
-    return layout.gutters(layout.coverage_window(layout.column_coverage(_items(s, d))))
+    return layout.gutters(layout.coverage_window(layout.column_coverage(_items(s, d)))).drop("n")
+
+
+@_query
+def q_three_columns(s: SparkSession, d: str) -> DataFrame:
+    """Lines dealt over three columns of 290 px: up to two gutters a page, and each column's runs."""
+    offset = F.col("x") - F.when(F.col("x") < 459, F.lit(75.0)).otherwise(F.lit(463.0))
+    items = _items(s, d).withColumn("x", 30.0 + 290 * (F.col("line_ord") % 3) + offset * 0.75)
+    found = layout.gutters(layout.coverage_window(layout.column_coverage(items)), most=2)
+    runs = layout.assign_columns(items, found).groupBy("doc_id", "page_index", "column_index").agg(F.count("*").alias("runs"), F.min("x").alias("left"))
+    return runs.join(found.withColumn("column_index", F.col("n") + 1).drop("n"), ["doc_id", "page_index", "column_index"], "left")
 
 
 @_query

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import geometry as G
 from quirespark.functions import text as X
-from quirespark.operators import enrich, layout, library
+from quirespark.operators import assembly, enrich, layout, library, pages, store
 from quirespark.operators.regions import merged_boxes
 from quirespark.plans.queries import ORACLE_SQL, QUERIES
 from quirespark.sources import drawing
@@ -166,3 +166,74 @@ def test_overrides_twice(spark):
     first = layout.apply_overrides(b, o)
     again = layout.apply_overrides(first.select(b.columns), o)
     assert first.select("eff_body").collect() == again.select("eff_body").collect() and first.first().eff_body is False
+
+
+def test_three_columns_and_more_gutters_than_wanted(spark):
+    """Columns at 0, 300 and 600, 200 wide: the gutters lie at 250 and 550; the right one is emptier, so one alone is it."""
+    kind = "doc_id long, page_index int, rotated boolean, x double, w double"
+    rows = [(1, 0, False, 300.0 * c, 200.0) for c in range(3) for _ in range(20)] + [(1, 0, False, 200.0, 100.0)] * 3 + [(2, 0, False, 0.0, 900.0)] * 5
+    items = spark.createDataFrame(rows, kind)
+    slides = layout.coverage_window(layout.column_coverage(items))
+    found = {k: [(r.n, r.split_x) for r in layout.gutters(slides, most=k).orderBy("n").collect()] for k in (1, 2, 5)}
+    assert [n for n, _ in found[2]] == [0, 1] and [abs(x - w) <= 10 for (_, x), w in zip(found[2], (250, 550), strict=True)] == [True, True]
+    assert found[5] == found[2] and found[1] == [(0, found[2][1][1])]
+    columns = layout.assign_columns(items, layout.gutters(slides, most=2)).groupBy("doc_id", "column_index").count()
+    assert {(r.doc_id, r.column_index): r["count"] for r in columns.collect()} == {(1, 0): 20, (1, 1): 23, (1, 2): 20, (2, 0): 5}
+    bounds = {r.doc_id: r.bounds for r in pages.column_bounds(items, 918.0, 2).collect()}
+    assert len(bounds[1]) == 4 and bounds[2] == [0.0, 918.0]
+
+
+def test_overrides_by_kind(spark):
+    """Every kind, no row, `auto`, and an override taken back."""
+    kind = "doc_id long, page_index int, text string, is_body_text boolean, translatable boolean, formula boolean, figure_reason string, reason string"
+    kinds = ["body", "figure", "table", "formula", "reference", "auto", None]
+    rows = [(1, 0, f"{k} {n}", n % 2 == 0, n == 0, n == 1, "narrow" if n else None, "numeric" if n else None) for k in kinds for n in range(2)]
+    blocks = spark.createDataFrame(rows, kind)
+    wanted = [(1, f"0|{k} {n}", k) for k in kinds[:-1] for n in range(2)]
+    out = layout.apply_overrides(blocks, spark.createDataFrame([*wanted, *wanted[:2]], "doc_id long, anchor string, kind string"))
+    got = {r.text: (r.eff_body, r.eff_translatable, r.eff_formula, r.eff_figure_reason, r.eff_reason) for r in out.collect()}
+    plain = ((True, True, False, None, None), (False, False, True, "narrow", "numeric"))
+    want = {
+        "body": ((True, True, False, None, None),) * 2, "figure": ((False, False, False, "graphics-region", None), (False, False, True, "graphics-region", "numeric")),
+        "table": ((False, False, False, "table-region", None), (False, False, True, "table-region", "numeric")),
+        "formula": ((True, False, True, None, "formula"), (False, False, True, "narrow", "formula")), "reference": ((True, False, False, None, "references"), (False, False, True, "narrow", "references")),
+        "auto": plain, None: plain,
+    }
+    assert got == {f"{k} {n}": want[k][n] for k in kinds for n in range(2)} and out.count() == len(rows)
+    back = layout.apply_overrides(out.select(*blocks.columns), spark.createDataFrame([], "doc_id long, anchor string, kind string"))
+    assert [r.eff_translatable for r in back.orderBy("text").collect()] == [r.translatable for r in blocks.orderBy("text").collect()]
+
+
+def test_rendering_escapes(spark):
+    one = "struct(0 as start, 3 as stop, true as bold, false as italic, cast(null as string) as script, false as math)"
+    df = spark.sql(f"select 'a<b & c>' as t, array({one}) as s")
+    assert df.select(assembly.rendered(F.col("t"), F.col("s")).alias("h")).first().h == "<strong>a&lt;b</strong> &amp; c&gt;"
+
+
+def test_own_columns_never_meet_the_rows(spark):
+    papers = spark.createDataFrame([("1", ["a"], 7, "x", True), ("2", ["b"], 8, "y", True)], "id string, tags array<string>, k long, clean string, wanted boolean")
+    assert [(r.id, r.k) for r in library.latest(papers, ["id"], ["k"]).orderBy("id").collect()] == [("1", 7), ("2", 8)]
+    tags = store.set_tags(papers, spark.createDataFrame([("1", ["c"], 1), ("1", ["d", "D "], 2)], "id string, new_tags array<string>, seq long")).orderBy("id").collect()
+    assert [(r.id, r.tags, r.k, r.clean, r.changed) for r in tags] == [("1", ["d"], 7, "x", True), ("2", ["b"], 8, "y", False)]
+    filled = papers.withColumn("filled", F.lit(3))
+    assert store.migrated(filled.limit(0), filled).count() == 2 and store.migrated(filled.limit(1), filled).count() == 1
+    entries = spark.createDataFrame([(f"k{k}", k // 2, "p", 1) for k in range(9)], "key string, at long, place string, part int")
+    assert sorted(r.key for r in store.newer_half(entries, 4).collect()) == ["k4", "k5", "k6", "k7", "k8"]
+    same = store.registered_with(spark.createDataFrame([("a", "t"), ("b", "t"), ("c", None)], "id string, text string"), spark.createDataFrame([("a", "t"), ("a", "t"), ("b", "u")], "id string, text string"))
+    assert sorted((r.id, r.registered) for r in same.collect()) == [("a", True), ("b", False), ("c", False)]
+
+
+def test_reference_sections_against_a_plain_walk(spark):
+    rng = random.Random(3)
+    kinds = [("References", 1.2, 0), ("References", 1.0, 1), ("Bibliography", 1.1, 2), ("5 Results", 1.3, 2), ("[3] Entry", 1.1, 1), ("plain text", 1.0, 0), ("References", 1.0, 0)]
+    rows = [(doc, k // 7, k % 7 % 2, k % 7, k % 7, *rng.choice(kinds)) for doc in range(30) for k in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, column_index int, block int, read_order int, text string, font_scale double, heading_level int")
+    want, on, doc = {}, False, None
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[4], r[2], r[3])):
+        on, doc = (on if r[0] == doc else False), r[0]
+        opens = r[5] in ("References", "Bibliography") and (r[6] >= 1.05 or r[7] > 0)
+        closes = r[7] > 0 and not r[5].startswith("[3]")
+        want[r[:4]] = on and not closes
+        on = not closes if on else opens
+    got = {(r.doc_id, r.page_index, r.column_index, r.block): r.in_references for r in layout.mark_references(df).collect()}
+    assert got == want and any(want.values())
