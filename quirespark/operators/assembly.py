@@ -66,17 +66,19 @@ def with_traits(items: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"bold": F.coalesce("b", no), "italic": F.coalesce("i", no), "math_font": math}).drop("b", "i")
 
 
-def lines(items: DataFrame) -> DataFrame:
+def lines(items: DataFrame, spans: bool = True) -> DataFrame:
     """Lines of a column: runs in order of baseline whose baseline is within half the median size of the line's first.
 
     The comparison is with the line's first run, not the previous one, so it is a fold over the ordered runs. Each line
     has its text, spans, box, median size, the number of its runs, of its gaps of over 0.3 sizes, its fonts' characters
-    in order, its runs' sizes and the centres of the gaps between its runs.
+    in order, its runs' sizes and the centres of the gaps between its runs. Spans cost more than all else, so who does not
+    read them leaves them out; blocks of such lines have none either.
     """
-    if "math_font" not in items.columns:
+    if spans and "math_font" not in items.columns:
         items = with_traits(items)
     font = F.col("font_name") if "font_name" in items.columns else F.lit("")
-    run = F.struct("baseline_y", "x", "line_ord", "word_ord", "str", "w", "h", "y", "font_size", "bold", "italic", "math_font", font.alias("font_name"))
+    style = ("bold", "italic", "math_font") if spans else ()
+    run = F.struct("baseline_y", "x", "line_ord", "word_ord", "str", "w", "h", "y", "font_size", *style, font.alias("font_name"))
     columns = items.groupBy(*COLUMN).agg(F.sort_array(F.collect_list(run)).alias("runs"))
     columns = columns.withColumn("median", middle(F.transform("runs", lambda r: r["font_size"])))
     # places where a line begins; there are few of them, so the fold carries little
@@ -94,12 +96,7 @@ def lines(items: DataFrame) -> DataFrame:
     out = columns.select(*COLUMN, F.posexplode_outer(cut).alias("line_index", "runs"))
     ordered = F.sort_array(F.transform("runs", lambda r: F.struct(r["x"].alias("x"), r["line_ord"].alias("line_ord"), r["word_ord"].alias("word_ord"), r.alias("r"))))
     out = out.withColumn("runs", F.transform(ordered, lambda p: p["r"]))
-    out = out.withColumn("font_size", middle(F.transform("runs", lambda r: r["font_size"]))).withColumn("largest", F.array_max(F.transform("runs", lambda r: r["font_size"])))
-    out = out.withColumn("main", F.get(F.filter("runs", lambda r: r["font_size"] >= F.col("largest") * 0.95), F.lit(0))["baseline_y"])
-
-    def script(r: Column) -> Column:
-        near = F.abs(r["baseline_y"] - F.col("main")) <= F.greatest(F.col("largest") * 0.06, F.lit(0.3))
-        return F.when((r["font_size"] < F.col("largest") * 0.85) & ~near, F.when(r["baseline_y"] > F.col("main"), "sub").otherwise("sup"))
+    out = out.withColumn("font_size", middle(F.transform("runs", lambda r: r["font_size"])))
 
     def spaced(r: Column, i: Column) -> Column:
         p = F.get(F.col("runs"), i - 1)
@@ -108,26 +105,15 @@ def lines(items: DataFrame) -> DataFrame:
         bare = p["str"].endswith(" ") | r["str"].startswith(" ") | p["str"].rlike(X.CJK + "$") | r["str"].rlike("^" + X.CJK)
         return F.when((i > 0) & ~hyphen & wide & ~bare, 1).otherwise(0)
 
-    def styled(r: Column, i: Column) -> Column:
-        s = script(r)
-        math = s.isNotNull() | r["math_font"] | (X.math_ratio(r["str"]) >= MATH_SHARE)
-        return F.struct(r["str"].alias("str"), spaced(r, i).alias("space"), F.length(r["str"]).alias("n"), r["bold"].alias("bold"), r["italic"].alias("italic"), s.alias("script"), math.alias("math"))
-
-    out = out.withColumn("parts", F.transform("runs", styled))
-    raw = F.array_join(F.transform("parts", lambda p: F.concat(F.repeat(F.lit(" "), p["space"]), p["str"])), "")
-    placed = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("k"), F.array().cast(SPANS).alias("out")),
-        lambda s, p: F.struct((s["k"] + p["space"] + p["n"]).alias("k"), F.array_append(s["out"], F.struct((s["k"] + p["space"]).alias("start"), (s["k"] + p["space"] + p["n"]).alias("stop"), *[p[c].alias(c) for c in STYLE])).alias("out")),
-        lambda s: s["out"],
-    )
-    out = out.withColumn("raw", raw).withColumn("text", X.stripped(F.col("raw"))).withColumn("lead", F.length("raw") - F.length(F.regexp_replace("raw", rf"^{X.SPACE}+", "")))
-    moved = lambda s: F.struct(F.greatest(s["start"] - F.col("lead"), F.lit(0)).alias("start"), F.least(s["stop"] - F.col("lead"), F.length("text")).alias("stop"), *[s[c].alias(c) for c in STYLE])
-    out = out.withColumn("spans", F.filter(joined_runs(placed, moved), lambda s: s["stop"] > s["start"]))
+    out = out.withColumn("spaces", F.transform("runs", spaced))
+    raw = F.array_join(F.transform("runs", lambda r, i: F.concat(F.repeat(F.lit(" "), F.get(F.col("spaces"), i)), r["str"])), "")
+    out = out.withColumn("raw", raw).withColumn("text", X.stripped(F.col("raw")))
+    if spans:
+        out = _with_spans(out)
     gaps = F.filter(F.transform("runs", lambda r, i: F.when(i > 0, F.struct((r["x"] - F.get(F.col("runs"), i - 1)["x"] - F.get(F.col("runs"), i - 1)["w"]).alias("gap"), ((r["x"] + F.get(F.col("runs"), i - 1)["x"] + F.get(F.col("runs"), i - 1)["w"]) / 2).alias("centre")))), lambda g: g.isNotNull())
     least, most = (lambda f: F.array_min(F.transform("runs", f))), (lambda f: F.array_max(F.transform("runs", f)))
     return out.withColumn("gaps", gaps).select(
-        *COLUMN, "line_index", "text", "spans", least(lambda r: r["x"]).alias("x"), least(lambda r: r["y"]).alias("y"),
+        *COLUMN, "line_index", "text", *(["spans"] if spans else []), least(lambda r: r["x"]).alias("x"), least(lambda r: r["y"]).alias("y"),
         (most(lambda r: r["x"] + r["w"]) - least(lambda r: r["x"])).alias("w"), (most(lambda r: r["y"] + r["h"]) - least(lambda r: r["y"])).alias("h"),
         F.get("runs", F.lit(0))["baseline_y"].alias("baseline_y"), "font_size", F.size("runs").cast("long").alias("n_items"),
         F.size(F.filter("gaps", lambda g: g["gap"] > F.when(F.col("font_size") > 0, F.col("font_size")).otherwise(1.0) * WIDE_GAP)).cast("long").alias("n_gaps"),
@@ -135,6 +121,33 @@ def lines(items: DataFrame) -> DataFrame:
     )
 
 
+def _with_spans(out: DataFrame) -> DataFrame:
+    """Lines with the styled spans of their runs, on the text without its outer white space."""
+    out = out.withColumn("largest", F.array_max(F.transform("runs", lambda r: r["font_size"])))
+    out = out.withColumn("main", F.get(F.filter("runs", lambda r: r["font_size"] >= F.col("largest") * 0.95), F.lit(0))["baseline_y"])
+
+    def script(r: Column) -> Column:
+        near = F.abs(r["baseline_y"] - F.col("main")) <= F.greatest(F.col("largest") * 0.06, F.lit(0.3))
+        return F.when((r["font_size"] < F.col("largest") * 0.85) & ~near, F.when(r["baseline_y"] > F.col("main"), "sub").otherwise("sup"))
+
+    def styled(r: Column, i: Column) -> Column:
+        s = script(r)
+        math = s.isNotNull() | r["math_font"] | (X.math_ratio(r["str"]) >= MATH_SHARE)
+        return F.struct(F.get(F.col("spaces"), i).alias("space"), F.length(r["str"]).alias("n"), r["bold"].alias("bold"), r["italic"].alias("italic"), s.alias("script"), math.alias("math"))
+
+    def place(s: Column, p: Column) -> Column:
+        start, stop = s["k"] + p["space"], s["k"] + p["space"] + p["n"]
+        return F.struct(stop.alias("k"), F.array_append(s["out"], F.struct(start.alias("start"), stop.alias("stop"), *[p[c].alias(c) for c in STYLE])).alias("out"))
+
+    def moved(s: Column) -> Column:
+        start, stop = F.greatest(s["start"] - F.col("lead"), F.lit(0)), F.least(s["stop"] - F.col("lead"), F.length("text"))
+        return F.struct(start.alias("start"), stop.alias("stop"), *[s[c].alias(c) for c in STYLE])
+
+    placed = F.aggregate(F.transform("runs", styled), F.struct(F.lit(0).alias("k"), F.array().cast(SPANS).alias("out")), place, lambda s: s["out"])
+    out = out.withColumn("lead", F.length("raw") - F.length(F.regexp_replace("raw", rf"^{X.SPACE}+", "")))
+    return out.withColumn("spans", F.filter(joined_runs(placed, moved), lambda s: s["stop"] > s["start"]))
+
+
 def paragraph_lines(lines_: DataFrame) -> DataFrame:
     """Lines with the number of their block within the column.
 
@@ -171,8 +184,9 @@ def paragraph_lines(lines_: DataFrame) -> DataFrame:
 
 def blocks_of(numbered: DataFrame) -> DataFrame:
     """Blocks of numbered lines: hyphens at line ends are undone before small letters, other lines are joined by a space
-    unless one of them is Chinese, Japanese or Korean there; spans move along."""
-    line = F.struct("line_index", "text", "spans", "fonts", "sizes", "n_gaps", "font_size")
+    unless one of them is Chinese, Japanese or Korean there; spans, where lines have them, move along."""
+    styled = ["spans"] if "spans" in numbered.columns else []
+    line = F.struct("line_index", "text", *styled, "fonts", "sizes")
     out = numbered.groupBy(*COLUMN, "block").agg(F.sort_array(F.collect_list(line)).alias("ls"), *G.union_box(), F.count("*").alias("n_lines"), F.sum("n_gaps").cast("long").alias("gap_count"))
 
     def part(l: Column, i: Column) -> Column:
@@ -181,22 +195,33 @@ def blocks_of(numbered: DataFrame) -> DataFrame:
         follows = F.coalesce(l["text"].endswith("-") & n.rlike("^[a-z]"), F.lit(False))
         space = (i > 0) & ~undone & ~p.rlike(X.CJK + "$") & ~l["text"].rlike("^" + X.CJK)
         own = F.when(follows, F.substring(l["text"], F.lit(1), F.length(l["text"]) - 1)).otherwise(l["text"])
-        return F.struct(F.when(space, 1).otherwise(0).alias("space"), own.alias("text"), l["spans"].alias("spans"))
+        return F.struct(F.when(space, 1).otherwise(0).alias("space"), own.alias("text"), *[l[c].alias(c) for c in styled])
 
     out = out.withColumn("parts", F.transform("ls", part))
+    if styled:
+        out = _with_moved_spans(out)
     text = F.array_join(F.transform("parts", lambda p: F.concat(F.repeat(F.lit(" "), p["space"]), p["text"])), "")
-    bases = F.aggregate("parts", F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("out")), lambda s, p: F.struct((s["k"] + p["space"] + F.length(p["text"])).alias("k"), F.array_append(s["out"], s["k"] + p["space"]).alias("out")), lambda s: s["out"])
-    out = out.withColumn("bases", bases)
-    shifted = F.flatten(F.transform("parts", lambda p, i: F.transform(p["spans"], lambda s: F.struct((F.get(F.col("bases"), i) + s["start"]).alias("start"), (F.get(F.col("bases"), i) + F.least(s["stop"], F.length(p["text"]))).alias("stop"), *[s[c].alias(c) for c in STYLE]))))
-    out = out.withColumn("text", text).withColumn("spans", F.filter(joined_runs(shifted, lambda s: s), lambda s: s["stop"] > s["start"]))
     sizes = F.flatten(F.transform("ls", lambda l: l["sizes"]))
     fonts = F.flatten(F.transform("ls", lambda l: l["fonts"]))
     return out.select(
-        *COLUMN, F.col("block").cast("long").alias("block"), "text", "spans", "x", "y", "w", "h", middle(sizes).alias("font_size"), "n_lines", "gap_count", dominant_font(fonts).alias("dominant_font"),
+        *COLUMN, F.col("block").cast("long").alias("block"), text.alias("text"), *styled, "x", "y", "w", "h", middle(sizes).alias("font_size"), "n_lines", "gap_count", dominant_font(fonts).alias("dominant_font"),
         (F.col("column_index") * 10000 + F.col("block")).cast("long").alias("read_order"),
     )
 
 
+def _with_moved_spans(out: DataFrame) -> DataFrame:
+    """Blocks with their lines' spans, each moved by where its line begins in the block's text."""
+    base = lambda s, p: F.struct((s["k"] + p["space"] + F.length(p["text"])).alias("k"), F.array_append(s["out"], s["k"] + p["space"]).alias("out"))
+    out = out.withColumn("bases", F.aggregate("parts", F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("out")), base, lambda s: s["out"]))
+
+    def moved(p: Column, i: Column) -> Column:
+        at = F.get(F.col("bases"), i)
+        return F.transform(p["spans"], lambda s: F.struct((at + s["start"]).alias("start"), (at + F.least(s["stop"], F.length(p["text"]))).alias("stop"), *[s[c].alias(c) for c in STYLE]))
+
+    shifted = F.flatten(F.transform("parts", moved))
+    return out.withColumn("spans", F.filter(joined_runs(shifted, lambda s: s), lambda s: s["stop"] > s["start"]))
+
+
 def dominant_font(fonts: Column) -> Column:
     """The font of most characters, of equals the one seen first."""
     names = F.array_distinct(F.transform(fonts, lambda f: f["name"]))

@@ -51,14 +51,14 @@ def _graphics(items: DataFrame) -> DataFrame:
     return adapter.graphics(items.select(*PAGE).distinct())
 
 
-def _numbered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _numbered(s: SparkSession, d: str, spans: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = layout.upright(_items(s, d)).withColumn("column_index", F.when(F.col("x") < 459, 0).otherwise(1))
-    numbered = settled(assembly.paragraph_lines(assembly.lines(items)))
+    numbered = settled(assembly.paragraph_lines(assembly.lines(items, spans)))
     return items, numbered, layout.body_font(items)
 
 
-def _styled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    items, numbered, body = _numbered(s, d)
+def _styled(s: SparkSession, d: str, spans: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    items, numbered, body = _numbered(s, d, spans)
     blocks = layout.block_style(assembly.blocks_of(numbered), body, _bounds(), layout.heading_fonts(items, body))
     return items, numbered, body, settled(layout.mark_formulas(blocks))
 
@@ -238,9 +238,52 @@ def q_line_spans(s: SparkSession, d: str) -> DataFrame:
     return lines.select(*PAGE, "column_index", "line_index", "s.*")
 
 
+@_query("""with recursive e as (select user_id as doc_id, event_id as ord, (event_id * 37 % 900)::double as y, ([0, 5, 19, 20, 25, 60, 120])[event_id % 7 + 1]::double as h, event_id % 11 = 3 as figure,
+    event_id % 4 > 0 or event_id % 11 = 3 as is_home, event_id % 3 > 0 and event_id % 11 <> 3 as body, event_id % 13 = 5 and event_id % 11 <> 3 as formula, event_id % 9 = 2 as spans, (event_id % 2 * 10)::double as x, (100 - event_id % 2 * 10)::double as w from events),
+  g as (select user_id as doc_id, (event_id * 53 % 950)::double as y, (event_id * 53 % 950 + event_id % 40)::double as y1 from events where event_id % 5 = 0),
+  iv as (select *, y + h as y1, row_number() over (partition by doc_id order by y, y + h, ord) as k from e),
+  ends as (select doc_id, min(y) as top, max(y1) as bottom from (select doc_id, y, y1 from iv union all select doc_id, y, y1 from g) group by 1),
+  walk as (select doc_id, 0::bigint as k, top as cursor from ends union all
+    select w.doc_id, iv.k, case when iv.y1 > case when figure then y else greatest(cursor, y) end then iv.y1 else cursor end from walk w join iv on iv.doc_id = w.doc_id and iv.k = w.k + 1),
+  steps as (select iv.*, cursor, case when figure then y else greatest(cursor, y) end as start from walk w join iv on iv.doc_id = w.doc_id and iv.k = w.k + 1),
+  last as (select doc_id, arg_max(k, k) as k, arg_max(cursor, k) as cursor, bottom from walk join ends using (doc_id) group by doc_id, bottom),
+  gaps as (select doc_id, k, cursor as a, y as b, false as is_last from steps where y > cursor union all select doc_id, k + 1, cursor, bottom, true from last where bottom > cursor),
+  seen as (select *, exists (select 1 from g where g.doc_id = gaps.doc_id and g.y1 > a + 0.5 and g.y < b - 0.5) as drawn from gaps),
+  raw as (select doc_id, k, 0 as part, case when drawn then 'image' else 'skip' end as kind, a as y0, b as y1, 0.0::double as x, 100.0::double as w, -1 as block, -1 as bc from seen where drawn or not is_last
+    union all select doc_id, k, 1, case when not is_home then 'skip' when body and not formula then 'text' when formula then 'formula' else 'image' end, start, y1,
+      case when is_home and (spans or figure or formula) then x else 0 end, case when is_home and (spans or figure or formula) then w else 100 end,
+      case when is_home and body and not formula then ord else -1 end, case when is_home and body and not formula then 0 else -1 end from steps where y1 > start
+    union all select doc_id, k + 1, 2, 'end', bottom, bottom, 0, 100, -1, -1 from last),
+  bands as (select *, row_number() over (partition by doc_id order by k, part) as n from raw),
+  run as (select doc_id, 0::bigint as n, null::double as oy, null::double as ox, null::double as ow, null::double as sy, null::double as sx, null::double as sw, null::double as sh from ends union all
+    select b.doc_id, b.n, case kind when 'text' then y1 when 'image' then case when oy is null or ox <> x or ow <> w then y0 else oy end end, case when kind in ('text', 'image') then x end, case when kind in ('text', 'image') then w end,
+      case when (kind <> 'image' or ox <> x or ow <> w) and y0 - oy >= 20 then oy end, ox, ow, y0 - oy from run r join bands b on b.doc_id = r.doc_id and b.n = r.n + 1),
+  made as (select doc_id, n, 0 as o, 'slice' as kind, sx as x, sy as y, sw as w, sh as h, false as scale_to_text, -1 as block, -1 as block_column from run where sy is not null
+    union all select doc_id, n, 1, case kind when 'text' then 'text' else 'slice' end, x, y0, w, y1 - y0, kind = 'formula', block, bc from bands where kind in ('text', 'formula')),
+  sums as (select doc_id, (select count(*) from steps where steps.doc_id = ends.doc_id and y1 > start and not is_home) as skipped, coalesce((select sum(b - a) from seen where seen.doc_id = ends.doc_id and not drawn), 0) as dropped from ends)
+  select doc_id, row_number() over (partition by doc_id order by n, o) - 1 as seq, kind, x, y, w, h, scale_to_text, block::int as block, block_column, skipped, dropped from made join sums using (doc_id)""")
+def q_flow_sweep(s: SparkSession, d: str) -> DataFrame:
+    """The sweep alone, over columns whose intervals overlap, nest and leave gaps, one a user."""
+    k, yes = F.col("event_id"), F.col("event_id") % 11 == 3
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("doc_id"), k)
+    y, heights = (k * 37 % 900).cast("double"), F.array(*map(F.lit, (0.0, 5.0, 19.0, 20.0, 25.0, 60.0, 120.0)))
+    interval = F.struct(
+        y.alias("y"), (y + F.element_at(heights, (k % 7 + 1).cast("int"))).alias("y1"), k.cast("int").alias("ord"), (k % 2 * 10).cast("double").alias("x"), (100 - k % 2 * 10).cast("double").alias("w"),
+        ((k % 4 > 0) | yes).alias("is_home"), ((k % 3 > 0) & ~yes).alias("body"), ((k % 13 == 5) & ~yes).alias("formula"), yes.alias("figure"), (k % 9 == 2).alias("spans"), k.cast("int").alias("block"), F.lit(0).alias("column_index"),
+    )
+    graphic = F.when(k % 5 == 0, F.struct(F.lit(0.0).alias("x"), (k * 53 % 950).cast("double").alias("y"), F.lit(10.0).alias("w"), (k % 40).cast("double").alias("h")))
+    columns = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(interval)).alias("intervals"), F.collect_list(graphic).alias("graphics"))
+    edge = lambda f, name, value: f(F.concat(F.transform("intervals", lambda v: v[name]), F.transform("graphics", value)))
+    columns = columns.select(
+        "doc_id", F.lit(0).alias("page_index"), F.lit(0).alias("column_index"), F.lit(0.0).alias("left"), F.lit(100.0).alias("right"),
+        edge(F.array_min, "y", lambda g: g["y"]).alias("top"), edge(F.array_max, "y1", lambda g: g["y"] + g["h"]).alias("bottom"), "intervals", "graphics",
+    )
+    return flow.nodes(columns).drop("page_index", "column_index")
+
+
 @_query()
 def q_flow_nodes(s: SparkSession, d: str) -> DataFrame:
-    items, numbered, body, blocks = _styled(s, d)
+    items, numbered, body, blocks = _styled(s, d, spans=True)
     paths = _graphics(items)
     found = figures.figure_regions([figures.clusters(paths).select(*PAGE, "x", "y", "w", "h")], items, body, 918.0, 1188.0)
     bounds = items.select(*PAGE).distinct().withColumn("bounds", _bounds())
@@ -250,7 +293,7 @@ def q_flow_nodes(s: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def q_flow_stats(s: SparkSession, d: str) -> DataFrame:
-    items, _, body, blocks = _styled(s, d)
+    items, _, body, blocks = _styled(s, d, spans=True)
     paths = _graphics(items)
     found = figures.figure_regions([figures.clusters(paths).select(*PAGE, "x", "y", "w", "h")], items, body, 918.0, 1188.0)
     bounds = items.select(*PAGE).distinct().withColumn("bounds", _bounds())

@@ -41,7 +41,7 @@ def _columned(s: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(s: SparkSession, d: str) -> DataFrame:
-    return layout.paragraphs(layout.lines(_columned(s, d)))
+    return layout.paragraphs(layout.lines(_columned(s, d), spans=False))
 
 
 def _bounds() -> Column:
@@ -113,7 +113,7 @@ def q_assign_columns(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_lines(s: SparkSession, d: str) -> DataFrame:
-    return layout.lines(_columned(s, d)).select("doc_id", "page_index", "column_index", "line_index", "text", "x", "y", "w", "h", "baseline_y", "font_size", "n_items", "n_gaps")
+    return layout.lines(_columned(s, d), spans=False).select("doc_id", "page_index", "column_index", "line_index", "text", "x", "y", "w", "h", "baseline_y", "font_size", "n_items", "n_gaps")
 
 
 @_query
@@ -181,7 +181,7 @@ def q_geometry_trust(s: SparkSession, d: str) -> DataFrame:
 @_query
 def q_self_check(s: SparkSession, d: str) -> DataFrame:
     items = _columned(s, d)
-    lines = layout.lines(items)
+    lines = layout.lines(items, spans=False)
     return layout.self_check(items, lines, layout.paragraphs(lines), _bounds())
 
 
