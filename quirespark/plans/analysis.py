@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assembly, figures, flow, layout, pages, tables
+from ..operators import assembly, crosspage, figures, flow, layout, pages, tables
 from ..operators.settled import settled
 from ..sources import adapter
 from . import oracle
@@ -281,6 +281,30 @@ def q_flow_sweep(s: SparkSession, d: str) -> DataFrame:
     return flow.nodes(columns).drop("page_index", "column_index")
 
 
+@_query(STYLE_SQL + r""", e as (select doc_id, page_index, arg_max({'t': text, 'c': column_index, 'b': block}, read_order) filter (where heading_level = 0 and not formula) as tail,
+    arg_min({'t': text, 'c': column_index, 'b': block, 'p': heading_level = 0 and not formula}, read_order) as head from styled where is_body_text and translatable and not formula group by all)
+  select h.doc_id, h.page_index, h.head.c as column_index, h.head.b as block, t.tail.c as tail_column, t.tail.b as tail_block, t.tail.t || ' ' || h.head.t as text
+  from e h join e t on t.doc_id = h.doc_id and t.page_index = h.page_index - 1 where h.head.p and regexp_matches(rtrim(t.tail.t), '[A-Za-z0-9,;\-–—]$') and regexp_matches(ltrim(h.head.t), '^[a-z,;]')""")
+def q_continued_units(s: SparkSession, d: str) -> DataFrame:
+    units = crosspage.continued_units(_styled(s, d, spans=True)[3])
+    return units.select(*PAGE, "column_index", "block", "tail_column", "tail_block", "text")
+
+
+@_query()
+def q_flow_texts(s: SparkSession, d: str) -> DataFrame:
+    """Text nodes with units over page ends, reading widths and stand-ins where every third page has no translation."""
+    items, _, _, blocks = _styled(s, d, spans=True)
+    bounds = items.select(*PAGE).distinct().withColumn("bounds", _bounds())
+    none = _graphics(items).limit(0)
+    content = figures.widest_so_far(blocks.groupBy(*PAGE).agg((F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w")))
+    widths = content.select(*PAGE, flow.reading_width(F.col("w"), F.lit(918.0), F.col("widest")).alias("reading"))
+    units = settled(crosspage.continued_units(blocks))
+    real = crosspage.translation_sources(blocks, units).where("page_index % 3 > 0")
+    real = real.select(*PAGE, "column_index", "block", F.concat(F.lit("T:"), X.unmasked(F.col("source"), F.col("pieces"))).alias("target"))
+    made = flow.text_nodes(flow.page_flow(blocks, none, none, none, bounds), blocks, real, None, units, widths, F.concat(F.lit("S:"), F.col("preview")))
+    return made.where("kind = 'text'").select(*PAGE, "column_index", "seq", "block", "source", "target", "continues", "is_tail", F.size("pieces").alias("n_pieces"), "width")
+
+
 @_query()
 def q_flow_nodes(s: SparkSession, d: str) -> DataFrame:
     items, numbered, body, blocks = _styled(s, d, spans=True)

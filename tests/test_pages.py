@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.operators import assembly, enrich, figures, flow, layout, store, tables
+from quirespark.functions import text as X
+from quirespark.operators import assembly, crosspage, enrich, figures, flow, layout, pages, store, tables
 from quirespark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +120,110 @@ def test_continuation_needs_plain_text(spark):
     kind = "doc_id long, page_index int, read_order long, text string, is_body_text boolean, translatable boolean, heading_level int, formula boolean"
     rows = [(1, 0, 0, "ends open", True, True, 0, False), (1, 0, 1, "Heading", True, True, 1, False), (1, 1, 0, "goes on", True, True, 0, False), (2, 0, 0, "ends open", True, True, 0, False), (2, 1, 0, "a heading", True, True, 1, False), (2, 1, 1, "goes on", True, True, 0, False)]
     assert [(r.doc_id, r.page_index) for r in layout.continuations(spark.createDataFrame(rows, kind)).collect()] == [(1, 1)]
+
+
+BLOCKS = BOX + f", column_index int, block long, read_order long, text string, spans {assembly.SPANS}, is_body_text boolean, translatable boolean, heading_level int, formula boolean, font_size double, bold boolean, font_scale double, reason string"
+
+
+def paged(page, k, text, spans=(), heading=0, y=None, body=True, translatable=True):
+    marks = [(a, b, False, False, None, True) for a, b in spans]
+    return (1, page, 75.0, 100.0 + 60 * k if y is None else y, 300.0, 50.0, 0, k, k, text, marks, body, translatable, heading, False, 10.0, False, 1.0, None)
+
+
+def test_units_over_page_ends(spark):
+    """Page 0 ends open with two formulas, page 1 goes on with one and ends open, page 2 goes on; page 4 has no page 3."""
+    rows = [
+        paged(0, 0, "Title", heading=1), paged(0, 1, "so a=b and c=d then", [(3, 6), (11, 14)]),
+        paged(1, 0, "we get x=y, which", [(7, 10)]), paged(2, 0, "ends here."), paged(2, 1, "is open"), paged(4, 0, "goes on"),
+        paged(5, 0, "A new start"),
+    ]
+    blocks = spark.createDataFrame(rows, BLOCKS)
+    units = crosspage.continued_units(blocks)
+    got = {r.page_index: r for r in units.collect()}
+    assert got.keys() == {1, 2}
+    one = got[1]
+    assert (one.column_index, one.block, one.tail_column, one.tail_block) == (0, 0, 0, 1) and one.text == "so a=b and c=d then we get x=y, which"
+    assert one.masked == "so [[MATH_1]] and [[MATH_2]] then we get [[MATH_0]], which" and one.pieces == ["x=y", "a=b", "c=d"]
+    assert [one.text[s.start : s.stop] for s in one.spans] == ["a=b", "c=d", "x=y"]
+    assert units.where("page_index = 1").select(X.unmasked(F.col("masked"), F.col("pieces")).alias("t")).first().t == one.text
+    sources = {(r.page_index, r.block): (r.source, r.pieces) for r in crosspage.translation_sources(blocks, units).collect()}
+    # the second page's paragraph is a head and the next one's tail: its unit gives way, as tails do
+    assert sources == {
+        (0, 0): ("Title", []), (2, 0): ("we get [[MATH_0]], which ends here.", ["x=y"]), (2, 1): ("is open", []), (4, 0): ("goes on", []), (5, 0): ("A new start", []),
+    }
+    bounds = blocks.select("doc_id", "page_index").distinct().withColumn("bounds", F.array(F.lit(0.0), F.lit(918.0)))
+    none = blocks.select("doc_id", "page_index", "x", "y", "w", "h").limit(0)
+    real = spark.createDataFrame([(1, 0, 0, 1, "old half"), (1, 4, 0, 0, "real")], "doc_id long, page_index int, column_index int, block long, target string")
+    widths = spark.createDataFrame([(1, 0, 300.0), (1, 2, 310.0)], "doc_id long, page_index int, reading double")
+    made = flow.text_nodes(flow.page_flow(blocks, none, none, none, bounds), blocks, real, None, units, widths, F.concat(F.lit("S:"), F.col("preview")))
+    shown = {(r.page_index, r.block): (r.target, r.continues, r.is_tail, r.width) for r in made.where("kind = 'text'").collect()}
+    assert shown == {
+        (0, 0): ("S:Title", False, False, 300.0), (0, 1): (None, False, True, 300.0), (1, 0): (None, True, True, None), (2, 0): ("S:we get x=y, which ends here.", True, False, 310.0),
+        (2, 1): ("S:is open", False, False, 310.0), (4, 0): ("real", False, False, None), (5, 0): ("S:A new start", False, False, None),
+    }
+
+
+def test_flow_with_figures(spark):
+    """A figure over two columns stands in the first, as wide as the paths beside it; one that no text runs through is left
+    to the gap that it lies in; what it has taken goes; a text between two slices of a figure cuts it."""
+    text = lambda y, h=50, x=75, c=0: (x, y, 300, h, c, True, False)
+    both = [text(100), text(400), text(120, x=500, c=1), text(420, x=500, c=1)]
+    got, made, _ = flow_of(spark, both, figs=[(200, 200, 500, 100)], paths=[(150, 210, 600, 50)])
+    assert got == [(0, "text", 100, 150, 0), (0, "slice", 200, 300, -1), (0, "text", 400, 450, 1), (1, "text", 120, 170, 2), (1, "slice", 170, 420, -1), (1, "text", 420, 470, 3)]
+    assert [(r.column_index, r.x, r.w) for r in made.where("kind = 'slice'").orderBy("column_index").collect()] == [(0, 150.0, 600.0), (1, 459.0, 459.0)]
+    # in one column without text through it: no obstacle, the paths in the gap make the slice
+    got, *_ = flow_of(spark, [text(100), text(400)], figs=[(100, 200, 200, 100)], paths=[(100, 210, 200, 80)])
+    assert got == [(0, "text", 100, 150, 0), (0, "slice", 150, 400, -1), (0, "text", 400, 450, 1)]
+    # a label that is no body text, and that the figure covers by more than 30 %, is its own
+    got, *_ = flow_of(spark, [text(100), (120, 220, 100, 10, 0, False, False), text(400)], figs=[(100, 200, 200, 100)], paths=[(100, 210, 200, 80)])
+    assert got == [(0, "text", 100, 150, 0), (0, "slice", 150, 400, -1), (0, "text", 400, 450, 2)]
+    # a text runs through the figure: it is an obstacle, stands where it is and shows the text within
+    got, *_ = flow_of(spark, [text(100), (75, 200, 300, 60, 0, True, False), text(400)], figs=[(60, 190, 380, 100)], paths=[(60, 190, 380, 100)])
+    assert got == [(0, "text", 100, 150, 0), (0, "slice", 190, 290, -1), (0, "text", 400, 450, 2)]
+
+
+def test_flow_stats_with_figures(spark):
+    """Two slices of a figure with a shown text between, one path that no slice shows and one that is shown in part."""
+    node = "doc_id long, page_index int, column_index int, seq int, kind string, x double, y double, w double, h double, scale_to_text boolean, block int, block_column int, skipped int, dropped double, target string"
+    n = lambda seq, kind, y, h, target=None: (1, 0, 0, seq, kind, 0.0, float(y), 100.0, float(h), False, 0 if kind == "text" else -1, 0, 2, 7.5, target)
+    made = spark.createDataFrame([n(0, "slice", 0, 50), n(1, "text", 50, 20, "T"), n(2, "slice", 70, 50)], node)
+    box = lambda *rows: spark.createDataFrame([(1, 0, *map(float, r)) for r in rows], BOX)
+    blocks = box((0, 50, 100, 20), (0, 0, 100, 20)).withColumns({"is_body_text": F.lit(True), "formula": F.lit(False)})
+    figs = box((0, 40, 100, 60))
+    r = flow.flow_stats(made, blocks, figs, box((10, 10, 10, 10), (500, 500, 10, 10), (90, 10, 100, 10))).first()
+    assert (r.n_slices, r.n_texts, r.n_skipped, r.dropped, r.covered, r.widest, r.body_share) == (2, 1, 2, 7.5, 100.0, 100.0, 1.0)
+    # the second block lies in a slice, beside the figure, which takes the first; the figure is cut by the text shown
+    assert (r.n_twice, r.twice_area, r.n_cut, r.n_unseen, r.n_part_seen) == (1, 2000.0, 1, 1, 1)
+    unshown = made.withColumn("target", F.lit(None).cast("string"))
+    assert flow.flow_stats(unshown, blocks, figs, figs).first().n_cut == 0
+
+
+def test_page_analysis(spark):
+    """A first page of title, authors, abstract and text; a figure with a label; a table; references on the second page."""
+    rows, body = [], ["word word word word word word word word word word word word."] * 12
+    put = lambda page, y, words, x=75.0, size=10.0, gap=5.0: rows.extend((1, page, *r[3:]) for r in line(float(y), words, x=x, size=size, gap=gap))
+    put(0, 80, ["The title of it"], size=20.0)
+    put(0, 120, ["Ada and Bob"])
+    put(0, 160, ["Abstract"])
+    for k, t in enumerate(body):
+        put(0, 190 + 12 * k, [t])
+    put(0, 400, ["label"], x=120.0, size=5.0)
+    for k in range(4):
+        put(0, 500 + 16 * k, ["a1", "b2", "c3"], gap=80.0)
+    put(0, 700, ["E=mc+x+y+z+w+v+u+t+s=0"])
+    put(1, 80, ["References"], size=12.0)
+    for k in range(3):
+        put(1, 110 + 12 * k, [f"[{k + 1}] An entry of the list, with a long enough text in it."])
+    items = spark.createDataFrame([(*r[:2], *r[2:], False) for r in rows], RUNS.replace("column_index int, ", "") + ", rotated boolean")
+    paths = spark.createDataFrame([(1, 0, k, 100.0 + 30 * k, 380.0, 32.0, 60.0) for k in range(5)], "doc_id long, page_index int, ord int, x double, y double, w double, h double")
+    bounds = items.select("doc_id", "page_index").distinct().withColumn("bounds", F.array(F.lit(0.0), F.lit(918.0)))
+    out = pages.analyze_pages(items, paths=paths, bounds=bounds)
+    got = {b.text: b for b in out.blocks.collect()}
+    told = lambda t: (lambda b: (b.is_body_text, b.translatable, b.formula, b.reason, b.figure_reason))(next(b for k, b in got.items() if k.startswith(t)))
+    assert told("The title") == (True, True, False, None, None) and got["The title of it"].heading_level == 2
+    assert told("Ada")[3] == "authors" and not told("Ada")[1] and told("word") == (True, True, False, None, None)
+    assert told("label")[0] is False and told("a1")[4] == "table-region" and told("a1")[:2] == (False, False)
+    assert told("E=mc")[2:4] == (True, "formula") and told("[1]")[1] is False and told("[1]")[3] == "references" and told("References")[3] is None
+    assert [(t.n_rows) for t in out.tables.collect()] == [4]
+    figure = [r for r in out.figures.collect() if r.y < 450]
+    assert [(r.x, r.y, r.w, r.h) for r in figure] == [(100.0, 380.0, 152.0, 60.0)]
