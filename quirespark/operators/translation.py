@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .changelog import ChangeLog
 from .enrich import Translator, wait_ms
+from .library import keep_recent
 from .settled import settled
-from .store import MAX_ENTRY, run_status
+from .store import MAX_ENTRIES, MAX_ENTRY, run_status
 
 OUTCOME = "key string, state string, text string, error_kind string, attempts int"
 
@@ -174,3 +175,12 @@ def start(run: TranslationRun, sources: DataFrame, translations: DataFrame, now_
     statuses, counts = run.run(sources.join(translations.select("id"), "id", "left_anti"), now_ms, resume)
     fresh = settled(statuses).where(F.col("state").isin("done", "cached")).select("id", "text")
     return translations.select("id", "text").unionByName(fresh), counts
+
+
+def evict(cache: ChangeLog, now_ms: int, limit: int = MAX_ENTRIES) -> bool:
+    """Takes all but the `limit` newest entries out of the cache, of equal times those of smaller keys stay; False if
+    that is done already under this time."""
+    state = cache.state().select("key", "at")
+    kept = keep_recent(state, limit).select("key")
+    gone = state.join(kept, "key", "left_anti").select("key", F.lit(now_ms).cast("long").alias("at"))
+    return cache.append(gone, f"evict-{now_ms}", gone=True)

@@ -38,9 +38,7 @@ def _items(s: SparkSession, d: str) -> DataFrame:
     return items.withColumn("str", shaped)
 
 
-_SHAPED = r"""(select * replace (case when doc_id % 4 = 0 then regexp_replace(str, '([A-Za-z]{2})', '\1.', 'g')
-  when doc_id % 5 = 1 and line_ord % 3 = 1 then regexp_replace(str, '([^\n])', '\1=', 'g') else str end as str) from items)"""
-STYLE_SQL = oracle._with(oracle._STYLE.replace("from items where not rotated", f"from {_SHAPED} where not rotated"))
+STYLE_SQL = oracle._with(oracle.SHAPED_STYLE)
 
 
 def _bounds() -> Column:

@@ -14,6 +14,7 @@ from ..operators import enrich, library, store
 from ..operators.changelog import ChangeLog
 from ..operators.settled import shared_folder
 from ..operators.translation import TranslationRun
+from ..streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,11 +57,43 @@ def q_paper_by_id(s: SparkSession, d: str) -> DataFrame:
     return store.by_id(_papers(s, d), "17").select("id", "title", "last_page")
 
 
-@_query("select source as id, min(doc_id) as created_at, row_number() over (order by min(doc_id), source) as place from documents group by source")
+@_query("select source as id, min(doc_id) as created_at from documents group by source")
 def q_collections_by_creation(s: SparkSession, d: str) -> DataFrame:
-    rows = _read(s, d, "documents").groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("created_at"))
-    listed = store.by_creation(rows).agg(F.collect_list(F.struct("created_at", "id")).alias("l")).select(F.posexplode(F.sort_array("l")).alias("p", "c"))
-    return listed.select("c.id", "c.created_at", (F.col("p") + 1).cast("long").alias("place"))
+    return store.by_creation(_read(s, d, "documents").groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("created_at")))
+
+
+_LOGGED = """e as (select user_id, event_id, event_type, value, (event_id % 5)::int as b from events),
+  s3 as (select * from e where b < 3 and not (b = 2 and event_id % 7 = 0) qualify row_number() over (partition by user_id order by event_id desc) = 1),
+  t as (select user_id, max(event_id) as seq from e where b = 3 and event_id % 2 = 0 group by 1),
+  s5 as (select * from e where b in (0, 1, 2, 4) and not (b = 2 and event_id % 7 = 0) qualify row_number() over (partition by user_id order by event_id desc) = 1)"""
+
+
+def _log(s: SparkSession, d: str) -> ChangeLog:
+    """Users' last events as a log of five batches: the fourth takes users out, the second is written twice, and a
+    compaction comes in between."""
+    log = ChangeLog(s, f"{shared_folder(s)}/log-{uuid.uuid4().hex}", ["user_id"], ["event_id"], buckets=8)
+    e = _read(s, d, "events").select("user_id", "event_id", "event_type", "value")
+    for k in (0, 1, 1, 2):
+        log.append(e.where((F.col("event_id") % 5 == k) & ~((F.col("event_id") % 5 == 2) & (F.col("event_id") % 7 == 0))), f"b{k}")
+    log.compact()
+    log.append(e.where("event_id % 5 = 3 and event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("event_id")), "b3", gone=True)
+    log.append(e.where("event_id % 5 = 4"), "b4")
+    return log
+
+
+@_query("with " + _LOGGED + " select s5.user_id, event_id, event_type, value from s5 left join t on t.user_id = s5.user_id where seq is null or event_id > seq")
+def q_change_log(s: SparkSession, d: str) -> DataFrame:
+    return _log(s, d).state()
+
+
+@_query("with " + _LOGGED + """, n as (select s5.* from s5 left join t on t.user_id = s5.user_id where seq is null or event_id > seq)
+  select 'even' as subscriber, coalesce(n.user_id, o.user_id) as user_id, n.event_id, case when o.user_id is null then 'added' when n.user_id is null then 'removed' else 'changed' end as change
+  from n full join s3 o on o.user_id = n.user_id where coalesce(n.user_id, o.user_id) % 2 = 0 and not (n.user_id is not null and o.user_id is not null and n.event_type is not distinct from o.event_type and n.value is not distinct from o.value)""")
+def q_subscribed(s: SparkSession, d: str) -> DataFrame:
+    """What the last two batches have changed for one who subscribes to users of even ids."""
+    log = _log(s, d)
+    wanted = _read(s, d, "events").where("user_id % 2 = 0").select(F.lit("even").alias("subscriber"), "user_id")
+    return feed.notified(feed.changed(log, log.version()[0] - 2), wanted, ["user_id"]).select("subscriber", "user_id", "event_id", "change")
 
 
 @_query("""select event_id, case when event_id % 3 = 0 then 2::bigint else 0::bigint end as n_tags, case when event_id % 3 = 0 then event_type end as first_tag from events""")

@@ -100,6 +100,11 @@ _LONG = "with l as (select doc_id, (generate_subscripts(string_split(text, chr(1
 _PAPERS = """papers as (select doc_id::varchar as id, string_split(text, chr(10))[1] as title, source, lang, n_chars from documents)"""
 _ANCHOR = r"page_index::varchar || '|' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40)"
 
+# runs of some documents read like cells or formulas, with nothing taken away
+SHAPED = r"""(select * replace (case when doc_id % 4 = 0 then regexp_replace(str, '([A-Za-z]{2})', '\1.', 'g')
+  when doc_id % 5 = 1 and line_ord % 3 = 1 then regexp_replace(str, '([^\n])', '\1=', 'g') else str end as str) from items)"""
+SHAPED_STYLE = _STYLE.replace("from items where not rotated", f"from {SHAPED} where not rotated")
+
 ORACLE_SQL = {
     "q_items": _with("x_ as (select 1)") + " select * from items",
     "q_not_rotated": _with(_UP) + " select doc_id, page_index, count(*) as n from up group by all",
@@ -113,7 +118,7 @@ ORACLE_SQL = {
     "q_body_font": _with(_UP + _FONT) + " select * from body",
     "q_heading_fonts": _with(_UP + _FONT) + " select doc_id, page_index, font_name, m as median from (select doc_id, page_index, font_name, quantile_cont(font_size, 0.5) as m from up group by all) join body using (doc_id, page_index) where m >= 1.15::double * body_font",
     "q_block_style": _with(_STYLE) + " select doc_id, page_index, column_index, block, font_scale, width_ratio, gaps_per_line, bold, numeric, heading_level, figure_reason, is_body_text from styled",
-    "q_formula_mark": _with(_STYLE) + """, f as (select * from styled where formula)
+    "q_formula_mark": _with(SHAPED_STYLE) + """, f as (select * from styled where formula)
       select doc_id, page_index, column_index, block from styled s where formula or (n_lines <= 3 and length(text) <= 40 and is_body_text and translatable and heading_level = 0 and exists (
         select 1 from f where f.doc_id = s.doc_id and f.page_index = s.page_index and f.column_index = s.column_index
           and least(s.y + s.h, f.y + f.h) - greatest(s.y, f.y) >= 2))""",
@@ -168,15 +173,16 @@ ORACLE_SQL = {
       p as (select a.doc_id, a.page_index, a.ord as a, b.ord as b, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as area, a.w * a.h as own
         from g a join g b on a.doc_id = b.doc_id and a.page_index = b.page_index and a.ord < b.ord and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h)
       select doc_id, page_index, a, b, area, round(area / own, 6) as coverage from p""",
-    "q_figure_clusters": _with(_GRAPHICS) + """ select doc_id, page_index, 0 as cluster, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h, count(*) as n from graphics where ord < 5 group by all""",
+    "q_figure_clusters": _with(_GRAPHICS) + """ select doc_id, page_index, part as cluster, min(x + 40 * part) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h, count(*) as n from graphics, (values (0), (10)) p(part) where ord < 5 group by all""",
     "q_formula_features": r"""select conv_id, turn, length(regexp_replace(text, '\s', '', 'g')) as n_chars, length(regexp_replace(text, '[^=+<>{}()±×÷∂∇−Ͱ-Ͽ←-⇿∀-⋿]', '', 'g')) as n_math,
       length(regexp_replace(text, '[^=+<>{}±×÷∂∇−Ͱ-Ͽ←-⇿∀-⋿]', '', 'g')) as n_strong,
       len(list_filter(regexp_extract_all(text, '[A-Za-z]{3,}'), lambda q: not list_contains(['sin','cos','tan','cot','sec','csc','log','ln','lg','exp','min','max','arg','sup','inf','det','dim','lim','mod','gcd','lcm','var','std','relu','sig','sgn','softmax'], lower(q)))) as long_words,
       regexp_matches(text, '\(([0-9]{1,3}[a-z]?)\)\s*\.?\s*$') as numbered from conversations""",
     "q_drawing_boxes": _LONG + """ select doc_id, i as ord, 'path' as kind, sum(n % 7) over (partition by doc_id order by i)::double as x, 2.0::double * (i + 1) as y, 4.0::double as w, (n % 5 + 1)::double as h from l""",
     "q_fnv_cache_key": "select doc_id, " + _FNV.format("text") + " as key from documents",
-    "q_mask": r"""select doc_id, md5(list_aggregate(list_transform(string_split_regex(text, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2) || ']]' else '' end || p), 'string_agg', '')) as masked_md5,
-      len(regexp_extract_all(text, '\d+')) as n_pieces, true as restored, 0::bigint as missing from documents""",
+    "q_mask": r"""with m as (select doc_id, list_aggregate(list_transform(string_split_regex(text, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2) || ']]' else '' end || p), 'string_agg', '') as m,
+        len(regexp_extract_all(text, '\d+')) as n from documents)
+      select doc_id, md5(case when doc_id % 3 = 0 then replace(m, '[[MATH_0]]', '') else m end) as masked_md5, n as n_pieces, not (doc_id % 3 = 0 and n > 0) as restored, (doc_id % 3 = 0 and n > 0)::bigint as missing from m""",
     "q_merge_masked": r"""with m as (select conv_id, turn, text, len(regexp_extract_all(text, '\d+')) as n from conversations),
       l as (select *, lag(text) over w as ht, lag(n) over w as hn from m window w as (partition by conv_id order by turn))
       select conv_id, turn, list_aggregate(list_transform(string_split_regex(ht, '\d+'), lambda p, i: case when i > 1 then '[[MATH_' || (i - 2 + n) || ']]' else '' end || p), 'string_agg', '') || ' ' ||
@@ -192,10 +198,12 @@ ORACLE_SQL = {
     "q_lru_keep": "select user_id::varchar as key, max(event_id) as at from events group by 1 order by max(event_id) desc, key limit 100",
     "q_library_filter": "with " + _PAPERS + " select id, title from papers where source = 'src3' and (contains(lower(title), 'the') or contains(lower(lang), 'the') or contains(lower(source), 'the'))",
     "q_scope_counts": "with " + _PAPERS + " select 'all' as scope, count(*) as n from papers union all select case when source = 'src7' then 'uncategorised' else source end, count(*) from papers group by 1",
-    "q_tags_dedupe": "with " + _PAPERS + " select id, lang || '|' || source as tags from papers",
+    "q_tags_dedupe": """with t as (select doc_id::varchar as id, unnest([lang, upper(lang), ' ' || source, ' ']) as tag, generate_subscripts([1, 2, 3, 4], 1) as i from documents),
+      f as (select id, lower(trim(tag)) as k, arg_min(trim(tag), i) as tag, min(i) as i from t where trim(tag) <> '' group by all)
+      select id, string_agg(tag, '|' order by i) as tags from f group by id""",
     "q_dedup_papers": "select source, n_chars, max(doc_id) as doc_id from documents group by 1, 2",
     "q_upsert_latest": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
-    "q_delete_rows": "select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders)",
+    "q_delete_rows": "select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 16 = 1)",
     "q_stream_register": "select distinct user_id::varchar as id, 'x' as source from events",
     "q_stream_page_state": _LONG + """, g as (select *, max(case when n % 5 = 0 then i end) over w as o, max(case when n % 7 = 0 then i end) over w as c, max(n) over w as m
         from l window w as (partition by doc_id order by i))

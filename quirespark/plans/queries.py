@@ -49,10 +49,12 @@ def _bounds() -> Column:
     return F.array(F.lit(0.0), F.lit(459.0), F.lit(918.0))
 
 
-def _styled(s: SparkSession, d: str) -> DataFrame:
-    items = _items(s, d)
+def _styled(s: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    items = _items(s, d) if items is None else items
     body = layout.body_font(items)
-    return layout.mark_formulas(layout.block_style(_blocks(s, d), body, _bounds(), layout.heading_fonts(items, body)))
+    columned = layout.upright(items).withColumn("column_index", F.when(F.col("x") < 459, 0).otherwise(1))
+    blocks = layout.paragraphs(layout.lines(columned, spans=False))
+    return layout.mark_formulas(layout.block_style(blocks, body, _bounds(), layout.heading_fonts(items, body)))
 
 
 def _graphics(s: SparkSession, d: str) -> DataFrame:
@@ -145,7 +147,8 @@ def q_formula_features(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_formula_mark(s: SparkSession, d: str) -> DataFrame:
-    return layout.absorb_fragments(_styled(s, d)).where("formula").select("doc_id", "page_index", "column_index", "block")
+    # with lines that read like formulas, as prose has none
+    return layout.absorb_fragments(_styled(s, d, analysis._items(s, d))).where("formula").select("doc_id", "page_index", "column_index", "block")
 
 
 @_query
@@ -208,7 +211,9 @@ def q_bbox_pairs_overlap(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_figure_clusters(s: SparkSession, d: str) -> DataFrame:
-    return layout.figure_clusters(_graphics(s, d))
+    # each frame a second time, 400 px to the right, as boxes 10 to 15
+    g = _graphics(s, d)
+    return layout.figure_clusters(g.unionByName(g.withColumns({"x": F.col("x") + 400, "ord": F.col("ord") + 10})))
 
 
 @_query
@@ -234,7 +239,9 @@ def q_fnv_cache_key(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_mask(s: SparkSession, d: str) -> DataFrame:
+    # every third document loses its first marker, as a translation may
     m, p = X.masked(F.col("text"), r"\d+")
+    m = F.when(F.col("doc_id") % 3 == 0, F.replace(m, F.lit("[[MATH_0]]"), F.lit(""))).otherwise(m)
     out = _read(s, d, "documents").select("doc_id", "text", m.alias("masked"), p.alias("pieces"))
     return out.select("doc_id", F.md5("masked").alias("masked_md5"), F.size("pieces").cast("long").alias("n_pieces"), (X.unmasked(F.col("masked"), F.col("pieces")) == F.col("text")).alias("restored"), X.missing_markers(F.col("masked"), F.col("pieces")).alias("missing"))
 
@@ -321,7 +328,8 @@ def q_upsert_latest(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_delete_rows(s: SparkSession, d: str) -> DataFrame:
-    return library.without(_read(s, d, "customer").select("c_custkey", "c_nationkey"), _read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    gone = _read(s, d, "orders").where("o_orderkey % 16 = 1").select(F.col("o_custkey").alias("c_custkey"))
+    return library.without(_read(s, d, "customer").select("c_custkey", "c_nationkey"), gone, ["c_custkey"])
 
 
 @_query

@@ -198,7 +198,7 @@ def test_flow_stats_with_figures(spark):
     assert flow.flow_stats(unshown, blocks, figs, figs).first().n_cut == 0
 
 
-def test_page_analysis(spark):
+def two_pages(spark):
     """A first page of title, authors, abstract and text; a figure with a label; a table; references on the second page."""
     rows, body = [], ["word word word word word word word word word word word word."] * 12
     put = lambda page, y, words, x=75.0, size=10.0, gap=5.0: rows.extend((1, page, *r[3:]) for r in line(float(y), words, x=x, size=size, gap=gap))
@@ -217,6 +217,11 @@ def test_page_analysis(spark):
     items = spark.createDataFrame([(*r[:2], *r[2:], False) for r in rows], RUNS.replace("column_index int, ", "") + ", rotated boolean")
     paths = spark.createDataFrame([(1, 0, k, 100.0 + 30 * k, 380.0, 32.0, 60.0) for k in range(5)], "doc_id long, page_index int, ord int, x double, y double, w double, h double")
     bounds = items.select("doc_id", "page_index").distinct().withColumn("bounds", F.array(F.lit(0.0), F.lit(918.0)))
+    return items, paths, bounds
+
+
+def test_page_analysis(spark):
+    items, paths, bounds = two_pages(spark)
     out = pages.analyze_pages(items, paths=paths, bounds=bounds)
     got = {b.text: b for b in out.blocks.collect()}
     told = lambda t: (lambda b: (b.is_body_text, b.translatable, b.formula, b.reason, b.figure_reason))(next(b for k, b in got.items() if k.startswith(t)))
@@ -227,3 +232,14 @@ def test_page_analysis(spark):
     assert [(t.n_rows) for t in out.tables.collect()] == [4]
     figure = [r for r in out.figures.collect() if r.y < 450]
     assert [(r.x, r.y, r.w, r.h) for r in figure] == [(100.0, 380.0, 152.0, 60.0)]
+    # overrides come over what is automatic, slices that are empty go, paths without ink are not believed
+    anchors = {b.text[:6]: f"{b.page_index}|{b.text[:40]}" for b in got.values()}
+    wanted = spark.createDataFrame([(1, anchors["Ada an"], "body"), (1, anchors["Refere"], "figure"), (1, anchors["E=mc+x"], "auto")], "doc_id long, anchor string, kind string")
+    seen = pages.document_flow(out, paths, overrides=wanted, has_content=F.col("y") < 450, stand_in=F.concat(F.lit("S:"), F.col("preview"))).collect()
+    texts = {r.source[:6]: r for r in seen if r.kind == "text"}
+    assert texts["Ada an"].target == "S:Ada and Bob" and texts["Ada an"].overridden == "body" and texts["Ada an"].translatable and "Refere" not in texts
+    assert texts["The ti"].width == 300.0 and all(r.y < 450 for r in seen if r.kind == "slice") and any(r.kind == "slice" and r.y <= 380 < r.y + r.h for r in seen)
+    blank = pages.analyze_pages(items, paths=paths.withColumn("ink", F.lit(False)), bounds=bounds)
+    assert [r for r in blank.figures.collect() if r.y < 450] == []
+    told_inside = pages.analyze_pages(items, bounds=bounds, inside=F.col("y").between(170, 300) & (F.col("page_index") == 0))
+    assert next(b.figure_reason for b in told_inside.blocks.collect() if b.text.startswith("word")) == "graphics-region"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import text as X
 from quirespark.operators.changelog import ChangeLog
-from quirespark.operators.translation import Busy, TranslationRun, start
+from quirespark.operators.translation import Busy, TranslationRun, evict, start
 from tests.faulty import FaultyPort
 
 REPO = str(Path(__file__).parent.parent)
@@ -125,6 +125,15 @@ def test_start_translates_what_is_pending(spark, place):
     assert {(r.id, r.text) for r in out.collect()} == {("a", "old"), ("b", "译译译")} and counts.first().total == 1 and port.calls() == 1
 
 
+def test_eviction_keeps_the_newest(spark, place):
+    _, _, cache = place
+    cache.append(spark.createDataFrame([(f"k{k}", f"t{k}", k // 2) for k in range(7)], "key string, text string, at long"), "b")
+    assert evict(cache, 9, limit=3) and not evict(cache, 9, limit=3)
+    assert sorted(r.key for r in cache.state().collect()) == ["k4", "k5", "k6"]
+    cache.append(spark.createDataFrame([("k0", "again", 10)], "key string, text string, at long"), "c")
+    assert cache.compact() and sorted((r.key, r.text) for r in cache.state().collect()) == [("k0", "again"), ("k4", "t4"), ("k5", "t5"), ("k6", "t6")]
+
+
 SCRIPT = """
 import sys
 from pyspark.sql import SparkSession
