@@ -127,7 +127,8 @@ def masked(c: Column, pattern: str) -> tuple[Column, Column]:
     """The text with numbered markers for what `pattern` finds, and the pieces in order."""
     pieces = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     parts = F.split(c, pattern, -1)
-    joined = F.aggregate(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), F.lit(""), lambda out, x: F.concat(out, F.when(x["i"] > 0, F.concat(F.lit("[[MATH_"), (x["i"] - 1).cast("string"), F.lit("]]"))).otherwise(""), x["p"]))
+    marker = lambda i: F.when(i > 0, F.concat(F.lit("[[MATH_"), (i - 1).cast("string"), F.lit("]]"))).otherwise("")
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(marker(i), p)), "")
     return joined, pieces
 
 

@@ -110,7 +110,12 @@ def lines(items: DataFrame, spans: bool = True) -> DataFrame:
     out = out.withColumn("raw", raw).withColumn("text", X.stripped(F.col("raw")))
     if spans:
         out = _with_spans(out)
-    gaps = F.filter(F.transform("runs", lambda r, i: F.when(i > 0, F.struct((r["x"] - F.get(F.col("runs"), i - 1)["x"] - F.get(F.col("runs"), i - 1)["w"]).alias("gap"), ((r["x"] + F.get(F.col("runs"), i - 1)["x"] + F.get(F.col("runs"), i - 1)["w"]) / 2).alias("centre")))), lambda g: g.isNotNull())
+
+    def gap(r: Column, i: Column) -> Column:
+        p = F.get(F.col("runs"), i - 1)
+        return F.when(i > 0, F.struct((r["x"] - p["x"] - p["w"]).alias("gap"), ((r["x"] + p["x"] + p["w"]) / 2).alias("centre")))
+
+    gaps = F.filter(F.transform("runs", gap), lambda g: g.isNotNull())
     least, most = (lambda f: F.array_min(F.transform("runs", f))), (lambda f: F.array_max(F.transform("runs", f)))
     return out.withColumn("gaps", gaps).select(
         *COLUMN, "line_index", "text", *(["spans"] if spans else []), least(lambda r: r["x"]).alias("x"), least(lambda r: r["y"]).alias("y"),
@@ -246,13 +251,22 @@ def rendered(text: Column, spans: Column) -> Column:
         return F.when(s["script"].isNotNull(), F.concat(F.lit("<"), s["script"], F.lit(">"), out, F.lit("</"), s["script"], F.lit(">"))).otherwise(out)
 
     state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
-    return F.aggregate(spans, state(F.lit(0), F.lit("")), lambda s, p: state(p["stop"], F.concat(s["out"], F.when(p["start"] > s["at"], plain(s["at"], p["start"])).otherwise(""), chunk(p))), lambda s: F.concat(s["out"], F.when(s["at"] < F.length(text), plain(s["at"], F.length(text))).otherwise("")))
+
+    def add(s: Column, p: Column) -> Column:
+        between = F.when(p["start"] > s["at"], plain(s["at"], p["start"])).otherwise("")
+        return state(p["stop"], F.concat(s["out"], between, chunk(p)))
+
+    def close(s: Column) -> Column:
+        return F.concat(s["out"], F.when(s["at"] < F.length(text), plain(s["at"], F.length(text))).otherwise(""))
+
+    return F.aggregate(spans, state(F.lit(0), F.lit("")), add, close)
 
 
 def math_ranges(text: Column, spans: Column) -> Column:
     """Ranges of mathematical spans, clipped to the text, in order; those that overlap are one."""
     kind = "array<struct<start:int,stop:int>>"
-    own = F.filter(F.transform(F.filter(spans, lambda s: s["math"]), lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), F.least(s["stop"], F.length(text)).alias("stop"))), lambda r: r["stop"] > r["start"])
+    clipped = lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), F.least(s["stop"], F.length(text)).alias("stop"))
+    own = F.filter(F.transform(F.filter(spans, lambda s: s["math"]), clipped), lambda r: r["stop"] > r["start"])
 
     def step(out: Column, r: Column) -> Column:
         def grown(last: Column) -> Column:

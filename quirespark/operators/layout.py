@@ -5,8 +5,10 @@ Everything is keyed by (doc_id, page_index), which one shuffle deals out; what f
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import geometry as G
 from ..functions import text as X
@@ -245,12 +247,18 @@ def self_check(items: DataFrame, lines_: DataFrame, blocks: DataFrame, bounds: C
     ratio = F.when(F.col("h") > 0, (F.lead("y").over(w) - F.col("y") - F.col("h")) / F.col("h")).when(F.lead("y").over(w).isNotNull(), 0.0)
     b = blocks.withColumns({"spans_": over & several, "beyond": over & ~several, "space": ratio, "before": F.lag("column_index").over(Window.partitionBy(*PAGE).orderBy("read_order"))})
     some = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(0)))
-    b = b.groupBy(*PAGE).agg(F.count("*").alias("n_blocks"), some(F.col("spans_")).alias("spanning"), some(F.col("beyond")).alias("out_of_column"), F.coalesce(F.percentile("space", F.lit(0.5)), F.lit(0.0)).alias("gap"), some(F.col("space") < 1).alias("tight"), some(F.col("column_index") < F.col("before")).alias("back"))
+    b = b.groupBy(*PAGE).agg(
+        F.count("*").alias("n_blocks"), some(F.col("spans_")).alias("spanning"), some(F.col("beyond")).alias("out_of_column"),
+        F.coalesce(F.percentile("space", F.lit(0.5)), F.lit(0.0)).alias("gap"), some(F.col("space") < 1).alias("tight"), some(F.col("column_index") < F.col("before")).alias("back"),
+    )
     overlaps = F.size(F.filter("gaps", lambda g: g["gap"] < -OVERLAP))
     l = lines_.groupBy(*PAGE).agg(F.count("*").alias("n_lines"), F.sum(overlaps).alias("overlaps"), F.percentile("h", F.lit(0.5)).alias("line_height"))
     counts = items.groupBy(*PAGE).agg(F.count("*").alias("n_items"), F.sum(F.when(F.col("column_index") == 0, 1).otherwise(0)).alias("n_left"), F.percentile("font_size", F.lit(0.5)).alias("size"))
     out = counts.join(l, PAGE).join(b, PAGE)
-    return out.select(*PAGE, "n_items", "n_left", "n_lines", "n_blocks", "spanning", "out_of_column", F.col("overlaps").cast("long").alias("overlaps"), rounded(F.col("gap"), 2).alias("median_gap"), "tight", (F.col("back") == 0).alias("monotonic"), rounded(F.col("line_height"), 1).alias("line_height"), rounded(F.col("size"), 1).alias("size"))
+    return out.select(
+        *PAGE, "n_items", "n_left", "n_lines", "n_blocks", "spanning", "out_of_column", F.col("overlaps").cast("long").alias("overlaps"), rounded(F.col("gap"), 2).alias("median_gap"),
+        "tight", (F.col("back") == 0).alias("monotonic"), rounded(F.col("line_height"), 1).alias("line_height"), rounded(F.col("size"), 1).alias("size"),
+    )
 
 
 def page_ends(blocks: DataFrame) -> DataFrame:
@@ -310,17 +318,35 @@ def overlapping_pairs(boxes: DataFrame, pad: float = 0.0, band: float = 64.0) ->
     return pairs.select("a.doc_id", "a.page_index", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), G.shared_area(left, right).alias("area"), F.round(G.coverage(left, right), 6).alias("coverage")).distinct()
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _least_reached(ords: pd.Series, edges: pd.Series) -> pd.Series:
+    """For each of a page's numbers the least that its edges lead to, by a forest whose roots are the least."""
+    out = []
+    for own, pairs in zip(ords, edges, strict=True):
+        up = {n: n for n in own}
+
+        def root(n: int, up: dict = up) -> int:
+            while up[n] != n:
+                up[n] = n = up[up[n]]
+            return n
+
+        for e in pairs if pairs is not None else ():
+            a, b = root(e["a"]), root(e["b"])
+            up[max(a, b)] = min(a, b)
+        out.append([root(n) for n in own])
+    return pd.Series(out)
+
+
 def box_clusters(boxes: DataFrame, distance: float = 6.0) -> DataFrame:
     """(page, ord, cluster) of boxes that are connected by less than `distance`; a cluster is named by its least box.
 
-    A page has few boxes, so a fold over its pairs joins them.
+    Pairs come from a banded join; a page's boxes and pairs are then one row, and time goes with their number.
     """
     pairs = overlapping_pairs(boxes, distance / 2).groupBy(*PAGE).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    page = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list("ord")).alias("ords")).join(pairs, PAGE, "left")
-    edges = F.coalesce(F.col("pairs"), F.array().cast("array<struct<a:int,b:int>>"))
-    start = F.map_from_arrays("ords", "ords")
-    labels = F.aggregate(edges, start, lambda m, e: F.transform_values(m, lambda k, v: F.when(v == F.greatest(F.element_at(m, e["a"]), F.element_at(m, e["b"])), F.least(F.element_at(m, e["a"]), F.element_at(m, e["b"]))).otherwise(v)))
-    return page.select(*PAGE, F.explode_outer(labels).alias("ord", "cluster"))
+    page = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.col("ord").cast("int"))).alias("ords")).join(pairs, PAGE, "left")
+    edges = F.coalesce(F.col("pairs"), F.array().cast("array<struct<a:int,b:int>>")).cast("array<struct<a:int,b:int>>")
+    labelled = page.withColumn("clusters", _least_reached("ords", edges))
+    return labelled.select(*PAGE, F.explode_outer(F.arrays_zip("ords", "clusters")).alias("z")).select(*PAGE, F.col("z.ords").alias("ord"), F.col("z.clusters").alias("cluster"))
 
 
 def figure_clusters(boxes: DataFrame, distance: float = 6.0, least: int = 4) -> DataFrame:

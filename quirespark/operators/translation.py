@@ -85,7 +85,10 @@ class TranslationRun:
     `port` makes each task's translator. `concurrency` tasks ask at once at most. Another thread may cancel().
     """
 
-    def __init__(self, cache: ChangeLog, name: str, port: Callable[[], Translator], journal: str, provider: str = "mock", model: str = "m", language: str = "zh", prompt: int = 1, attempts: int = 3, base_ms: float = 800.0, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep):
+    def __init__(
+        self, cache: ChangeLog, name: str, port: Callable[[], Translator], journal: str, provider: str = "mock", model: str = "m", language: str = "zh", prompt: int = 1,
+        attempts: int = 3, base_ms: float = 800.0, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep,
+    ):
         self.cache, self.name, self.port, self.sleep = cache, name, port, sleep
         self.settings = (provider, model, language, prompt)
         self.attempts, self.base_ms, self.concurrency = attempts, base_ms, concurrency
