@@ -24,7 +24,7 @@ class Words:
     A tail is a suffix of the word that some token starts with and goes beyond, or may end a word with.
     """
 
-    def __init__(self, model: Merges):
+    def __init__(self, model: Merges, fits: int = FITS):
         self.model = model
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
@@ -38,7 +38,7 @@ class Words:
                 if last:
                     self.parts[number], self.rank[number] = last, model.pairs[last][0]
         self.open = {t[:k] for d in (self.inner, self.final) for t in d for k in range(len(t))} | set(self.final)
-        self.fits = lru_cache(FITS)(self._fits)
+        self.fits = lru_cache(fits)(self._fits)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging the symbols of both tokens gives just the two.

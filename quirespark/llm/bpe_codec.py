@@ -29,6 +29,8 @@ from .bpe import merges, public_path
 from .common import ids_and_texts, steps
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Pairs of tokens whose fit is remembered, and characters read at once; both bound what a worker holds.
+FITS, CHARS = 1 << 17, 500_000
 #: The pretoken pattern of byte-level vocabularies of this kind, which pretoken_starts() follows,
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+, and its contractions without quotes.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -93,7 +95,7 @@ class Encoder(Automaton):
     initial = ((b"", -1, 0),)
 
     def __init__(self, path: str):
-        self.words = Words(merges(path))
+        self.words = Words(merges(path), FITS)
         self.reset()
 
     def transition(self, state: tuple, symbol: int) -> tuple[tuple, int]:
@@ -187,7 +189,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for ids, texts in steps(batches):
+        for ids, texts in steps(batches, CHARS):
             out, bounds = own.encode_batch(texts)
             out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), out], ["doc_id", "ids"])
@@ -219,7 +221,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for keys, texts in steps(batches):
+        for keys, texts in steps(batches, CHARS):
             ids, bounds = own.encode_batch(texts)
             decoded = [x.encode() for x in own.decode_batch(ids, bounds)]
             columns = [keys, np.diff(bounds), [*map(digest, own.written(ids, bounds))], [*map(digest, decoded)]]
