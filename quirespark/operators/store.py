@@ -44,7 +44,10 @@ def last_opened(papers: DataFrame) -> DataFrame:
 
 
 def by_creation(collections: DataFrame) -> DataFrame:
-    return collections.orderBy("created_at", "id")
+    """Collections with their `place` from 1: oldest first, of equal times the smaller id, missing values last."""
+    collections = collections.drop("place")
+    placed = _placed(collections, [F.col(c).asc_nulls_last() for c in ("created_at", "id")], "place", apart(collections, "of_all"))
+    return placed.select(*collections.columns, "place")
 
 
 def decoded(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -99,21 +102,28 @@ def cache_write(entries: DataFrame, writes: DataFrame, longest: int = MAX_ENTRY,
     return rows.join(keep_recent(rows.select("key", "at"), limit).select("key"), "key", "left_semi")
 
 
-def newer_half(entries: DataFrame, parts: int = 256) -> DataFrame:
-    """What is left after a quota error: the older half, rounded down, goes; of equal times the smaller keys first.
+def _placed(rows: DataFrame, order: list[Column], place: str, of_all: str, parts: int = 256) -> DataFrame:
+    """Rows with their place from 1 in the order, and the number of all rows.
 
-    Entries are dealt by ranges of time and key; each range is ranked by itself, behind the number of entries in the
-    ranges before it, so the one ordered sum runs over `parts` ranges.
+    Rows are dealt by ranges of the order; each range is ranked by itself, behind the number of rows in the ranges
+    before it, so the one ordered sum runs over `parts` ranges.
     """
-    part, place, before, of_all = (apart(entries, c) for c in ("part", "place", "before", "of_all"))
-    ranged = entries.repartitionByRange(parts, "at", "key").withColumn(part, F.spark_partition_id())
+    part, before, inside = (apart(rows, c) for c in ("part", "before", "inside"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
     ranged = settled(ranged)  # a range is found by a sample, so it is dealt out once
     sizes = ranged.groupBy(part).agg(F.count("*").alias(before))
     up_to = F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(part, F.coalesce(up_to, F.lit(0)).alias(before), F.sum(before).over(Window.partitionBy()).alias(of_all))
-    ranked = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy("at", "key")))
-    kept = ranked.join(F.broadcast(sizes), part).where(F.col(before) + F.col(place) > F.floor(F.col(of_all) / 2))  # a row a range
-    return kept.select(*entries.columns)
+    ranked = ranged.withColumn(inside, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    ranked = ranked.join(F.broadcast(sizes), part)  # a row a range
+    return ranked.select(*rows.columns, (F.col(before) + F.col(inside)).alias(place), of_all)
+
+
+def newer_half(entries: DataFrame, parts: int = 256) -> DataFrame:
+    """What is left after a quota error: the older half, rounded down, goes; of equal times the smaller keys first."""
+    place, of_all = apart(entries, "place"), apart(entries, "of_all")
+    placed = _placed(entries, [F.col("at"), F.col("key")], place, of_all, parts)
+    return placed.where(F.col(place) > F.floor(F.col(of_all) / 2)).select(*entries.columns)
 
 
 def to_base64(data: Column) -> Column:
