@@ -328,7 +328,7 @@ def q_upsert_latest(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def q_delete_rows(s: SparkSession, d: str) -> DataFrame:
-    gone = _read(s, d, "orders").where("o_orderkey % 16 = 1").select(F.col("o_custkey").alias("c_custkey"))
+    gone = _read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return library.without(_read(s, d, "customer").select("c_custkey", "c_nationkey"), gone, ["c_custkey"])
 
 
